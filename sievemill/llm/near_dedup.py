@@ -8,9 +8,9 @@ evaluations of plain MinHash. Bands of ``rows`` values are bucket keys.
 * In every bucket the smallest group is the leader; each other member is paired with it.
   Pairs are confirmed on the full sets, and the confirmed links give first components.
 * Only where a bucket still holds several components are members outside the leader's
-  component paired with the bucket's members of other components. Pairs within a
-  component can't change the result, so no link is lost and no group is expanded into all
-  its pairs.
+  component held against its members of other components, in bounded blocks that give
+  out links alone. Pairs within a component can't change the result, so no link is lost
+  and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -230,19 +230,9 @@ def near_duplicates(
         )
         .filter("lo <> hi")
     )
-    open_ = cut(at.join(mixed.select("bk", "main"), "bk"))
-    x, y = open_.filter("comp <> main").alias("x"), open_.alias("y")
-    more = cut(
-        x.join(y, "bk")
-        .filter("x.comp <> y.comp and y.gid <> y.lead and (y.comp = y.main or x.gid < y.gid)")
-        .filter(could("x.n_shingles", "y.n_shingles"))
-        .select(F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b"))
-        .distinct()
-    )
-    if more.isEmpty():
-        final = parts
-    else:
-        final = components(links.unionByName(confirmed(source, more, k, percent)))
+    open_ = at.join(mixed.select("bk", "main"), "bk").select("lead", "gid", "n_shingles", "comp", "main").distinct()
+    more = cut(block_links(source, cut(open_), k, percent))
+    final = parts if more.isEmpty() else components(links.unionByName(more))
     named = groups.select("n_shingles", "k1", "k2", "gid").join(
         final, F.col("gid") == F.col("node"), "left"
     ).select("n_shingles", "k1", "k2", F.coalesce("component", "gid").alias("component_id"))
@@ -253,16 +243,106 @@ def near_duplicates(
     )
 
 
+def sets_for(source: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(gid, set) of the documents named in ``ids`` (doc_id)."""
+    # an id that stands before several texts has several sets, and all their links
+    texts = source.filter("doc_id is not null").join(ids.distinct(), "doc_id", "left_semi")
+    return cut(texts.select("doc_id", "text").mapInArrow(sets_of(k), "gid long, set binary"))
+
+
 def confirmed(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # rows that repeat an id may have other texts; as for the groups, one of them stands for it
-    texts = source.filter("doc_id is not null").join(ids, "doc_id", "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(sets_of(k), "gid long, set binary")
-    sets = cut(sets)
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    sets = sets_for(source, ids, k)
     both = (
         pairs.join(sets.select(F.col("gid").alias("a"), F.col("set").alias("sa")), "a")
         .join(sets.select(F.col("gid").alias("b"), F.col("set").alias("sb")), "b")
         .select("a", "b", "sa", "sb")
     )
     return both.mapInArrow(_overlaps(percent), "a long, b long").distinct()
+
+
+#: Documents and shingles of one side of a block.
+BLOCK_DOCS, BLOCK_SHINGLES = 1000, 500_000
+
+
+def block_links(source: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a lead.
+
+    ``groups`` has (lead, gid, n_shingles, comp, main). A lead's stragglers, those outside
+    its component ``main``, are held against all the lead's members of other components,
+    block against block: members and stragglers are dealt into chunks of bounded size, and
+    a task sees one chunk of each. Only links come out, never the compared pairs.
+    """
+    lost = F.col("comp") != F.col("main")
+    sizes = cut(
+        groups.groupBy("lead").agg(
+            F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("ni"),
+            F.greatest(
+                F.ceil(F.sum(lost.cast("long")) / BLOCK_DOCS),
+                F.ceil(F.sum(F.when(lost, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES),
+            ).alias("nj"),
+        )
+    )
+    dealt = groups.join(sizes, "lead")
+    member = dealt.select(
+        "lead", "gid", "comp", F.pmod(F.xxhash64("gid"), "ni").alias("i"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)).alias("j"), F.lit(0).alias("role"),
+    )
+    straggler = dealt.filter(lost).select(
+        "lead", "gid", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"),
+        F.pmod(F.xxhash64("gid"), "nj").alias("j"), F.lit(1).alias("role"),
+    )
+    sets = sets_for(source, groups.select(F.col("gid").alias("doc_id")), k)
+    rows = (
+        member.unionByName(straggler)
+        .join(sets, "gid")
+        .select("lead", "i", "j", "role", "gid", "comp", "set")
+        .repartition("lead", "i", "j")
+        .sortWithinPartitions("lead", "i", "j", "role")
+    )
+    return rows.mapInArrow(_block_links(percent), "a long, b long").distinct()
+
+
+def _block_links(percent: int):
+    def links(block: list[tuple]) -> tuple[list[int], list[int]]:
+        members = [r for r in block if r[3] == 0]
+        if not members:
+            return [], []
+        sets = [np.frombuffer(r[6].as_buffer(), _U64) for r in members]
+        size = np.array([len(s) for s in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(sets)), size)[order]
+        comp = np.array([r[5] for r in members])
+        gid = np.array([r[4] for r in members])
+        a: list[int] = []
+        b: list[int] = []
+        for r in block:
+            if r[3] == 0:
+                continue
+            x = np.frombuffer(r[6].as_buffer(), _U64)
+            lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+            n = hi - lo
+            at = np.repeat(hi - np.cumsum(n), n) + np.arange(int(n.sum()))
+            both = np.bincount(owner[at], minlength=len(sets))
+            near = (100 * both >= percent * (size + len(x) - both)) & (comp != r[5]) & (gid != r[4])
+            other = gid[near]
+            a += np.minimum(other, r[4]).tolist()
+            b += np.maximum(other, r[4]).tolist()
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, []
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            for r in zip(*cols, batch.column(6), strict=True):
+                if r[:3] != key:
+                    if block:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links(block)], ["a", "b"])
+                    key, block = r[:3], []
+                block.append(r)
+        if block:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links(block)], ["a", "b"])
+
+    return run

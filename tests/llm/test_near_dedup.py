@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+from sievemill.llm import near_dedup
 from sievemill.llm.near_dedup import near_duplicates
 
 SCHEMA = "doc_id long, text string, component_id string"
@@ -27,7 +28,8 @@ def brute(rows, k, percent):
     return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
-def test_same_as_brute_force(spark):
+def test_same_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 20)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)] + ["é", "Ö", "x y"]
     rows = [(900, None, "z"), (901, "", None), (902, " \t\n", None), (903, "One two", None), (904, "one  TWO", None), (905, "one", None)]
@@ -38,6 +40,12 @@ def test_same_as_brute_force(spark):
             for _ in range(rng.choice([0, 1, 2, 6])):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             rows.append((len(rows), rng.choice([" ", "\n", "  "]).join(words), None))
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    for c in range(120):  # many of these link with some others only
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((len(rows), " ".join(words), None))
     rng.shuffle(rows)
     for k, percent in ((3, 85), (5, 80)):
         got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), k=k, percent=percent).collect()
