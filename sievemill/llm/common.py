@@ -71,3 +71,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, label: str =
         .collect()
     )
     return sorted(((r["text"], int(r["y"]), r["doc_id"]) for r in got), key=lambda r: r[2])
+
+
+def buckets_for(df: DataFrame, rows: int = 400, most: int = 65536) -> int:
+    """Into how many salted buckets to split a hot key of ``df``: about one for every
+    ``rows`` rows, and few enough that a key's buckets can be ordered in one task."""
+    return max(1, min(most, df.count() // rows))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name

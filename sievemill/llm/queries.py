@@ -3,18 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sievemill.llm import near_dedup
+from sievemill.llm import mixing, near_dedup, packing
 from sievemill.llm.common import table
+from sievemill.llm.tokens import tokenizer_path
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.curriculum(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "position"
+    )
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op9_mix_sources": op9_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(concat_ws(':', CAST(doc_id AS VARCHAR), text)) AS h
+  FROM documents),
+b AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+n AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS nth FROM s),
+w AS (SELECT *, CASE nth WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
+             CASE nth WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS f,
+             CASE nth WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS l,
+             2.0::DOUBLE * source_size AS cap FROM n),
+r AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT)
+             - coalesce(sum(cap) OVER (ORDER BY cap / w, nth, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(w) OVER (ORDER BY cap / w, nth, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT *, coalesce(least(cap, min(CASE WHEN level <= cap / w THEN level END) OVER () * w), cap) AS target FROM r),
+j AS (SELECT b.doc_id, b.source, b.size, b.before, g.source_size, g.target, g.f, g.l, CAST(round(g.target) AS BIGINT) AS goal
+      FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source),
+t AS (SELECT *, greatest(0, least(size, goal - before)) + greatest(0, least(size, goal - source_size - before)) AS taken,
+             least(greatest(before / target, 0.0::DOUBLE), 1.0::DOUBLE) AS part FROM j)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, source,
+       CASE WHEN taken > 0 THEN CASE WHEN f = l THEN part
+            ELSE (sqrt(greatest(f * f + (l - f) * part * (f + l), 0.0::DOUBLE)) - f) / (l - f) END END AS position
+FROM t
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_mix_sources": OP9_SQL}
