@@ -44,33 +44,22 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, label: str = "quality") -> list:
-    """At most ``rows`` training rows (text, label), the same ones at every run.
+def labelled_ids(labels: DataFrame, rows: int, label: str = "quality") -> DataFrame:
+    """(doc_id, y): at most ``rows`` training ids, the same ones at every run.
 
-    Held-out ids, null ids, texts or labels, and ids with labels that disagree are left
-    out. Rows are taken in the order of a hash of the id, as many of each label as there
-    are, at most ``rows / 2`` of one.
+    Held-out ids, null ids or labels, and ids with labels that disagree are left out. Ids
+    are taken in the order of a hash, at most ``rows / 2`` of one label.
     """
     agreed = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
-        .agg(F.min(label).alias("__y"), F.max(label).alias("__z"))
-        .filter(F.col("__y").eqNullSafe(F.col("__z")) & F.col("__y").isin(0, 1))
+        .agg(F.min(label).alias("y"), F.max(label).alias("z"))
+        .filter((F.col("y") == F.col("z")) & F.col("y").isin(0, 1))
         .filter(~is_held_out(F.col("doc_id")))
-        .withColumn("__h", F.xxhash64("doc_id"))
+        .select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
     )
-    half = None
-    for y in (0, 1):
-        part = agreed.filter(F.col("__y") == y).orderBy("__h", "doc_id").limit(rows // 2)
-        half = part if half is None else half.unionByName(part)
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    got = (
-        texts.join(F.broadcast(half.select("doc_id", "__y")), "doc_id")
-        .groupBy("doc_id")
-        .agg(F.max("text").alias("text"), F.max("__y").alias("y"))
-        .collect()
-    )
-    return sorted(((r["text"], int(r["y"]), r["doc_id"]) for r in got), key=lambda r: r[2])
+    zero, one = (agreed.filter(F.col("y") == y).orderBy("h", "doc_id").limit(rows // 2) for y in (0, 1))
+    return cut(zero.unionByName(one).select("doc_id", "y"))
 
 
 def buckets_for(df: DataFrame, rows: int = 400, most: int = 65536) -> int:
