@@ -215,7 +215,8 @@ def near_duplicates(
         shared.filter("gid <> lead").filter(could("n_shingles", "n_lead"))
         .select(F.col("lead").alias("a"), F.col("gid").alias("b")).distinct()
     )
-    links = cut(confirmed(source, pairs, k, percent))
+    sets = sets_for(source, shared.select(F.col("gid").alias("doc_id")), k)
+    links = cut(confirmed(sets, pairs, percent))
     parts = components(links)
     at = shared.join(parts, shared.gid == parts.node, "left").select(
         "bk", "gid", "n_shingles", "lead", F.coalesce("component", "gid").alias("comp")
@@ -231,7 +232,7 @@ def near_duplicates(
         .filter("lo <> hi")
     )
     open_ = at.join(mixed.select("bk", "main"), "bk").select("lead", "gid", "n_shingles", "comp", "main").distinct()
-    more = cut(block_links(source, cut(open_), k, percent))
+    more = cut(block_links(sets, cut(open_), percent))
     final = parts if more.isEmpty() else components(links.unionByName(more))
     named = groups.select("n_shingles", "k1", "k2", "gid").join(
         final, F.col("gid") == F.col("node"), "left"
@@ -250,10 +251,8 @@ def sets_for(source: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return cut(texts.select("doc_id", "text").mapInArrow(sets_of(k), "gid long, set binary"))
 
 
-def confirmed(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    sets = sets_for(source, ids, k)
     both = (
         pairs.join(sets.select(F.col("gid").alias("a"), F.col("set").alias("sa")), "a")
         .join(sets.select(F.col("gid").alias("b"), F.col("set").alias("sb")), "b")
@@ -266,7 +265,7 @@ def confirmed(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> Data
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 500_000
 
 
-def block_links(source: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+def block_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that share a lead.
 
     ``groups`` has (lead, gid, n_shingles, comp, main). A lead's stragglers, those outside
@@ -293,7 +292,6 @@ def block_links(source: DataFrame, groups: DataFrame, k: int, percent: int) -> D
         "lead", "gid", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"),
         F.pmod(F.xxhash64("gid"), "nj").alias("j"), F.lit(1).alias("role"),
     )
-    sets = sets_for(source, groups.select(F.col("gid").alias("doc_id")), k)
     rows = (
         member.unionByName(straggler)
         .join(sets, "gid")
