@@ -189,8 +189,13 @@ def _grow(values: dict[str, np.ndarray], bad: np.ndarray, live: np.ndarray) -> R
                     best = (float(gain[k]), Condition(name, above, float(cuts[k])))
         if best[1] is None:
             break
-        rule += (best[1],)
-        inside &= best[1].holds(values)
+        cond = best[1]
+        x, on = values[cond.feature][inside], cond.holds(values)[inside]
+        # the middle of the gap between the rows on either side
+        gap = (x[~on].max() + x[on].min()) / 2 if cond.above else (x[on].max() + x[~on].min()) / 2
+        cond = Condition(cond.feature, cond.above, round(float(gap), 9))
+        rule += (cond,)
+        inside &= cond.holds(values)
     return rule
 
 

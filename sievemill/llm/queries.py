@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemill.llm import mixing, near_dedup, packing, quality_rules, token_files
+from sievemill.llm import mixing, near_dedup, packing, pii, quality_rules, secrets, token_files
 from sievemill.llm.common import table
 from sievemill.llm.tokens import tokenizer_path
 
@@ -24,12 +24,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, rules, ["doc_id"], "j").select("doc_id", *(f"j.{c}" for c in names))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]
+    return secrets.find(docs, secrets.train(docs), ["doc_id"], "f").select("doc_id", *(f"f.{c}" for c in names))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     manifest = token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
     return token_files.read(manifest, folder)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_more"]
+    return pii.find(docs, pii.train(docs), ["doc_id"], "f").select("doc_id", *(f"f.{c}" for c in names))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "position"
@@ -40,7 +52,9 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op6_token_files": op6_token_files,
+    "op8_pii": op8_pii,
     "op9_mix_sources": op9_mix_sources,
 }
 
