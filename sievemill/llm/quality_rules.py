@@ -49,15 +49,7 @@ def counts(part: pa.RecordBatch, column: str) -> dict[str, np.ndarray]:
     h = words.hashes()
 
     def per_row(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return np.diff(total[texts.offsets])
-
-    def distinct(row: np.ndarray, value: np.ndarray) -> np.ndarray:
-        order = np.lexsort((value, row))
-        r, v = row[order], value[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
-        return np.bincount(r[new], minlength=n)
+        return textbuf.per_row(texts, mask)
 
     starts_char = (b & 0xC0) != 0x80
     solid = ~textbuf._SPACE[b]
@@ -65,28 +57,10 @@ def counts(part: pa.RecordBatch, column: str) -> dict[str, np.ndarray]:
     upper = _UPPER[b]
     upper[1:] |= (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E)
 
-    breaks = np.flatnonzero(b == 10)
-    line_start = np.sort(np.concatenate([texts.offsets[:-1], breaks + 1]))
-    line_end = np.sort(np.concatenate([breaks, texts.offsets[1:]]))
-    line_row = np.repeat(np.arange(n), per_row(b == 10) + 1)
-    has_word = np.searchsorted(words.start, line_end) > np.searchsorted(words.start, line_start)
-    line_start, line_end, line_row = line_start[has_word], line_end[has_word], line_row[has_word]
+    line_row, line_start, line_end = textbuf.lines(words)
     lines = np.bincount(line_row, minlength=n)
-    different = distinct(line_row, textbuf.segment_hashes(b, line_start, line_end))
-
-    repeat = np.zeros(len(h), bool)
-    if len(h) >= 3:
-        inside = np.flatnonzero(words.row[:-2] == words.row[2:])
-        row, triple = textbuf.windows(words, h, 3)
-        order = np.lexsort((triple, row))
-        r, v = row[order], triple[order]
-        same = (r[1:] == r[:-1]) & (v[1:] == v[:-1])
-        again = np.zeros(len(r), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        at = inside[order[again]]
-        for j in range(3):
-            repeat[at + j] = True
+    different = textbuf.distinct(line_row, textbuf.segment_hashes(b, line_start, line_end), n)
+    repeat = textbuf.repeated(words, h, 3)
     return {
         "n_words": words.counts,
         "word_chars": per_row(solid & starts_char),
@@ -98,7 +72,7 @@ def counts(part: pa.RecordBatch, column: str) -> dict[str, np.ndarray]:
         "n_upper": per_row(upper),
         "n_stops": per_row(_STOPS[b]),
         "n_digits": per_row(_DIGITS[b]),
-        "n_distinct": distinct(words.row, h),
+        "n_distinct": textbuf.distinct(words.row, h, n),
     }
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievemill.llm import mixing, near_dedup, packing, pii, quality_rules, secrets, token_files
-from sievemill.llm.common import table
+from sievemill.llm import line_crf, mixing, near_dedup, packing, pii, quality_rules, secrets, token_files, url_rules
+from sievemill.llm.common import is_held_out, table
 from sievemill.llm.tokens import tokenizer_path
 
 
@@ -30,12 +31,38 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(docs, secrets.train(docs), ["doc_id"], "f").select("doc_id", *(f"f.{c}" for c in names))
 
 
+#: (host, path, verdict): fixed values of the query.
+FIXED_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = url_rules.mine(url_rules.labelled_urls(pages, table(spark, sf_dir, "labels")))
+    return url_rules.judge(pages, FIXED_RULES, rules)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     manifest = token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
     return token_files.read(manifest, folder)
 
 
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    scored = line_crf.scores(docs, model, ["doc_id"], "score")
+    return scored.select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= line_crf.GOOD).cast("int").alias("predicted"),
+    )
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_more"]
@@ -53,7 +80,9 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op5_url_rules": op5_url_rules,
     "op6_token_files": op6_token_files,
+    "op7_line_crf": op7_line_crf,
     "op8_pii": op8_pii,
     "op9_mix_sources": op9_mix_sources,
 }

@@ -111,6 +111,54 @@ def windows(words: Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return words.row[:n][inside], out[inside]
 
 
+def per_row(texts: Texts, mask: np.ndarray) -> np.ndarray:
+    """How many bytes of each row are in ``mask``."""
+    return np.diff(np.concatenate([[0], np.cumsum(mask)])[texts.offsets])
+
+
+def lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the lines that have a word."""
+    texts = words.texts
+    newline = texts.bytes == 10
+    breaks = np.flatnonzero(newline)
+    start = np.sort(np.concatenate([texts.offsets[:-1], breaks + 1]))
+    end = np.sort(np.concatenate([breaks, texts.offsets[1:]]))
+    row = np.repeat(np.arange(texts.n), per_row(texts, newline) + 1)
+    has = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
+    return row[has], start[has], end[has]
+
+
+def repeated(words: Words, h: np.ndarray, k: int) -> np.ndarray:
+    """Which words lie in a run of ``k`` words that is twice or more in their row."""
+    out = np.zeros(len(h), bool)
+    if len(h) < k:
+        return out
+    inside = np.flatnonzero(words.row[: 1 - k] == words.row[k - 1 :])
+    row, run = windows(words, h, k)
+    order = np.lexsort((run, row))
+    same = equal_to_last(row[order], run[order])
+    again = same.copy()
+    again[:-1] |= same[1:]
+    at = inside[order[again]]
+    for j in range(k):
+        out[at + j] = True
+    return out
+
+
+def equal_to_last(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Whether an element equals the one before it in all keys."""
+    out = np.zeros(len(sorted_keys[0]), bool)
+    if len(out):
+        out[1:] = np.logical_and.reduce([k[1:] == k[:-1] for k in sorted_keys])
+    return out
+
+
+def distinct(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """How many different values each of ``n`` rows has."""
+    order = np.lexsort((value, row))
+    return np.bincount(row[order][~equal_to_last(row[order], value[order])], minlength=n)
+
+
 def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``PIECE`` bytes of ``column``."""
     if not batch.num_rows:
