@@ -187,16 +187,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
-        end = end_id.to_bytes(4, "little")
+        encode = encoder(path).batch
         for batch in batches:
             for part in textbuf.pieces(batch, "text"):
+                flat, first = encode(textbuf.of(part, "text"))
                 out: tuple[list, ...] = ([], [], [], [], [], [])
-                for row, ids in enumerate(encode(part.column(1).to_pylist())):
-                    ids += end
-                    for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut_ = ids[lo : lo + 4 * capacity]
-                        for c, v in zip(out, (row, k, lo // 4, len(cut_) // 4, zlib.crc32(cut_), cut_), strict=True):
+                for row, (a, z) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
+                    ids = np.append(flat[a:z], np.uint32(end_id)).astype("<u4")
+                    for k, lo in enumerate(range(0, len(ids), capacity)):
+                        piece = ids[lo : lo + capacity].tobytes()
+                        for c, v in zip(out, (row, k, lo, len(piece) // 4, zlib.crc32(piece), piece), strict=True):
                             c.append(v)
                 cols = [part.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32())]
                 cols += [pa.array(c, pa.int64()) for c in out[2:5]]

@@ -1,9 +1,10 @@
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 
-from sievemill.llm import tokens
+from sievemill.llm import textbuf, tokens
 
 PARTS = ["the", "The", "don't", "I'll", "'s", "é", "É", "é", "Σίσυφος", "ΟΔΟΣ", "İ", "ß", "漢字", "١٢", "12", "½", " ", "  ", "\n", "\r\n", "\t", " ", " ", "　", "\x1c", "\x85", "​", "́", "̸", ".", ",", "!", "?!", "...", ";", "=", "<", "<|endoftext|>", "a.", "b,", "x!̸", "5.", "_", "-", "\u0958", "\u0958.", "\U0001f600", "\x00"]
 
@@ -17,5 +18,18 @@ def test_ids_are_those_of_whole_texts(name):
         part = texts[lo : lo + 3003]
         want = [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in part], add_special_tokens=False)]
         got = [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in encoder.ids(part)]
+        flat, first = encoder.batch(textbuf.Texts(pa.array(part, pa.string())))
+        assert [flat[a:z].tolist() for a, z in zip(first, first[1:], strict=False)] == want
         bad = [(t, a, b) for t, a, b in zip(part, want, got, strict=True) if a != b]
         assert not bad, (len(bad), bad[:3])
+
+
+@pytest.mark.parametrize("name", list(tokens.KINDS))
+def test_words_by_the_thousand(name):
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words).title() if rng.random() < 0.3 else rng.choice(words) + rng.choice(["", ",", "."]) for _ in range(400)) for _ in range(40)]
+    encoder = tokens.Encoder(tokens.tokenizer_path(name))
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in encoder.ids(texts)] == want
