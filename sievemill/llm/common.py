@@ -62,6 +62,22 @@ def labelled_ids(labels: DataFrame, rows: int, label: str = "quality") -> DataFr
     return cut(zero.unionByName(one).select("doc_id", "y"))
 
 
+def texts_by_hash(docs: DataFrame, rows: int, condition: Column | None = None) -> DataFrame:
+    """(text): at most ``rows`` non-empty texts that meet ``condition``, those of the
+    smallest hashes of id and text.
+
+    Only hashes are sorted; texts are then picked by the largest of them, so no task reads
+    more texts than these.
+    """
+    text = F.col("text").cast("string")
+    hashed = docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h")).filter(F.length("text") > 0)
+    if condition is not None:
+        hashed = hashed.filter(condition)
+    last = hashed.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
+    picked = hashed.filter(F.col("h") <= F.lit(last)) if last is not None else hashed.limit(0)
+    return picked.groupBy("h").agg(F.min("text").alias("text")).select("text")
+
+
 def buckets_for(df: DataFrame, rows: int = 400, most: int = 65536) -> int:
     """Into how many salted buckets to split a hot key of ``df``: about one for every
     ``rows`` rows, and few enough that a key's buckets can be ordered in one task."""

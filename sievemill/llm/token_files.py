@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemill.llm import textbuf
-from sievemill.llm.common import cut, shared_dir
+from sievemill.llm.common import cut, shared_dir, texts_by_hash
 from sievemill.llm.tokens import encoder
 
 MAGIC = b"SIEVETK1"
@@ -43,6 +44,17 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
 
+def settle(fs, own: str, final: str) -> None:
+    """The attempt's file takes its name. Some stores don't replace: then another attempt
+    of the task was first, with the same rows."""
+    try:
+        fs.move(own, final)
+    except OSError:
+        if fs.get_file_info(final).type != FileType.File:
+            raise
+        fs.delete_file(own)
+
+
 def dictionary_hash(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()[:16]
 
@@ -51,14 +63,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
     """From a bounded sample in the order of a hash; empty if there is nothing to learn."""
     import zstandard
 
-    text = F.col("text").cast("string")
-    rows = (
-        docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
-        .filter(F.length("text").between(1, SAMPLE_CHARS))
-        .orderBy("h", "text")
-        .limit(SAMPLE_TEXTS)
-        .collect()
-    )
+    rows = texts_by_hash(docs, SAMPLE_TEXTS, F.length("text") <= SAMPLE_CHARS).orderBy("text").collect()
     samples = [_narrow(i + end_id.to_bytes(4, "little"), width) for i in encoder(tokenizer).ids([r["text"] for r in rows])]
     if not samples:
         return b""
@@ -84,7 +89,7 @@ def _writer(folder: str, tokenizer: str, dictionary, end_id: int, width: int):
 
         data = dictionary.value
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(data)).compress
-        encode, end = encoder(tokenizer).ids, end_id.to_bytes(4, "little")
+        encode = encoder(tokenizer).batch
         fs, at = filesystem(folder)
         context = TaskContext.get()
         shard = context.partitionId()
@@ -95,12 +100,14 @@ def _writer(folder: str, tokenizer: str, dictionary, end_id: int, width: int):
                 if out is None:
                     out = fs.open_output_stream(own)
                     out.write(MAGIC + dictionary_hash(data))
-                for i, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    frame = compress(_narrow(ids + end, width))
+                flat, first = encode(textbuf.of(part, "text"))
+                for k, i in enumerate(part.column(0).to_pylist()):
+                    ids = np.append(flat[first[k] : first[k + 1]], np.uint32(end_id))
+                    frame = compress(ids.astype(f"<u{width}").tobytes())
                     out.write(frame)
                     ids_.append(i)
                     offsets.append(place)
-                    counts.append(len(ids) // 4 + 1)
+                    counts.append(len(ids))
                     place += len(frame)
         if out is None:
             return
@@ -110,7 +117,7 @@ def _writer(folder: str, tokenizer: str, dictionary, end_id: int, width: int):
         out.write(np.array(counts, "<u8").tobytes())
         out.write(np.array([len(ids_), place, width], "<u8").tobytes())
         out.close()
-        fs.move(own, final)
+        settle(fs, own, final)
         name = final.rsplit("/", 1)[1]
         yield pa.RecordBatch.from_pydict(
             {"shard": pa.array([shard], pa.int64()), "file": pa.array([name]), "documents": pa.array([len(ids_)], pa.int64()), "tokens": pa.array([sum(counts)], pa.int64())}
