@@ -56,7 +56,8 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     all_rows = Window.partitionBy()
     level = (F.lit(share) * F.sum("source_size").over(all_rows) - (F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))) / F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumn("level", level)
-    found = F.min(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(all_rows)
+    # the first level within its source's bound; levels after it are no higher
+    found = F.max(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(all_rows)
     return rows.withColumn("target", F.coalesce(F.least("cap", found * F.col("w")), F.col("cap"))).select(
         "source", "source_size", "target", "first", "last"
     )

@@ -103,7 +103,7 @@ w AS (SELECT *, CASE nth WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.
 r AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT)
              - coalesce(sum(cap) OVER (ORDER BY cap / w, nth, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY cap / w, nth, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-g AS (SELECT *, coalesce(least(cap, min(CASE WHEN level <= cap / w THEN level END) OVER () * w), cap) AS target FROM r),
+g AS (SELECT *, coalesce(least(cap, max(CASE WHEN level <= cap / w THEN level END) OVER () * w), cap) AS target FROM r),
 j AS (SELECT b.doc_id, b.source, b.size, b.before, g.source_size, g.target, g.f, g.l, CAST(round(g.target) AS BIGINT) AS goal
       FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source),
 t AS (SELECT *, greatest(0, least(size, goal - before)) + greatest(0, least(size, goal - source_size - before)) AS taken,

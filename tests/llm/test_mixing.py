@@ -1,8 +1,9 @@
+import random
 import re
 
 import pytest
 
-from sievemill.llm.mixing import curriculum, mixed
+from sievemill.llm.mixing import curriculum, mixed, targets
 
 SCHEMA = "doc_id long, text string, source string, size int, stream string, row int"
 
@@ -13,6 +14,8 @@ def filled(sizes):
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
     out, free, left = {}, list(names), 1.5 * sum(sizes.values())
     while free:
+        if left <= 0:
+            return out | dict.fromkeys(free, 0.0)
         level = left / sum(weight[s] for s in free)
         over = [s for s in free if level * weight[s] > 2 * sizes[s]]
         if not over:
@@ -72,3 +75,14 @@ def test_ramps_meet_demand_over_time(spark):
     rows = [r for r in curriculum(docs).collect() if r["source"] == "a"]
     half = sum(r["taken"] for r in rows if (r["position"] or 2) < 0.5) / sum(r["taken"] for r in rows)
     assert half > 0.5  # the heavy source's first pass comes early
+
+
+def test_targets_follow_the_stated_rule(spark):
+    rng = random.Random(3)
+    for _ in range(12):
+        sizes = {f"s{i}": rng.choice([0, 1, 30, 30, rng.randrange(1000)]) for i in range(rng.randint(1, 9))}
+        if not sum(sizes.values()):
+            continue
+        got = targets(spark.createDataFrame([*sizes.items()], "source string, source_size long")).collect()
+        assert {r["source"]: r["target"] for r in got} == pytest.approx(filled(sizes))
+        assert sum(r["target"] for r in got) == pytest.approx(1.5 * sum(sizes.values()))
