@@ -6,19 +6,46 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemill.llm import near_dedup
-from sievemill.llm.common import shared_dir, table
+from sievemill.llm import mixing, near_dedup, packing, pii, quality_rules
+from sievemill.llm.common import fresh, shared_dir, table
+from sievemill.llm.tokens import tokenizer_path
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    rules = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    name = fresh(docs, "judged")
+    judged = quality_rules.judged(docs, rules, docs.columns, name)
+    return judged.filter(f"{name}.kept").drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one of the smallest id. Rows
-    that repeat an id and text are one document."""
-    keep = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    whole = docs.filter("doc_id is null").unionByName(docs.join(keep, "doc_id", "left_semi").select(docs.columns))
-    return whole.dropDuplicates()
+    """One document of each near-duplicate class stays."""
+    return near_dedup.unique(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redact(docs, pii.train(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, as often as their source's target asks for."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of a document in a training sequence."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("near_dedup", drop_near_duplicates)]
+STAGES = [
+    ("quality_rules", apply_quality_rules),
+    ("near_dedup", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 

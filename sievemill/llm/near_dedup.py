@@ -89,12 +89,13 @@ def signatures(permutations: int, rows: int, k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array(size),
                         pa.array(_signed(key[0])),
                         pa.array(_signed(key[1])),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.ascontiguousarray(acc).ravel()))),
                     ],
-                    ["doc_id", "n_shingles", "k1", "k2", "bands"],
+                    ["doc_id", "text_hash", "n_shingles", "k1", "k2", "bands"],
                 )
 
     return run
@@ -170,13 +171,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    k: int = 5,
-    percent: int = 80,
-    permutations: int = PERMUTATIONS,
-    rows: int = ROWS,
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for every row of ``docs``.
 
     Links join documents whose sets of distinct ``k``-word shingles have a Jaccard
@@ -184,13 +179,34 @@ def near_duplicates(
     words have one shingle, the whole sequence; null or wordless texts have none, link
     with nothing and are their own component. Repeated rows of an id give equal rows. A
     row without an id takes the component of an equal set, else null; it is kept if it
-    has none. An id that stands before several texts has all their links. An empty table gives an empty result. Other columns are not looked at.
+    has none. An id that stands before several texts has all their links. An empty table
+    gives an empty result. Other columns are not looked at.
     """
+    return classes(docs, k, percent, **options).drop("text_hash")
+
+
+def unique(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their class: those of its smallest id. Of rows
+    that repeat an id and text, or a text without an id, one stays. A row without an id
+    goes if its set of shingles equals that of a row with one."""
+    kept = classes(docs, k, percent, **options).filter("kept").select("doc_id", "text_hash").distinct()
+    text = F.col("text").cast("string")
+    there = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").cast("long").alias("i"),
+        F.xxhash64(text).alias("h"),
+    )
+    found = there.join(kept, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left_semi")
+    return found.dropDuplicates(["i", "h"]).select("row.*")
+
+
+def classes(docs: DataFrame, k: int, percent: int, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+    """``near_duplicates`` and a hash of the text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = cut(
-        source.mapInArrow(
+        source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
             signatures(permutations, rows, k),
-            "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>",
+            "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>",
         )
     )
     groups = (
@@ -237,9 +253,9 @@ def near_duplicates(
     named = groups.select("n_shingles", "k1", "k2", "gid").join(
         final, F.col("gid") == F.col("node"), "left"
     ).select("n_shingles", "k1", "k2", F.coalesce("component", "gid").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "k1", "k2").join(named, ["n_shingles", "k1", "k2"], "left")
+    out = sig.select("doc_id", "text_hash", "n_shingles", "k1", "k2").join(named, ["n_shingles", "k1", "k2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm import line_crf, mixing, near_dedup, packing, pii, quality_rules, secrets, token_files, url_rules
+from sievemill.llm import line_crf, mixing, near_dedup, packing, pii, quality_rules, search, secrets, token_files, url_rules
 from sievemill.llm.common import is_held_out, table
 from sievemill.llm.tokens import tokenizer_path
 
@@ -75,6 +75,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, queries, k=10, max_terms=32)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -85,6 +91,7 @@ QUERIES = {
     "op7_line_crf": op7_line_crf,
     "op8_pii": op8_pii,
     "op9_mix_sources": op9_mix_sources,
+    "op10_top_k": op10_top_k,
 }
 
 OP9_SQL = r"""

@@ -3,7 +3,7 @@ import random
 import re
 
 from sievemill.llm import near_dedup
-from sievemill.llm.near_dedup import near_duplicates
+from sievemill.llm.near_dedup import near_duplicates, unique
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -59,3 +59,6 @@ def test_repeated_rows_null_ids_long_and_empty(spark):
     got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, SCHEMA), k=3).select("doc_id", "component_id", "kept").collect()), key=str)
     assert got == sorted([(5, 5, True), (5, 5, True), (9, 5, False), (None, 5, False), (None, None, True), (7, 7, True), (7, 7, True)], key=str)
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    left = unique(spark.createDataFrame(rows, SCHEMA), k=3)
+    assert left.columns == ["doc_id", "text", "component_id"]
+    assert sorted((str(r[0]), r[1]) for r in left.collect()) == sorted([("5", long), ("None", "alone here now"), ("7", "other text of this id"), ("7", "second text of this id")])
