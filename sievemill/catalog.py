@@ -1,7 +1,96 @@
-"""Registered queries outside the corpus subpackage, with their DuckDB counterparts."""
+"""Registered queries outside the corpus subpackage, with their DuckDB counterparts.
+
+The tables have no genomic data; intervals, sequences and CIGAR strings are derived from
+``lineitem`` and ``part`` by arithmetic that both engines share.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievemill.functions import sequences as seq
+from sievemill.operators import intervals
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "l_suppkey % 5 AS contig", "(l_orderkey * 613 + l_partkey * 17) % 400000 AS start",
+        "(l_orderkey * 613 + l_partkey * 17) % 400000 + 20 + CAST(l_quantity AS BIGINT) AS end", "l_orderkey", "l_linenumber",
+    )
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "p_partkey % 5 AS contig", "(p_partkey * 7907) % 400000 AS start",
+        "(p_partkey * 7907) % 400000 + CAST(p_size AS BIGINT) * 3 AS end", "p_partkey",
+    )
+
+
+READS_SQL = """SELECT l_suppkey % 5 AS contig, (l_orderkey * 613 + l_partkey * 17) % 400000 AS s,
+  (l_orderkey * 613 + l_partkey * 17) % 400000 + 20 + CAST(l_quantity AS BIGINT) AS e FROM lineitem"""
+
+
+def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = intervals.overlap_join(_reads(spark, sf_dir), _regions(spark, sf_dir), "contig", 128)
+    shared = F.least("end", "right_end") - F.greatest("start", "right_start")
+    return joined.groupBy("p_partkey").agg(F.count("*").alias("n_reads"), F.sum(shared).alias("shared_bases"))
+
+
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.merged(_regions(spark, sf_dir), "contig")
+
+
+def interval_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.depth(_reads(spark, sf_dir), "contig")
+
+
+def sequence_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bases = F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "ACGTNRYSWKMBDHVA")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", bases.alias("seq"))
+    return rows.select("p_partkey", seq.reverse_complement(F.col("seq")).alias("reversed"), seq.gc_share(F.col("seq")).alias("gc"))
+
+
+def cigar_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cigar = F.expr("concat(p_size, 'M', p_partkey % 9 + 1, 'I', p_size % 4 + 1, 'D30=', p_partkey % 3 + 1, 'X5S')")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", cigar.alias("cigar"))
+    return rows.select("p_partkey", seq.reference_length(F.col("cigar")).alias("on_reference"), seq.query_length(F.col("cigar")).alias("on_query"))
+
+
+QUERIES = {
+    "interval_overlap_join": interval_overlap_join,
+    "interval_merge": interval_merge,
+    "interval_depth": interval_depth,
+    "sequence_functions": sequence_functions,
+    "cigar_lengths": cigar_lengths,
+}
+FLAGSHIP = "interval_overlap_join"
+
+ORACLE_SQL: dict[str, str] = {
+    "interval_overlap_join": f"""
+WITH r AS ({READS_SQL}),
+w AS (SELECT p_partkey, p_partkey % 5 AS contig, (p_partkey * 7907) % 400000 AS s,
+        (p_partkey * 7907) % 400000 + CAST(p_size AS BIGINT) * 3 AS e FROM part)
+SELECT p_partkey, count(*) AS n_reads, CAST(sum(least(r.e, w.e) - greatest(r.s, w.s)) AS BIGINT) AS shared_bases
+FROM r JOIN w ON r.contig = w.contig AND r.s < w.e AND w.s < r.e GROUP BY p_partkey""",
+    "interval_merge": """
+WITH w AS (SELECT p_partkey % 5 AS contig, (p_partkey * 7907) % 400000 AS s,
+        (p_partkey * 7907) % 400000 + CAST(p_size AS BIGINT) * 3 AS e FROM part),
+m AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
+i AS (SELECT *, sum(CASE WHEN s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT contig, min(s) AS start, max(e) AS "end", count(*) AS n FROM i GROUP BY contig, k""",
+    "interval_depth": f"""
+WITH r AS ({READS_SQL}),
+p AS (SELECT contig, s AS pos, 1 AS d FROM r UNION ALL SELECT contig, e, -1 FROM r),
+g AS (SELECT contig, pos, sum(d) AS d FROM p GROUP BY contig, pos HAVING sum(d) <> 0),
+x AS (SELECT contig, pos AS start, lead(pos) OVER (PARTITION BY contig ORDER BY pos) AS "end",
+        CAST(sum(d) OVER (PARTITION BY contig ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM g)
+SELECT contig, start, "end", depth FROM x WHERE depth > 0""",
+    "sequence_functions": """
+WITH s AS (SELECT p_partkey, translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTNRYSWKMBDHVA') AS seq FROM part)
+SELECT p_partkey, reverse(translate(seq, 'ACGTNRYSWKMBDHV', 'TGCANYRSWMKVHDB')) AS reversed,
+  CAST(length(regexp_replace(seq, '[^GCS]', '', 'g')) AS DOUBLE) / length(seq) AS gc FROM s""",
+    "cigar_lengths": """
+SELECT p_partkey, CAST(p_size + (p_size % 4 + 1) + 30 + (p_partkey % 3 + 1) AS BIGINT) AS on_reference,
+  CAST(p_size + (p_partkey % 9 + 1) + 30 + (p_partkey % 3 + 1) + 5 AS BIGINT) AS on_query FROM part""",
+}
