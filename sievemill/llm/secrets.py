@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from sievemill.llm import spans as sp
 from sievemill.llm import textbuf
-from sievemill.llm.common import fresh
+from sievemill.llm.common import fresh, texts_by_hash
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -96,9 +96,7 @@ def _sums(ratio: np.ndarray, b: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """On at most ``sample`` documents, by a hash; the labels of strings are the patterns'
     finds. Only words and finds of at most 200 characters reach the driver."""
-    text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h")).filter(F.length("text") > 0)
-    rows = rows.orderBy("h", "text").limit(sample)
+    rows = texts_by_hash(docs, sample)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +114,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 plain |= {w for w in words if zlib.crc32(w.encode()) % 8 == 0 and not w.isdigit()}
             yield pa.RecordBatch.from_pydict({"s": [*sorted(found), *sorted(plain)], "y": [1] * len(found) + [0] * len(plain)})
 
-    got = rows.select("text").mapInArrow(split, "s string, y long").distinct().orderBy(F.xxhash64("s"), "s", "y").limit(60_000).collect()
+    got = rows.mapInArrow(split, "s string, y long").distinct().orderBy(F.xxhash64("s"), "s", "y").limit(60_000).collect()
     return fit([r["s"] for r in got if r["y"] and len(r["s"]) >= 6], [r["s"] for r in got if not r["y"]])
 
 
