@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from sievemill.llm import spans as sp
 from sievemill.llm import textbuf
-from sievemill.llm.common import fresh
+from sievemill.llm.common import fresh, texts_by_hash
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents and stretches to train on, passes over them, the least posterior to report.
@@ -334,9 +334,7 @@ def fit(found: list[str], passes: int = PASSES, seed: int = 5) -> np.ndarray:
 
 def train(docs: DataFrame, sample: int = SAMPLE, most: int = STRETCHES) -> np.ndarray:
     """On at most ``most`` stretches of at most ``sample`` documents, taken by a hash."""
-    text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h")).filter(F.col("text").rlike("[0-9@]"))
-    rows = rows.orderBy("h", "text").limit(sample)
+    rows = texts_by_hash(docs, sample, F.col("text").rlike("[0-9@]"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,7 +343,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, most: int = STRETCHES) -> np.nd
                 found = {texts.bytes[a:z].tobytes().decode() for _, a, z in zip(*stretches(texts), strict=True) if z - a <= 400}
                 yield pa.RecordBatch.from_pydict({"s": sorted(found)}, schema=pa.schema([("s", pa.string())]))
 
-    got = rows.select("text").mapInArrow(split, "s string").distinct().orderBy(F.xxhash64("s"), "s").limit(most).collect()
+    got = rows.mapInArrow(split, "s string").distinct().orderBy(F.xxhash64("s"), "s").limit(most).collect()
     return fit([r["s"] for r in got])
 
 
