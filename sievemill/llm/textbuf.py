@@ -6,6 +6,8 @@ single bytes in UTF-8, so words of bytes are words of characters.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer text is worked on alone and whole.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -34,9 +36,20 @@ _BYTE = mix(np.arange(256, dtype=U64), 77)
 _STEP = 0xD6E8FEB86659FD93
 
 
-def _powers(n: int) -> np.ndarray:
+_STEP_BACK = pow(_STEP, -1, 2**64)
+_tables: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n - 1 of the hash's factor, and of its inverse; kept while they are few."""
+    if _tables and len(_tables[0]) >= n:
+        return _tables
+    n = max(n, PIECE + 2)
     with np.errstate(over="ignore"):
-        return np.concatenate([np.ones(1, U64), np.cumprod(np.full(max(n - 1, 0), U64(_STEP)))])
+        made = [np.concatenate([np.ones(1, U64), np.cumprod(np.full(n - 1, U64(x)))]) for x in (_STEP, _STEP_BACK)]
+    if n <= PIECE + 2:
+        _tables[:] = made
+    return made
 
 
 class Texts:
@@ -88,14 +101,13 @@ def segment_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """A 64-bit hash of each of the ascending, disjoint, non-empty byte ranges."""
     if not len(start):
         return np.zeros(0, U64)
-    length = end - start
-    total = int(length.sum())
-    begin = np.concatenate([[0], np.cumsum(length)[:-1]])
-    at = np.arange(total) - np.repeat(begin, length)
-    source = np.repeat(start, length) + at
-    powers = _powers(int(length.max()))
+    forth, back = _powers(len(b) + 1)
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(_BYTE[b[source]] * powers[at], begin) ^ mix(length.astype(U64), 5))
+        total = np.zeros(len(b) + 1, U64)
+        np.cumsum(_BYTE[b] * forth[: len(b)], out=total[1:])
+        # the sum of byte * factor ** (place in its range)
+        sums = (total[end] - total[start]) * back[start]
+        return mix(sums ^ mix((end - start).astype(U64), 5))
 
 
 def windows(words: Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +171,13 @@ def distinct(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row[order][~equal_to_last(row[order], value[order])], minlength=n)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``PIECE`` bytes of ``column``."""
     if not batch.num_rows:
@@ -171,6 +190,7 @@ def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         hi = max(lo + 1, int(np.searchsorted(size, before + PIECE, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    release()
 
 
 def of(batch: pa.RecordBatch, column: str) -> Texts:
