@@ -1,15 +1,16 @@
 """Exact top-k BM25 search: an inverted index in shards with block-max WAND pruning.
 
 The indexing job writes shards of about ``POSTINGS`` postings: documents in order of id, in
-blocks of ``BLOCK``; for every term its postings (document, frequency), and for every block that
-has the term the largest frequency and the least length there, which bound the term's
+blocks of ``BLOCK``; for every term its postings (document, frequency), and for every block
+that has the term the largest frequency and the least length there, which bound the term's
 score in the block whatever the global statistics turn out to be.
 
-Document frequencies are summed over the shards, so scores are global. A query is routed
-to the shards that have one of its terms, in chunks of queries. In a shard the bounds of
-the query's terms are added up by block; blocks are visited in order of that sum and only
-while it can still reach the k-th best score, which is exact. The shards' best are merged
-by one ranking for each query.
+Document frequencies are summed over the shards, so scores are global. Queries are held
+against the shards in blocks: a task takes a chunk of queries through a group of shards,
+one after the other, and carries each query's best along. In a shard the bounds of a
+query's terms are added up by block; the blocks of the largest sums are scored first, and
+of the rest only those that can still reach the k-th best score so far, which is exact.
+What the groups found is merged by one ranking for each query.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from sievemill.llm.token_files import filesystem, settle
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-#: Queries in a chunk, and blocks that are scored at once.
-CHUNK, STEP = 2000, 64
+#: Queries in a chunk, shards in a group, and postings of queries that are looked at at once.
+CHUNK, GROUP, AT_ONCE = 1000, 64, 1_000_000
 #: Postings of a shard, about: what a task holds in memory.
 POSTINGS = 4_000_000
 _U64 = np.uint64
@@ -55,95 +56,126 @@ def _counted(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return row[new], h[new], np.diff(np.append(new, len(h)))
 
 
+def _smallest(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max()))) if len(a) and a.dtype.kind == "u" else a
+
+
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0] + 1, ... n[0] of them, then those of the next."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _top(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of every query's best ``k``, by query, score and id."""
+    order = np.lexsort((ids, -score, q))
+    first = np.searchsorted(q[order], q[order], "left")
+    return order[np.arange(len(order)) - first < k]
+
+
 class Shard:
-    """Arrays of one shard; ``save`` and ``load`` keep them as one file."""
+    """Arrays of one shard. ``block_at`` and ``posting_at`` begin a term's blocks and a
+    block's postings, and have one element more than those."""
 
-    NAMES = (
-        ("ids", "<i8"), ("lengths", "<u4"), ("terms", "<u8"), ("first", "<u8"), ("doc", "<u4"), ("tf", "<u4"),
-        ("block_first", "<u8"), ("block", "<u4"), ("block_tf", "<u4"), ("block_length", "<u4"),
-    )
+    NAMES = ("ids", "lengths", "terms", "block_at", "block", "block_tf", "block_length", "posting_at", "doc", "tf")
 
-    def __init__(self, **arrays: np.ndarray):
-        for name, _ in self.NAMES:
-            setattr(self, name, arrays[name])
+    def __init__(self, *arrays: np.ndarray):
+        for name, a in zip(self.NAMES, arrays, strict=True):
+            setattr(self, name, a)
 
     @classmethod
     def build(cls, ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Shard:
         """``doc``: positions in ``ids``, which ascend."""
         order = np.lexsort((doc, term))
         doc, term, tf = doc[order], term[order], tf[order]
-        starts = np.flatnonzero(~textbuf.equal_to_last(term))
         block = doc // BLOCK
         cuts = np.flatnonzero(~textbuf.equal_to_last(term, block))
+        starts = np.flatnonzero(~textbuf.equal_to_last(term[cuts]))
         most = np.maximum.reduceat(tf, cuts) if len(cuts) else tf[:0]
         least = np.minimum.reduceat(lengths[doc], cuts) if len(cuts) else lengths[:0]
         return cls(
-            ids=ids, lengths=lengths, terms=term[starts], first=np.append(starts, len(doc)), doc=doc, tf=tf,
-            block_first=np.append(np.searchsorted(cuts, starts), len(cuts)), block=block[cuts], block_tf=most, block_length=least,
+            ids, lengths, term[cuts][starts], np.append(starts, len(cuts)), block[cuts], most, least,
+            np.append(cuts, len(doc)), doc, tf,
         )
 
     def save(self, out) -> None:
-        arrays = [np.ascontiguousarray(getattr(self, n), t) for n, t in self.NAMES]
-        out.write(np.array([len(a) for a in arrays], "<u8").tobytes())
-        for a in arrays:
-            out.write(a.tobytes())
+        """Each array: its kind (8 bytes), the bytes of its compressed form, that form."""
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1).compress
+        for n in self.NAMES:
+            a = getattr(self, n)
+            a = a if n in ("ids", "terms") else _smallest(a.astype(np.uint64))
+            data = press(np.ascontiguousarray(a).tobytes())
+            out.write(a.dtype.str.encode().ljust(8) + len(data).to_bytes(8, "little") + data)
 
     @classmethod
-    def load(cls, data: bytes) -> Shard:
-        size = np.frombuffer(data, "<u8", len(cls.NAMES))
-        at, out = 8 * len(cls.NAMES), {}
-        for (name, kind), n in zip(cls.NAMES, size.tolist(), strict=True):
-            out[name] = np.frombuffer(data, kind, n, at)
-            at += n * np.dtype(kind).itemsize
-        return cls(**out)
-
-    def search(self, term: np.ndarray, weight: np.ndarray, k: int, average: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, blocks scored): the best ``k`` of the shard, by score, then id.
-        ``term`` ascends; a document's terms are added in that order, so equal documents
-        have equal scores in every shard."""
+    def load(cls, data: bytes, names: tuple[str, ...] = NAMES) -> Shard:
+        """Only the arrays ``names``; the others are None."""
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
+        at, out = 0, []
+        for n in cls.NAMES:
+            kind, size = data[at : at + 8].decode().strip(), int.from_bytes(data[at + 8 : at + 16], "little")
+            at += 16
+            out.append(np.frombuffer(expand(data[at : at + size]), kind) if n in names else None)
+            at += size
+        return cls(*out)
+
+    def search(
+        self, q: np.ndarray, term: np.ndarray, weight: np.ndarray, least: np.ndarray, k: int, average: float
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query, id, score, blocks scored): all that can be among the best ``k`` of a query.
+
+        Rows (q, term, weight) ascend by both; ``least`` has the k-th best score so far of
+        every query number. A document's terms are added up in their order and the sum is
+        rounded, so equal documents have equal scores in every shard.
+        """
         at = np.searchsorted(self.terms, term)
         at = np.minimum(at, len(self.terms) - 1)
         there = self.terms[at] == term
-        at, weight = at[there], weight[there]
-        none = np.zeros(0, np.int64), np.zeros(0), 0
-        if not len(at):
-            return none
+        q, at, weight = q[there], at[there], weight[there]
 
         def impact(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-            return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
-
-        def gather(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            lo, n = first[at].astype(np.int64), (first[at + 1] - first[at]).astype(np.int64)
-            return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), np.repeat(weight, n)
-
-        index, w = gather(self.block_first)
-        blocks, where = np.unique(self.block[index], return_inverse=True)
-        bound = np.bincount(where, w * impact(self.block_tf[index].astype(float), self.block_length[index].astype(float)))
-        order = np.argsort(-bound, kind="stable")
-        index, w = gather(self.first)
-        doc = self.doc[index].astype(np.int64)
-        of_block = np.searchsorted(blocks, doc // BLOCK)
-        place = np.empty(len(blocks), np.int64)
-        place[order] = np.arange(len(blocks))
-        step = place[of_block] // STEP
-        by_step = np.argsort(step, kind="stable")
-        ends = np.searchsorted(step[by_step], np.arange(int(step.max()) + 2))
-        best_doc, best = np.zeros(0, np.int64), np.zeros(0)
-        scored = 0
-        for s in range(len(ends) - 1):
-            least = best[-1] if len(best) == k else 0.0
-            if bound[order[s * STEP]] * (1 + 1e-9) < least:
-                break
-            some = by_step[ends[s] : ends[s + 1]]
-            # only the blocks of this step that can still reach the k-th best
-            some = some[bound[of_block[some]] * (1 + 1e-9) >= least]
-            scored += len(np.unique(of_block[some]))
-            docs, where = np.unique(doc[some], return_inverse=True)
-            value = np.bincount(where, w[some] * impact(self.tf[index[some]].astype(float), self.lengths[doc[some]].astype(float)))
-            best_doc, best = np.concatenate([best_doc, docs]), np.concatenate([best, value])
-            top = np.lexsort((best_doc, -best))[:k]
-            best_doc, best = best_doc[top], best[top]
-        return self.ids[best_doc], best, scored
+            return tf * (K1 + 1.0) / (tf + K1 * (1 - B + B * length / average))
+
+        lo = self.block_at[at].astype(np.int64)
+        n = self.block_at[at + 1].astype(np.int64) - lo
+        entry, w, q = _spread(lo, n), np.repeat(weight, n), np.repeat(q, n)
+        blocks = len(self.ids) // BLOCK + 1
+        keys, where = np.unique(q * blocks + self.block[entry], return_inverse=True)
+        bound = np.bincount(where, w * impact(self.block_tf[entry], self.block_length[entry]), minlength=len(keys))
+        bound = bound * (1 + 1e-9) + 1e-8
+        of = keys // blocks
+
+        def scored(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            some = np.flatnonzero(chosen[where])
+            lo = self.posting_at[entry[some]].astype(np.int64)
+            n = self.posting_at[entry[some] + 1].astype(np.int64) - lo
+            index = _spread(lo, n)
+            doc = self.doc[index].astype(np.int64)
+            pairs, into = np.unique(np.repeat(q[some], n) * (blocks * BLOCK) + doc, return_inverse=True)
+            value = np.bincount(into, np.repeat(w[some], n) * impact(self.tf[index], self.lengths[doc]), minlength=len(pairs))
+            return pairs // (blocks * BLOCK), self.ids[pairs % (blocks * BLOCK)], np.round(value, 9)
+
+        hope = bound >= least[of]
+        first = np.zeros(len(keys), bool)
+        order = np.lexsort((-bound, of))
+        first[order[np.arange(len(order)) - np.searchsorted(of[order], of[order], "left") < 2 * k]] = True
+        first &= hope
+        got = scored(first)
+        top = _top(*got, k)
+        found, times = np.unique(got[0][top], return_counts=True)
+        last = top[np.cumsum(times) - 1][times == k]
+        least = least.copy()
+        least[got[0][last]] = np.maximum(least[got[0][last]], got[2][last])
+        rest = hope & ~first & (bound >= least[of])
+        more = scored(rest)
+        every = [np.concatenate(x) for x in zip(got, more, strict=True)]
+        keep = every[2] >= np.maximum(least[every[0]], 1e-9)
+        every = [x[keep] for x in every]
+        top = _top(*every, k)
+        return every[0][top], every[1][top], every[2][top], int((first | rest).sum())
 
 
 def _index(folder: str):
@@ -192,22 +224,21 @@ def build(docs: DataFrame, folder: str) -> DataFrame:
     return cut(rows.filter("doc_id is not null").mapInArrow(_index(folder), "shard long, documents long, words long"))
 
 
-def _load(folder: str, number: int) -> Shard:
+def _load(folder: str, number: int, names: tuple[str, ...] = Shard.NAMES) -> Shard:
     fs, at = filesystem(folder)
     with fs.open_input_stream(f"{at}/index-{number}") as f:
-        return Shard.load(f.read())
+        return Shard.load(f.read(), names)
 
 
 def _vocabulary(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in batch.column(0).to_pylist():
-                shard = _load(folder, number)
-                df = np.diff(shard.first.astype(np.int64))
+                shard = _load(folder, number, ("terms", "block_at", "posting_at"))
+                df = np.diff(shard.posting_at[shard.block_at].astype(np.int64))
                 for lo in range(0, len(df), 100_000):
                     part = slice(lo, lo + 100_000)
-                    n = len(df[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(shard.terms[part].view(np.int64)), pa.array(df[part])], ["shard", "term", "df"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.terms[part].view(np.int64)), pa.array(df[part])], ["term", "df"])
 
     return run
 
@@ -220,26 +251,60 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(folder: str, k: int, average: float):
+    """Rows (chunk, group, query_id, term, w), ordered; those without a query name, as
+    their term, the shards of the group, and come first."""
+
+    def answer(shards: list[int], ids: np.ndarray, term: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+        # rows come by query, and by term as a signed number: put terms in the index's order
+        names, q = np.unique(ids, return_inverse=True)
+        term = term.view(_U64)
+        order = np.lexsort((term, q))
+        q, term, weight = q[order].astype(np.int64), term[order], weight[order]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        least = np.zeros(len(names))
+        for number in shards:
+            shard = _load(folder, number)
+            at = np.minimum(np.searchsorted(shard.terms, term), len(shard.terms) - 1)
+            size = np.cumsum(np.where(shard.terms[at] == term, np.diff(shard.posting_at[shard.block_at].astype(np.int64))[at], 0))
+            ends = np.append(np.flatnonzero(q[1:] != q[:-1]) + 1, len(q))
+            lo = 0
+            while lo < len(q):  # whole queries, as many as AT_ONCE allows
+                before = size[lo - 1] if lo else 0
+                fit = ends[(ends > lo) & (size[ends - 1] - before <= AT_ONCE)]
+                hi = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, lo, "right")])
+                part = slice(lo, hi)
+                got = shard.search(q[part], term[part], weight[part], least, k, average)[:3]
+                best = tuple(np.concatenate(x) for x in zip(best, got, strict=True))
+                lo = hi
+            top = _top(*best, k)
+            best = tuple(x[top] for x in best)
+            found, times = np.unique(best[0], return_counts=True)
+            full = times == k
+            least[found[full]] = best[2][(np.cumsum(times) - 1)[full]]
+        return pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "doc_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, shard, key, held = None, None, None, []
+        key, shards, held = None, [], []
 
-        def answer() -> pa.RecordBatch:
-            term = np.array([t for t, _ in held], np.int64).view(_U64)
-            order = np.argsort(term)
-            ids, scores, _ = shard.search(term[order], np.array([w for _, w in held])[order], k, average)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key[1])), pa.array(ids), pa.array(scores)], ["query_id", "doc_id", "score"])
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield answer(shards, *(np.concatenate(c) for c in zip(*held, strict=True)))
 
         for batch in batches:
-            for s, q, t, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (s, q) != key:
-                    if held:
-                        yield answer()
-                    if s != number:
-                        number, shard = s, _load(folder, s)
-                    key, held = (s, q), []
-                held.append((t, w))
-        if held:
-            yield answer()
+            chunk, group, query, term, weight = (c for c in batch.columns)
+            keys = np.stack([chunk.to_numpy(), group.to_numpy()], 1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if tuple(keys[lo]) != key:
+                    yield from close()
+                    key, shards, held = tuple(keys[lo]), [], []
+                asks = query.slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)
+                t = term.slice(lo, hi - lo).to_numpy()
+                shards += t[~asks].tolist()
+                if asks.any():
+                    ids = query.slice(lo, hi - lo).drop_null().to_numpy()
+                    held.append((ids, t[asks], weight.slice(lo, hi - lo).to_numpy()[asks]))
+        yield from close()
 
     return run
 
@@ -254,37 +319,39 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, max_terms: int | Non
     have no term give no rows. A document that stands in several rows is a result for each;
     rows without an id are neither documents nor queries. Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
     manifest = build(docs, folder)
     total = manifest.agg(F.sum("documents").alias("n"), F.sum("words").alias("w"), F.count("*").alias("s")).first()
     n, words, shards = total["n"] or 0, total["w"] or 0, total["s"]
     average = max(words / n, 1e-9) if n else 1.0
     spread = manifest.repartitionByRange(max(1, min(shards, 10_000)), "shard").select("shard")
-    vocabulary = spread.mapInArrow(_vocabulary(folder), "shard long, term long, df long")
+    vocabulary = spread.mapInArrow(_vocabulary(folder), "term long, df long")
 
     ids = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text"))
     asked = cut(ids.filter("query_id is not null and text is not null").mapInArrow(_query_terms, "query_id long, term long").distinct())
     known = asked.select("term").distinct()
-    df = cut(vocabulary.join(known, "term", "left_semi"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weights = cut(df.groupBy("term").agg(F.sum("df").alias("n")).select("term", idf.alias("w"), "n"))
-    weighed = asked.join(weights, "term")
+    df = vocabulary.join(known, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("n"))
+    weighed = asked.join(cut(df.select("term", idf.alias("w"), "n")), "term")
     if max_terms is not None:
         by_weight = Window.partitionBy("query_id").orderBy(F.desc("w"), "term")
         weighed = weighed.filter("n > 1").withColumn("r", F.row_number().over(by_weight)).filter(F.col("r") <= max_terms)
-    weighed = cut(weighed.select("query_id", "term", "w"))
-    chunks = max(1, -(-queries.count() // CHUNK))
-    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
-    routed = (
-        weighed.join(df.select("shard", "term"), "term")
-        .select("shard", chunk.alias("chunk"), "query_id", "term", "w")
-        .repartition("shard", "chunk")
-        .sortWithinPartitions("shard", "chunk", "query_id", "term")
-        .select("shard", "query_id", "term", "w")
+    chunks, groups = max(1, -(-queries.count() // CHUNK)), max(1, -(-shards // GROUP))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
+    asks = weighed.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("long").alias("chunk"), F.explode(every).alias("group"), "query_id", "term", "w"
+    )
+    group = F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("long")
+    members = manifest.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), group.alias("group"),
+        F.lit(None).cast("long").alias("query_id"), F.col("shard").alias("term"), F.lit(0.0).alias("w"),
+    )
+    blocks = (
+        members.unionByName(asks)
+        .repartition(min(chunks * groups, 10_000), "chunk", "group")
+        .sortWithinPartitions("chunk", "group", F.col("query_id").asc_nulls_first(), "term")
     )
-    found = routed.mapInArrow(_search(folder, k, average), "query_id long, doc_id long, score double")
-    found = found.withColumn("score", F.round("score", 9))
+    found = blocks.mapInArrow(_search(folder, k, average), "query_id long, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

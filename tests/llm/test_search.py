@@ -62,7 +62,9 @@ def close(a, b):
 
 
 def test_same_as_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(s, "STEP", 2)
+    monkeypatch.setattr(s, "AT_ONCE", 700)
+    monkeypatch.setattr(s, "CHUNK", 9)
+    monkeypatch.setattr(s, "GROUP", 3)
     monkeypatch.setattr(s, "POSTINGS", 900)
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
@@ -84,12 +86,23 @@ def test_formulated_queries(spark):
 def test_blocks_are_skipped():
     rng = np.random.default_rng(1)
     n = 64 * 200
-    doc = np.sort(np.concatenate([rng.integers(0, n, 20_000), np.arange(5)]))
-    doc = np.unique(doc)
+    doc = np.unique(np.concatenate([rng.integers(0, n, 20_000), np.arange(5)]))
     tf = np.where(doc < 5, 50, 1)
     shard = s.Shard.build(np.arange(n), np.full(n, 10, np.uint32), doc.astype(np.uint32), np.full(len(doc), 9, np.uint64), tf.astype(np.uint32))
-    ids, scores, scored = shard.search(np.array([9], np.uint64), np.array([1.0]), 3, 10.0)
-    assert ids.tolist() == [0, 1, 2] and scored < 70 and scores[0] == scores[2]
+    ask = np.array([0]), np.array([9], np.uint64), np.array([1.0])
+    q, ids, scores, scored = shard.search(*ask, np.zeros(1), 3, 10.0)
+    assert ids.tolist() == [0, 1, 2] and scored <= 7 and scores[0] == scores[2] and not q.any()
+    assert shard.search(*ask, np.array([99.0]), 3, 10.0)[3] == 0
+
+
+def test_shards_are_read_as_written():
+    import io
+
+    shard = s.Shard.build(np.array([-5, 7]), np.array([3, 70_000]), np.array([0, 1, 1]), np.array([8, 8, 2], np.uint64), np.array([1, 300, 2]))
+    out = io.BytesIO()
+    shard.save(out)
+    back = s.Shard.load(out.getvalue())
+    assert all((getattr(back, n) == getattr(shard, n)).all() for n in s.Shard.NAMES)
 
 
 def test_empty_tables(spark):
