@@ -78,7 +78,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     queries = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    return search.top_k(docs, queries, k=10, max_terms=32)
+    return search.top_k(docs, queries, k=10)
 
 
 QUERIES = {

@@ -8,9 +8,10 @@ score in the block whatever the global statistics turn out to be.
 Document frequencies are summed over the shards, so scores are global. Queries are held
 against the shards in blocks: a task takes a chunk of queries through a group of shards,
 one after the other, and carries each query's best along. In a shard the bounds of a
-query's terms are added up by block; the blocks of the largest sums are scored first, and
-of the rest only those that can still reach the k-th best score so far, which is exact.
-What the groups found is merged by one ranking for each query.
+query's terms are added up by block, and a query visits only blocks that can still reach
+its k-th best score so far, which is exact. Terms that many documents have are multiplied
+as a matrix of impacts, others are added up from their postings. What the groups found is
+merged by one ranking for each query.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ from sievemill.llm.token_files import filesystem, settle
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: Queries in a chunk, shards in a group, and postings of queries that are looked at at once.
-CHUNK, GROUP, AT_ONCE = 1000, 64, 1_000_000
+CHUNK, GROUP, AT_ONCE = 1000, 64, 500_000
+#: Blocks that are scored at once, and the share of a shard's documents that makes a term
+#: frequent: its impacts are multiplied as a matrix.
+STEP, FREQUENT = 16, 0.04
 #: Postings of a shard, about: what a task holds in memory.
 POSTINGS = 4_000_000
 _U64 = np.uint64
@@ -72,6 +76,10 @@ def _top(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarra
     return order[np.arange(len(order)) - first < k]
 
 
+def _impact(tf: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
+    return tf * (K1 + 1.0) / (tf + K1 * (1 - B + B * length / average))
+
+
 class Shard:
     """Arrays of one shard. ``block_at`` and ``posting_at`` begin a term's blocks and a
     block's postings, and have one element more than those."""
@@ -122,60 +130,86 @@ class Shard:
             at += size
         return cls(*out)
 
+    def frequent(self, at: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each of ``terms`` in the matrix or -1, matrix of impacts by document,
+        and of the largest by block): those of the terms ``at`` that ``FREQUENT`` of the
+        documents have."""
+        df = np.diff(self.posting_at[self.block_at].astype(np.int64))
+        some = np.unique(at)
+        some = some[df[some] >= max(2, FREQUENT * len(self.ids))]
+        place = np.full(len(self.terms), -1)
+        place[some] = np.arange(len(some))
+        blocks = -(-len(self.ids) // BLOCK)
+        dense = np.zeros((len(some), blocks * BLOCK))
+        index = _spread(self.posting_at[self.block_at[some]].astype(np.int64), df[some])
+        doc = self.doc[index].astype(np.int64)
+        dense[np.repeat(np.arange(len(some)), df[some]), doc] = _impact(self.tf[index], self.lengths[doc], average)
+        return place, dense, dense.reshape(len(some), blocks, BLOCK).max(2)
+
     def search(
-        self, q: np.ndarray, term: np.ndarray, weight: np.ndarray, least: np.ndarray, k: int, average: float
+        self, q: np.ndarray, at: np.ndarray, weight: np.ndarray, least: np.ndarray, k: int, average: float,
+        place: np.ndarray, dense: np.ndarray, high: np.ndarray,
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(query, id, score, blocks scored): all that can be among the best ``k`` of a query.
 
-        Rows (q, term, weight) ascend by both; ``least`` has the k-th best score so far of
-        every query number. A document's terms are added up in their order and the sum is
-        rounded, so equal documents have equal scores in every shard.
+        Rows (q, at, weight) ascend by query; ``at`` are places in ``terms``, and ``least``
+        has the k-th best score so far of every query. Terms of the matrix ``dense`` are
+        multiplied (``high`` has their bounds), the others added from their postings. Documents are visited in steps of
+        ``STEP`` blocks; a query skips a step none of whose blocks' bounds reaches its k-th
+        best score. Scores are rounded, so equal documents have equal scores.
         """
-        at = np.searchsorted(self.terms, term)
-        at = np.minimum(at, len(self.terms) - 1)
-        there = self.terms[at] == term
-        q, at, weight = q[there], at[there], weight[there]
-
-        def impact(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-            return tf * (K1 + 1.0) / (tf + K1 * (1 - B + B * length / average))
-
+        n, blocks = len(least), high.shape[1]
+        column = place[at]
+        common = column >= 0
+        w = np.zeros((n, len(dense)))
+        w[q[common], column[common]] = weight[common]
+        q, at, weight = q[~common], at[~common], weight[~common]
+
+        bound = w @ high
         lo = self.block_at[at].astype(np.int64)
-        n = self.block_at[at + 1].astype(np.int64) - lo
-        entry, w, q = _spread(lo, n), np.repeat(weight, n), np.repeat(q, n)
-        blocks = len(self.ids) // BLOCK + 1
-        keys, where = np.unique(q * blocks + self.block[entry], return_inverse=True)
-        bound = np.bincount(where, w * impact(self.block_tf[entry], self.block_length[entry]), minlength=len(keys))
-        bound = bound * (1 + 1e-9) + 1e-8
-        of = keys // blocks
-
-        def scored(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            some = np.flatnonzero(chosen[where])
-            lo = self.posting_at[entry[some]].astype(np.int64)
-            n = self.posting_at[entry[some] + 1].astype(np.int64) - lo
-            index = _spread(lo, n)
-            doc = self.doc[index].astype(np.int64)
-            pairs, into = np.unique(np.repeat(q[some], n) * (blocks * BLOCK) + doc, return_inverse=True)
-            value = np.bincount(into, np.repeat(w[some], n) * impact(self.tf[index], self.lengths[doc]), minlength=len(pairs))
-            return pairs // (blocks * BLOCK), self.ids[pairs % (blocks * BLOCK)], np.round(value, 9)
-
-        hope = bound >= least[of]
-        first = np.zeros(len(keys), bool)
-        order = np.lexsort((-bound, of))
-        first[order[np.arange(len(order)) - np.searchsorted(of[order], of[order], "left") < 2 * k]] = True
-        first &= hope
-        got = scored(first)
-        top = _top(*got, k)
-        found, times = np.unique(got[0][top], return_counts=True)
-        last = top[np.cumsum(times) - 1][times == k]
-        least = least.copy()
-        least[got[0][last]] = np.maximum(least[got[0][last]], got[2][last])
-        rest = hope & ~first & (bound >= least[of])
-        more = scored(rest)
-        every = [np.concatenate(x) for x in zip(got, more, strict=True)]
-        keep = every[2] >= np.maximum(least[every[0]], 1e-9)
-        every = [x[keep] for x in every]
+        count = self.block_at[at + 1].astype(np.int64) - lo
+        entry = _spread(lo, count)
+        most = np.repeat(weight, count) * _impact(self.block_tf[entry], self.block_length[entry], average)
+        bound += np.bincount(np.repeat(q, count) * blocks + self.block[entry], most, minlength=n * blocks).reshape(n, blocks)
+        bound = bound * (1 + 1e-9) + 1e-5  # scores are rounded
+
+        lo = self.posting_at[self.block_at[at]].astype(np.int64)
+        count = self.posting_at[self.block_at[at + 1]].astype(np.int64) - lo
+        index = _spread(lo, count)
+        doc = self.doc[index].astype(np.int64)
+        value = np.repeat(weight, count) * _impact(self.tf[index], self.lengths[doc], average)
+        of = np.repeat(q, count)
+        order = np.argsort(doc // (STEP * BLOCK), kind="stable")
+        doc, value, of = doc[order], value[order], of[order]
+
+        least = np.maximum(least, 1e-6)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        scored = 0
+        for first in range(0, blocks, STEP):
+            reach = bound[:, first : first + STEP] >= least[:, None]
+            rows = np.flatnonzero(reach.any(1))
+            if not len(rows):
+                continue
+            scored += int(reach.sum())
+            a, z = first * BLOCK, min((first + STEP) * BLOCK, len(self.ids))
+            score = w[rows] @ dense[:, a:z]
+            seat = np.full(n, -1)
+            seat[rows] = np.arange(len(rows))
+            x, y = np.searchsorted(doc // (STEP * BLOCK), [first // STEP, first // STEP + 1])
+            here = seat[of[x:y]]
+            ok = here >= 0
+            score += np.bincount(here[ok] * (z - a) + doc[x:y][ok] - a, value[x:y][ok], minlength=score.size).reshape(score.shape)
+            score = np.round(score, 6)
+            if score.shape[1] > k:
+                kth = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                least[rows] = np.maximum(least[rows], kth)
+            r, c = np.nonzero(score >= least[rows][:, None])
+            found.append((rows[r], self.ids[a + c], score[r, c]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+        every = [np.concatenate(x) for x in zip(*found, strict=True)]
         top = _top(*every, k)
-        return every[0][top], every[1][top], every[2][top], int((first | rest).sum())
+        return every[0][top], every[1][top], every[2][top], scored
 
 
 def _index(folder: str):
@@ -265,16 +299,19 @@ def _search(folder: str, k: int, average: float):
         for number in shards:
             shard = _load(folder, number)
             at = np.minimum(np.searchsorted(shard.terms, term), len(shard.terms) - 1)
-            size = np.cumsum(np.where(shard.terms[at] == term, np.diff(shard.posting_at[shard.block_at].astype(np.int64))[at], 0))
-            ends = np.append(np.flatnonzero(q[1:] != q[:-1]) + 1, len(q))
+            there = shard.terms[at] == term
+            if not there.any():
+                continue
+            at, own, weights = at[there], q[there], weight[there]
+            place, dense, high = shard.frequent(at, average)
+            cost = np.where(place[at] < 0, np.diff(shard.posting_at[shard.block_at].astype(np.int64))[at], 0)
+            cost = np.bincount(own, cost, minlength=len(names)) + high.shape[1]
             lo = 0
-            while lo < len(q):  # whole queries, as many as AT_ONCE allows
-                before = size[lo - 1] if lo else 0
-                fit = ends[(ends > lo) & (size[ends - 1] - before <= AT_ONCE)]
-                hi = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, lo, "right")])
-                part = slice(lo, hi)
-                got = shard.search(q[part], term[part], weight[part], least, k, average)[:3]
-                best = tuple(np.concatenate(x) for x in zip(best, got, strict=True))
+            while lo < len(names):  # as many queries as AT_ONCE allows
+                hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(cost[lo:]), AT_ONCE, "right")))
+                x, y = np.searchsorted(own, [lo, hi])
+                got = shard.search(own[x:y] - lo, at[x:y], weights[x:y], least[lo:hi], k, average, place, dense, high)
+                best = tuple(np.concatenate(z) for z in zip(best, (got[0] + lo, *got[1:3]), strict=True))
                 lo = hi
             top = _top(*best, k)
             best = tuple(x[top] for x in best)
@@ -311,7 +348,7 @@ def _search(folder: str, k: int, average: float):
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, max_terms: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score): for every query (query_id, text) the ``k`` documents
-    of highest BM25 score over 0, ties by doc_id; scores are rounded to 9 decimals.
+    of highest BM25 score over 0, ties by doc_id; scores are rounded to 6 decimals.
 
     A query is its text's distinct terms. With ``max_terms`` it is formulated, from its
     whole text, of that many terms of highest inverse document frequency among those that
@@ -336,6 +373,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, max_terms: int | Non
     if max_terms is not None:
         by_weight = Window.partitionBy("query_id").orderBy(F.desc("w"), "term")
         weighed = weighed.filter("n > 1").withColumn("r", F.row_number().over(by_weight)).filter(F.col("r") <= max_terms)
+    weighed = cut(weighed.select("query_id", "term", "w"))
     chunks, groups = max(1, -(-queries.count() // CHUNK)), max(1, -(-shards // GROUP))
     every = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
     asks = weighed.select(
@@ -348,7 +386,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, max_terms: int | Non
     )
     blocks = (
         members.unionByName(asks)
-        .repartition(min(chunks * groups, 10_000), "chunk", "group")
+        .repartitionByRange(min(chunks * groups, 10_000), "chunk", "group")  # about one a task
         .sortWithinPartitions("chunk", "group", F.col("query_id").asc_nulls_first(), "term")
     )
     found = blocks.mapInArrow(_search(folder, k, average), "query_id long, doc_id long, score double")
