@@ -4,9 +4,10 @@ Two first-order models over bytes are trained: one of random strings (secrets th
 patterns find in a labelled sample, and strings drawn at random from usual alphabets) and
 one of ordinary identifiers (words of the sample, alone and joined). A candidate is a long
 run of key characters of at least two classes; the method takes it if the log-likelihood
-ratio is above a threshold both a character and in total. The threshold is set on held-out
-identifiers. A run's ratio is a difference of two running sums, so a batch of texts is
-scored in one pass over its bytes.
+ratio a character is above a threshold. Words of the sample may be secrets that no pattern
+finds, so only those teach that are clearly ordinary, and the threshold is set on
+held-out joined words. A run's ratio is a difference of two running sums, so a batch of
+texts is scored in one pass over its bytes.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Documents to train on, shortest candidate, and the share of held-out identifiers that
 #: may look random.
 SAMPLE, MIN_CHARS, FALSE_SHARE = 2000, 16, 0.0002
+#: At most this a character, a word of the sample that is not of letters in usual case is
+#: learned as ordinary; words nearer to random ones may be secrets.
+CLEAR = -1.0
+_WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 _KEY = sp.byte_class(sp.DIGITS + sp.UPPER + sp.LOWER + "+/_=-")
 _DIGIT, _UPPER, _LOWER = sp.byte_class(sp.DIGITS), sp.byte_class(sp.UPPER), sp.byte_class(sp.LOWER)
 
@@ -73,19 +78,31 @@ def fit(secrets: list[str], identifiers: list[str]) -> Model:
     rng = random.Random(11)
     alphabets = ["0123456789abcdef", sp.LOWER + sp.DIGITS, sp.UPPER + sp.DIGITS, sp.UPPER + sp.LOWER + sp.DIGITS, sp.UPPER + sp.LOWER + sp.DIGITS + "+/", sp.UPPER + sp.LOWER + sp.DIGITS + "_-"]
     drawn = ["".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(16, 48))) for i in range(3000)]
-    words = sorted({w for w in identifiers if w})
+    every = sorted({w for w in identifiers if w})
+    words = [w for w in every if len(w) < MIN_CHARS and _WORD.fullmatch(w)]
+    random_ = _counts(drawn + secrets, 0.5)
+    for _ in range(2):
+        learned, held = _ordinary(words)
+        ratio = np.where(np.outer(_KEY, _KEY), random_ - _counts(learned, 0.5), 0.0)
+        words = sorted({*words, *(w for w in every if _mean(ratio, w) <= CLEAR)})
+    scores = [_mean(ratio, w) for w in held]
+    least = float(np.quantile(scores, 1 - FALSE_SHARE)) if scores else 0.0
+    return Model(ratio, max(least, 0.25))
+
+
+def _ordinary(words: list[str]) -> tuple[list[str], list[str]]:
+    """``words`` and joined ones to learn from, and joined ones to hold out."""
+    rng = random.Random(12)
+    words = [*words]
     rng.shuffle(words)
-    plain = words[:20_000] or ["identifier", "value", "name"]
+    words = words[:20_000]
+    plain = [w for w in words if _WORD.fullmatch(w)] or ["identifier", "value", "name"]
     joiners = ("_", "-", "/", "", "=")
     linked = [joiners[i % 5].join(rng.choice(plain) if i % 2 else rng.choice(plain).title() for _ in range(rng.randint(2, 4))) for i in range(6000)]
     numbered = [f"{rng.choice(plain)}{rng.choice(joiners)}{rng.randint(0, 2030)}" for _ in range(3000)]
-    ordinary = plain + linked + numbered
-    held = [w for i, w in enumerate(ordinary) if i % 4 == 0 and len(w.encode()) >= MIN_CHARS]
-    ratio = _counts(drawn + secrets, 0.5) - _counts([w for i, w in enumerate(ordinary) if i % 4], 0.5)
-    ratio = np.where(np.outer(_KEY, _KEY), ratio, 0.0)
-    scores = [float(_sums(ratio, b)[-1]) / (len(b) - 1) for b in (np.frombuffer(w.encode(), np.uint8) for w in held)]
-    least = float(np.quantile(scores, 1 - FALSE_SHARE)) if scores else 0.0
-    return Model(ratio, max(least, 0.25))
+    made = linked + numbered
+    held = [w for i, w in enumerate(made) if i % 4 == 0 and len(w.encode()) >= MIN_CHARS]
+    return [*(words or plain), *(w for i, w in enumerate(made) if i % 4)], held
 
 
 def _sums(ratio: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,6 +110,11 @@ def _sums(ratio: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(ratio[b[:-1], b[1:]])]) if len(b) else np.zeros(1)
 
 
+def _mean(ratio: np.ndarray, word: str) -> float:
+    b = np.frombuffer(word.encode(), np.uint8)
+    return float(_sums(ratio, b)[-1]) / max(1, len(b) - 1)
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """On at most ``sample`` documents, by a hash; the labels of strings are the patterns'
     finds. Only words and finds of at most 200 characters reach the driver."""

@@ -3,7 +3,10 @@ import random
 import re
 import string
 
+import pyarrow as pa
+
 from sievemill.llm import secrets as s
+from sievemill.llm import textbuf
 
 SCHEMA = "doc_id long, text string, spans int"
 
@@ -49,3 +52,16 @@ def test_random_strings_are_told_from_identifiers(spark):
     hits = [bool(got[i]["n_random"]) for i in range(len(secrets + ordinary))]
     assert sum(hits[:200]) >= 190 and sum(hits[200:]) <= 10
     assert got[hits.index(True)]["spans"] == "random:2:34"
+
+
+def test_unlabelled_keys_in_the_sample_do_not_hide_others():
+    rng = random.Random(10)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "tion", "ing"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(2, 6))) for _ in range(4000)]
+    ordinary = ["_".join(rng.choices(words, k=3)) + str(rng.randrange(100)) for _ in range(1000)]
+    for alphabet in (string.ascii_letters + string.digits, "0123456789ABCDEF"):
+        keys = ["".join(rng.choices(alphabet, k=32)) for _ in range(500)]
+        model = s.fit([], words + keys[:300])
+        texts = textbuf.of(pa.RecordBatch.from_pydict({"text": [f"a {w} b" for w in keys[300:] + ordinary]}), "text")
+        hits = [bool(found) for found in s.found_by_model(texts, model)]
+        assert sum(hits[:200]) >= 160 and sum(hits[200:]) <= 5
