@@ -3,7 +3,8 @@
 Two first-order models over bytes are trained: one of random strings (secrets that the
 patterns find in a labelled sample, and strings drawn at random from usual alphabets) and
 one of ordinary identifiers (words of the sample, alone and joined). A candidate is a long
-run of key characters of at least two classes; the method takes it if the log-likelihood
+run of key characters of at least two classes of digit, upper and lower case, or with many
+letters of one case; the method takes it if the log-likelihood
 ratio a character is above a threshold. Words of the sample may be secrets that no pattern
 finds, so only those teach that are clearly ordinary, and the threshold is set on
 held-out joined words. A run's ratio is a difference of two running sums, so a batch of
@@ -36,6 +37,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Documents to train on, shortest candidate, and the share of held-out identifiers that
 #: may look random.
 SAMPLE, MIN_CHARS, FALSE_SHARE = 2000, 16, 0.0002
+#: Letters of a candidate that are of one case alone.
+LETTERS = 24
 #: At most this a character, a word of the sample that is not of letters in usual case is
 #: learned as ordinary; words nearer to random ones may be secrets.
 CLEAR = -1.0
@@ -84,6 +87,7 @@ def fit(secrets: list[str], identifiers: list[str]) -> Model:
     for _ in range(2):
         learned, held = _ordinary(words)
         ratio = np.where(np.outer(_KEY, _KEY), random_ - _counts(learned, 0.5), 0.0)
+        np.fill_diagonal(ratio, np.minimum(ratio.diagonal(), 0.0))  # a repeated letter is no sign of a key
         words = sorted({*words, *(w for w in every if _mean(ratio, w) <= CLEAR)})
     scores = [_mean(ratio, w) for w in held]
     least = float(np.quantile(scores, 1 - FALSE_SHARE)) if scores else 0.0
@@ -98,7 +102,8 @@ def _ordinary(words: list[str]) -> tuple[list[str], list[str]]:
     words = words[:20_000]
     plain = [w for w in words if _WORD.fullmatch(w)] or ["identifier", "value", "name"]
     joiners = ("_", "-", "/", "", "=")
-    linked = [joiners[i % 5].join(rng.choice(plain) if i % 2 else rng.choice(plain).title() for _ in range(rng.randint(2, 4))) for i in range(6000)]
+    cases = (str.title, str, str.upper)
+    linked = [joiners[i % 5].join(cases[i % 3](rng.choice(plain)) for _ in range(rng.randint(2, 4))) for i in range(6000)]
     numbered = [f"{rng.choice(plain)}{rng.choice(joiners)}{rng.randint(0, 2030)}" for _ in range(3000)]
     made = linked + numbered
     held = [w for i, w in enumerate(made) if i % 4 == 0 and len(w.encode()) >= MIN_CHARS]
@@ -149,11 +154,13 @@ def found_by_model(texts: textbuf.Texts, model: Model) -> list[list[sp.Span]]:
     long = end - start >= MIN_CHARS
     start, end = start[long], end[long]
 
-    def has(cls: np.ndarray) -> np.ndarray:
+    def count(cls: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(cls[b])])
-        return total[end] > total[start]
+        return total[end] - total[start]
 
-    mixed = has(_DIGIT) & (has(_UPPER) | has(_LOWER))
+    digits, upper, lower = (count(cls) for cls in (_DIGIT, _UPPER, _LOWER))
+    mixed = (np.stack([digits, upper, lower]) > 0).sum(0) >= 2
+    mixed |= upper + lower >= LETTERS
     start, end = start[mixed], end[mixed]
     total = _sums(model.ratio, b)
     score = (total[end - 1] - total[start]) / (end - start - 1)

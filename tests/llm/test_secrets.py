@@ -65,3 +65,17 @@ def test_unlabelled_keys_in_the_sample_do_not_hide_others():
         texts = textbuf.of(pa.RecordBatch.from_pydict({"text": [f"a {w} b" for w in keys[300:] + ordinary]}), "text")
         hits = [bool(found) for found in s.found_by_model(texts, model)]
         assert sum(hits[:200]) >= 160 and sum(hits[200:]) <= 5
+
+
+def test_keys_of_letters_alone_are_candidates():
+    rng = random.Random(11)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "tion", "ing"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(2, 6))) for _ in range(4000)]
+    ordinary = ["".join(w.title() for w in rng.choices(words, k=4)) for _ in range(300)] + ["_".join(rng.choices(words, k=5)) for _ in range(300)]
+    ordinary += [w.upper() for w in ordinary[300:]]
+    keys = ["".join(rng.choices(string.ascii_letters, k=20)) for _ in range(200)] + ["".join(rng.choices(string.ascii_uppercase, k=32)) for _ in range(200)]
+    keys += ["".join(rng.choices(string.ascii_lowercase, k=32)) for _ in range(200)]
+    model = s.fit([], words)
+    texts = textbuf.of(pa.RecordBatch.from_pydict({"text": [f"a {w} b" for w in keys + ordinary + ["=" * 40, "1" * 40, "a" * 40]]}), "text")
+    hits = [bool(found) for found in s.found_by_model(texts, model)]
+    assert sum(hits[:600]) >= 590 and sum(hits[600:]) <= 3
