@@ -256,6 +256,34 @@ class Lattice:
         return out[::-1]
 
 
+_MADE = ["12345", "2024-05-17", "10:30", "v1.2.3", "x 1999 y", "3.14159", "100 200 300", "a1b2c3", "+1 (212) 555-0147", "4111111111111111", "10.0.0.1", "ab.cd@example.com", "12.05.2024", "1,234,567"]
+
+
+def _layouts(phone: str, mark: str) -> list[str]:
+    d = _digits(phone)
+    tail = f"{d[-10:-7]}{mark}{d[-7:-4]}{mark}{d[-4:]}"
+    return [phone, phone[1:], tail, f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", "+" + tail]
+
+
+def _unlabelled(found: list[str]) -> re.Pattern:
+    """What is laid out as another form of a phone in ``found`` or ``_MADE``, of three or
+    more groups of digits: bare numbers are left to the model."""
+    phones = {s[a:z] for s in [*found, *_MADE] for kind, a, z in base_spans(s) if kind == "phone"}
+    shapes = {re.sub("[0-9]", "0", e) for phone in phones for mark in " -." for e in _layouts(phone, mark)[1:]}
+    wanted = sorted((e for e in shapes if len(re.findall("0+", e)) > 2), key=lambda e: (-len(e), e))
+    return re.compile("(?<![A-Za-z0-9])(?:" + ("|".join(re.escape(e).replace("0", "[0-9]") for e in wanted) or "(?!)") + ")(?![A-Za-z0-9])")
+
+
+def _certain(s: str, unlabelled: re.Pattern) -> list[str]:
+    """The parts of a stretch beside what may be a phone that the patterns miss."""
+    out, at, spans = [], 0, base_spans(s)
+    for m in unlabelled.finditer(s):
+        if all(m.end() <= a or m.start() >= z for _, a, z in spans):
+            out.append(s[at : m.start()])
+            at = m.end()
+    return [*out, s[at:]]
+
+
 def _rewritten(rng: random.Random, s: str, spans: list[sp.Span]) -> tuple[str, list[sp.Span]]:
     """A stretch with its entities in other layouts, or spoiled and then without label."""
     out, labels, at = "", [], 0
@@ -267,8 +295,7 @@ def _rewritten(rng: random.Random, s: str, spans: list[sp.Span]) -> tuple[str, l
         turn = rng.random()
         if kind == "phone":
             d = _digits(e)
-            tail = f"{d[-10:-7]}{{0}}{d[-7:-4]}{{0}}{d[-4:]}".format(rng.choice([" ", "-", "."]))
-            e = rng.choice([e, e[1:], tail, f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", "+" + tail])
+            e = rng.choice(_layouts(e, rng.choice([" ", "-", "."])))
             if turn < 0.15:
                 e, keep = d[-6:], False
         elif kind == "card":
@@ -289,13 +316,13 @@ def _rewritten(rng: random.Random, s: str, spans: list[sp.Span]) -> tuple[str, l
 
 def fit(found: list[str], passes: int = PASSES, seed: int = 5) -> np.ndarray:
     """Weights (type, feature) of largest regularized likelihood over ``found``, labelled by
-    the patterns, and rewritten forms of it."""
+    the patterns, and rewritten forms of it. What looks like such a form and has no label is
+    left out: it may be an entity."""
     rng = random.Random(seed)
     data = []
-    made = ["12345", "2024-05-17", "10:30", "v1.2.3", "x 1999 y", "3.14159", "100 200 300", "a1b2c3", "+1 (212) 555-0147", "4111111111111111", "10.0.0.1", "ab.cd@example.com", "12.05.2024", "1,234,567"]
-    for s in [*found, *made]:
-        if len(s) > 400:
-            continue
+    found = [s for s in [*found, *_MADE] if len(s) <= 400]
+    unlabelled = _unlabelled(found)
+    for s in (part for s in found for part in _certain(s, unlabelled)):
         spans = base_spans(s)
         for text, labels in [(s, spans), _rewritten(rng, s, spans)]:
             if text.strip():
@@ -333,7 +360,8 @@ def fit(found: list[str], passes: int = PASSES, seed: int = 5) -> np.ndarray:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, most: int = STRETCHES) -> np.ndarray:
-    """On at most ``most`` stretches of at most ``sample`` documents, taken by a hash."""
+    """On at most ``most`` stretches of at most ``sample`` documents, taken by a hash; those
+    with what ``fit`` would leave out come last."""
     rows = texts_by_hash(docs, sample, F.col("text").rlike("[0-9@]"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +371,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, most: int = STRETCHES) -> np.nd
                 found = {texts.bytes[a:z].tobytes().decode() for _, a, z in zip(*stretches(texts), strict=True) if z - a <= 400}
                 yield pa.RecordBatch.from_pydict({"s": sorted(found)}, schema=pa.schema([("s", pa.string())]))
 
-    got = rows.mapInArrow(split, "s string").distinct().orderBy(F.xxhash64("s"), "s").limit(most).collect()
-    return fit([r["s"] for r in got])
+    got = rows.mapInArrow(split, "s string").distinct().orderBy(F.xxhash64("s"), "s").limit(4 * most).collect()
+    found = [r["s"] for r in got]
+    unlabelled = _unlabelled(found)
+    return fit(sorted(found, key=lambda s: len(_certain(s, unlabelled)) > 1)[:most])
 
 
 def found_in(s: str, w: np.ndarray) -> tuple[list[sp.Span], list[sp.Span]]:

@@ -91,3 +91,15 @@ def test_redaction(spark, weights):
     out = pii.redact(spark.createDataFrame(rows, SCHEMA), weights)
     assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "é call [phone] or [email] now", 29, "s"), (2, "clean text 12", 13, None), (3, None, None, None)]
     assert out.dtypes == spark.createDataFrame(rows, SCHEMA).dtypes
+
+
+def test_national_numbers_in_the_sample_are_no_negatives():
+    rng = random.Random(2)
+    found = []
+    for _ in range(60):
+        found += [f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", f"a.b{rng.randrange(99)}@mail.example.com", str(rng.randrange(10**6)), f"token{rng.randrange(99)}"]
+        found += [f"{rng.randrange(1990, 2030)}-0{rng.randrange(1, 9)}-{rng.randrange(10, 29)}", f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"]
+    weights = pii.fit(found, passes=12)
+    assert pii.found_in("(212) 555-0147", weights) == ([], [("phone", 0, 14)])
+    for clean in ("2024-05-17", "12345", "100 200", "4111111111111112"):
+        assert pii.found_in(clean, weights) == ([], []), clean
