@@ -1,17 +1,18 @@
 """Exact top-k BM25 search: an inverted index in shards with block-max WAND pruning.
 
-The indexing job writes shards of about ``POSTINGS`` postings: documents in order of id, in
-blocks of ``BLOCK``; for every term its postings (document, frequency), and for every block
-that has the term the largest frequency and the least length there, which bound the term's
-score in the block whatever the global statistics turn out to be.
-
-Document frequencies are summed over the shards, so scores are global. Queries are held
-against the shards in blocks: a task takes a chunk of queries through a group of shards,
-one after the other, and carries each query's best along. In a shard the bounds of a
-query's terms are added up by block, and a query visits only blocks that can still reach
-its k-th best score so far, which is exact. Terms that many documents have are multiplied
-as a matrix of impacts, others are added up from their postings. What the groups found is
-merged by one ranking for each query.
+The indexing job writes shards of about ``POSTINGS`` postings. Within a shard documents are
+ordered by cluster and length and cut into blocks, so that documents that use the same
+words are in few blocks; for every term and block that has it, the largest frequency and
+the least length bound the term's score there, whatever the global statistics turn out to
+be. Document frequencies are summed over the shards, so scores are global.
+
+Queries are written to files of about ``CHUNK`` queries, and every chunk is held against
+every group of shards: a task takes one chunk through one group, shard by shard, and
+carries each query's best along. In a shard the bounds of a query's terms are added up by
+block, and a query visits blocks in descending order of bounds, and only those that can
+still reach its k-th best score so far, which is exact. In a block, terms that many of its
+documents have are multiplied as a matrix of impacts, others are added up from their
+postings. What the groups found is merged by one ranking for each query.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from sievemill.llm.common import cut, shared_dir
 from sievemill.llm.token_files import filesystem, settle
 
 K1, B = 1.2, 0.75
-BLOCK = 64
-#: Queries in a chunk, shards in a group, and postings of queries that are looked at at once.
-CHUNK, GROUP, AT_ONCE = 1000, 64, 500_000
-#: Blocks that are scored at once, and the share of a shard's documents that makes a term
-#: frequent: its impacts are multiplied as a matrix.
-STEP, FREQUENT = 16, 0.04
+#: Most documents of a block, most clusters of a shard, and the terms they are told by;
+#: documents less alike to every cluster's centre are kept apart.
+BLOCK, CLUSTERS, CLUSTER_TERMS, ALIKE = 1024, 8, 128, 0.4
+#: The product of its shares of the block's and of the shard's documents that makes a term
+#: frequent in a block: there its impacts are multiplied as a matrix.
+FREQUENT = 0.0005
+#: Queries that are scored at once; queries and their terms in a chunk, about; shards in a group.
+TILE, CHUNK, CHUNK_TERMS, GROUP = 512, 8000, 3_000_000, 6
 #: Postings of a shard, about: what a task holds in memory.
 POSTINGS = 4_000_000
 _U64 = np.uint64
@@ -60,31 +63,22 @@ def _counted(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return row[new], h[new], np.diff(np.append(new, len(h)))
 
 
-def _smallest(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.min_scalar_type(int(a.max()))) if len(a) and a.dtype.kind == "u" else a
-
-
 def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """lo[0], lo[0] + 1, ... n[0] of them, then those of the next."""
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _top(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Positions of every query's best ``k``, by query, score and id."""
-    order = np.lexsort((ids, -score, q))
-    first = np.searchsorted(q[order], q[order], "left")
-    return order[np.arange(len(order)) - first < k]
-
-
 def _impact(tf: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
     return tf * (K1 + 1.0) / (tf + K1 * (1 - B + B * length / average))
 
 
 class Shard:
-    """Arrays of one shard. ``block_at`` and ``posting_at`` begin a term's blocks and a
-    block's postings, and have one element more than those."""
+    """Arrays of one shard. Documents stand in blocks (``starts``, one more than blocks).
+    A term's entries are the blocks that have it: ``entry_at`` begins a term's entries and
+    ``posting_at`` an entry's postings, each with one element more. ``doc`` counts from its
+    block's start."""
 
-    NAMES = ("ids", "lengths", "terms", "block_at", "block", "block_tf", "block_length", "posting_at", "doc", "tf")
+    NAMES = ("ids", "lengths", "starts", "terms", "entry_at", "block", "most_tf", "least_length", "posting_at", "doc", "tf")
 
     def __init__(self, *arrays: np.ndarray):
         for name, a in zip(self.NAMES, arrays, strict=True):
@@ -92,124 +86,279 @@ class Shard:
 
     @classmethod
     def build(cls, ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Shard:
-        """``doc``: positions in ``ids``, which ascend."""
-        order = np.lexsort((doc, term))
-        doc, term, tf = doc[order], term[order], tf[order]
-        block = doc // BLOCK
-        cuts = np.flatnonzero(~textbuf.equal_to_last(term, block))
-        starts = np.flatnonzero(~textbuf.equal_to_last(term[cuts]))
-        most = np.maximum.reduceat(tf, cuts) if len(cuts) else tf[:0]
-        least = np.minimum.reduceat(lengths[doc], cuts) if len(cuts) else lengths[:0]
-        return cls(
-            ids, lengths, term[cuts][starts], np.append(starts, len(cuts)), block[cuts], most, least,
-            np.append(cuts, len(doc)), doc, tf,
-        )
+        """``doc``: positions in ``ids``."""
+        terms_, place = np.unique(term, return_inverse=True)
+        cluster = _clusters(len(ids), len(terms_), doc, place, tf)
+        order = np.lexsort((ids, lengths, cluster))
+        sizes = np.bincount(cluster, minlength=1)
+        cuts = [np.linspace(0, n, -(-n // BLOCK) + 1).astype(np.int64)[1:] + before for n, before in zip(sizes, np.cumsum(sizes) - sizes, strict=True) if n]
+        starts = np.concatenate([[0], *cuts]).astype(np.int64)
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        ids, lengths, doc = ids[order], lengths[order], rank[doc]
+        order = np.argsort(place * len(ids) + doc, kind="stable") if len(doc) else np.zeros(0, np.int64)
+        doc, place, tf = doc[order], place[order], tf[order]
+        block = np.searchsorted(starts, doc, "right") - 1
+        entry = np.flatnonzero(~textbuf.equal_to_last(place, block))
+        first = np.searchsorted(place[entry], np.arange(len(terms_) + 1))
+        most = np.maximum.reduceat(tf, entry) if len(entry) else tf[:0]
+        least = np.minimum.reduceat(lengths[doc], entry) if len(entry) else lengths[:0]
+        return cls(ids, lengths, starts, terms_, first, block[entry], most, least, np.append(entry, len(doc)), doc - starts[block], tf)
 
     def save(self, out) -> None:
-        """Each array: its kind (8 bytes), the bytes of its compressed form, that form."""
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=1).compress
-        for n in self.NAMES:
-            a = getattr(self, n)
-            a = a if n in ("ids", "terms") else _smallest(a.astype(np.uint64))
-            data = press(np.ascontiguousarray(a).tobytes())
-            out.write(a.dtype.str.encode().ljust(8) + len(data).to_bytes(8, "little") + data)
+        _save(out, [getattr(self, n) for n in self.NAMES])
 
     @classmethod
     def load(cls, data: bytes, names: tuple[str, ...] = NAMES) -> Shard:
         """Only the arrays ``names``; the others are None."""
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor().decompress
-        at, out = 0, []
-        for n in cls.NAMES:
-            kind, size = data[at : at + 8].decode().strip(), int.from_bytes(data[at + 8 : at + 16], "little")
-            at += 16
-            out.append(np.frombuffer(expand(data[at : at + size]), kind) if n in names else None)
-            at += size
-        return cls(*out)
-
-    def frequent(self, at: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of each of ``terms`` in the matrix or -1, matrix of impacts by document,
-        and of the largest by block): those of the terms ``at`` that ``FREQUENT`` of the
-        documents have."""
-        df = np.diff(self.posting_at[self.block_at].astype(np.int64))
-        some = np.unique(at)
-        some = some[df[some] >= max(2, FREQUENT * len(self.ids))]
-        place = np.full(len(self.terms), -1)
-        place[some] = np.arange(len(some))
-        blocks = -(-len(self.ids) // BLOCK)
-        dense = np.zeros((len(some), blocks * BLOCK))
-        index = _spread(self.posting_at[self.block_at[some]].astype(np.int64), df[some])
-        doc = self.doc[index].astype(np.int64)
-        dense[np.repeat(np.arange(len(some)), df[some]), doc] = _impact(self.tf[index], self.lengths[doc], average)
-        return place, dense, dense.reshape(len(some), blocks, BLOCK).max(2)
+        return cls(*_load_arrays(data, [n in names for n in cls.NAMES]))
+
+
+def _clusters(n: int, n_terms: int, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """A cluster for every document of a shard, by its most frequent terms: spherical
+    k-means from seeds that are far apart. Only the speed of searches depends on it."""
+    many = min(CLUSTERS, n // (BLOCK // 2))
+    if many < 2 or not len(doc):
+        return np.zeros(n, np.int64)
+    top = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:CLUSTER_TERMS]
+    column = np.full(n_terms, -1)
+    column[top] = np.arange(len(top))
+    at = column[term]
+    x = np.zeros((n, len(top)), np.float32)
+    x[doc[at >= 0], at[at >= 0]] = tf[at >= 0]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+    rng = np.random.default_rng(7)
+    some = x[rng.permutation(n)[: 200 * many]]
+    centres = some[:1]
+    for _ in range(many - 1):
+        far = np.maximum(1 - (some @ centres.T).max(1), 0) ** 2
+        centres = np.concatenate([centres, some[[rng.choice(len(some), p=far / far.sum()) if far.sum() else 0]]])
+    for _ in range(4):
+        label = (x @ centres.T).argmax(1)
+        order = np.argsort(label, kind="stable")
+        here, first = np.unique(label[order], return_index=True)
+        centres = np.add.reduceat(x[order], first, axis=0)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    near = x @ centres.T
+    return np.where(near.max(1) < ALIKE, len(centres), near.argmax(1))
+
+
+def _smallest(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max()))) if len(a) else a
+
+
+def _save(out, arrays: list[np.ndarray]) -> None:
+    """Each array: its kind (8 bytes), the bytes of its compressed form, that form."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1).compress
+    for a in arrays:
+        if a.dtype.kind == "i" and len(a) and a.min() >= 0 and a.max() < 2**32:
+            a = _smallest(a)
+        data = press(np.ascontiguousarray(a).tobytes())
+        out.write(a.dtype.str.encode().ljust(8) + len(data).to_bytes(8, "little") + data)
+
+
+def _load_arrays(data: bytes, wanted: list[bool]) -> list[np.ndarray | None]:
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    at, out = 0, []
+    for want in wanted:
+        kind, size = data[at : at + 8].decode().strip(), int.from_bytes(data[at + 8 : at + 16], "little")
+        at += 16
+        out.append(np.frombuffer(expand(data[at : at + size]), kind) if want else None)
+        at += size
+    return out
+
+
+class Block:
+    """A block of a shard, ready to be searched.
+
+    ``seat`` has, for every term of the shard, its row in ``dense`` (impacts of the terms
+    that many of the block's documents have), or that number of rows and more for the
+    others, -1 where the block doesn't have it. Postings of the others are ordered by their
+    number: ``lists`` has for each number the first seat, the documents and the impacts,
+    a row for each term.
+    """
+
+    def __init__(self, shard: Shard, number: int, entries: np.ndarray, term: np.ndarray, share: np.ndarray, impact: np.ndarray):
+        self.first = int(shard.starts[number])
+        self.n = n = int(shard.starts[number + 1]) - self.first
+        lo = shard.posting_at[entries].astype(np.int64)
+        count = shard.posting_at[entries + 1].astype(np.int64) - lo
+        many = (count > 1) & (count / n * share[term] >= FREQUENT)
+        self.rows = int(many.sum())
+        order = np.argsort(np.where(many, 0, np.minimum(count, 65_535)).astype(np.uint16), kind="stable")
+        self.seat = np.full(len(shard.terms), -1, np.int32)
+        self.seat[term[order]] = np.arange(len(entries))
+        lo, count = lo[order], count[order]
+        index = _spread(lo[: self.rows], count[: self.rows])
+        self.dense = np.zeros((self.rows, n), np.float32)
+        self.dense[np.repeat(np.arange(self.rows), count[: self.rows]), shard.doc[index]] = impact[index]
+        index = _spread(lo[self.rows :], count[self.rows :])
+        doc, impact = shard.doc[index].astype(np.int32), impact[index]
+        self.size = count
+        self.lists, at = {}, 0
+        sizes, first = np.unique(count[self.rows :], return_index=True)
+        for c, seat, last in zip(sizes.tolist(), first.tolist(), np.append(first[1:], len(count) - self.rows).tolist(), strict=False):
+            end = at + c * (last - seat)
+            self.lists[c] = self.rows + seat, doc[at:end].reshape(-1, c), impact[at:end].reshape(-1, c)
+            at = end
+
+    def scores(self, n: int, q: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of queries 0 to n - 1, which have the rows (q, at, weight), by document; in single
+        precision."""
+        seat = self.seat[at]
+        common, rare = np.flatnonzero((seat >= 0) & (seat < self.rows)), np.flatnonzero(seat >= self.rows)
+        used = np.zeros(self.rows, bool)
+        used[seat[common]] = True
+        column = np.cumsum(used) - 1
+        w = np.zeros((n, int(used.sum())), np.float32)
+        w[q[common], column[seat[common]]] = weight[common]
+        out = w @ (self.dense if used.all() else self.dense[used])
+        size = self.size[seat[rare]]
+        order = np.argsort(np.minimum(size, 65_535).astype(np.uint16), kind="stable")
+        rare, size = rare[order], size[order]
+        first, row = (q[rare] * self.n).astype(np.int32)[:, None], seat[rare]
+        key, value = np.empty(int(size.sum()), np.int32), np.empty(int(size.sum()), np.float32)
+        start = np.flatnonzero(np.append(True, size[1:] != size[:-1])) if len(size) else size
+        at = 0
+        for x, y in zip(start.tolist(), np.append(start[1:], len(size)).tolist(), strict=False):
+            c = int(size[x])
+            seat_, docs, impacts = self.lists[c]
+            here = slice(at, at + c * (y - x))
+            np.take(docs, row[x:y] - seat_, axis=0, out=key[here].reshape(-1, c), mode="clip")
+            np.take(impacts, row[x:y] - seat_, axis=0, out=value[here].reshape(-1, c), mode="clip")
+            key[here].reshape(-1, c)[...] += first[x:y]
+            value[here].reshape(-1, c)[...] *= weight[rare[x:y], None]
+            at = here.stop
+        np.add.at(out.reshape(-1), key, value)
+        return out
+
+
+class Searcher:
+    """A shard, with the corpus' average length."""
+
+    def __init__(self, shard: Shard, average: float):
+        self.shard, self.average = shard, average
+        counts = np.diff(shard.entry_at.astype(np.int64))
+        term = np.repeat(np.arange(len(counts)), counts)
+        block = shard.block.astype(np.int64)
+        posts = np.diff(shard.posting_at.astype(np.int64))
+        place = np.repeat(shard.starts.astype(np.int64)[block], posts) + shard.doc
+        impact = _impact(shard.tf.astype(np.float32), shard.lengths.astype(np.float32)[place], np.float32(average))
+        blocks = len(shard.starts) - 1
+        order = np.argsort(block.astype(np.uint16) if blocks < 65_536 else block, kind="stable")
+        cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+        share = np.diff(shard.posting_at[shard.entry_at].astype(np.int64)) / len(shard.ids)
+        self.blocks = [Block(shard, b, order[x:y], term[order[x:y]], share, impact) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        self.high = np.zeros((len(counts), blocks), np.float32)
+        self.high[term, block] = _impact(shard.most_tf, shard.least_length, average)
+        # by document: where its terms begin, the terms, their frequencies
+        order = np.argsort(place.astype(np.uint16) if len(shard.ids) < 65_536 else place, kind="stable")
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(shard.ids)))])
+        self.term, self.tf = np.repeat(term, posts).astype(np.int32)[order], shard.tf[order]
+        self.weights, self.asked = np.zeros(len(counts)), np.zeros(len(counts), bool)
+
+    def bounds(self, first: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """[query, block]: no document of the block scores more. Rows of a query begin at
+        ``first`` (one more than queries)."""
+        out = np.zeros((len(first) - 1, len(self.blocks)))
+        for lo in range(0, len(out), 64):
+            own = first[lo : lo + 65] - first[lo]
+            x, y = first[lo], first[lo] + own[-1]
+            full = np.flatnonzero(np.diff(own))
+            if len(full):
+                out[lo + full] = np.add.reduceat(self.high[at[x:y]] * weight[x:y].astype(np.float32)[:, None], own[full], axis=0)
+        return out * (1 + 1e-3) + 1e-5  # sums of single precision, and scores are rounded
+
+    def exact(self, at: np.ndarray, weight: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores of documents, which all have a term of the query, rounded. Equal documents
+        have equal ones, as terms are added in their order."""
+        self.weights[at], self.asked[at] = weight, True
+        lo, hi = self.begin[docs].tolist(), self.begin[docs + 1].tolist()
+        term = np.concatenate([self.term[x:y] for x, y in zip(lo, hi, strict=True)])
+        tf = np.concatenate([self.tf[x:y] for x, y in zip(lo, hi, strict=True)])
+        some = np.flatnonzero(self.asked[term])
+        own = np.searchsorted(np.cumsum(np.subtract(hi, lo)), some, "right")
+        value = self.weights[term[some]] * _impact(tf[some], self.shard.lengths[docs][own], self.average)
+        self.weights[at], self.asked[at] = 0, False
+        return np.round(np.add.reduceat(value, np.searchsorted(own, np.arange(len(docs)))), 6)
 
     def search(
-        self, q: np.ndarray, at: np.ndarray, weight: np.ndarray, least: np.ndarray, k: int, average: float,
-        place: np.ndarray, dense: np.ndarray, high: np.ndarray,
-    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(query, id, score, blocks scored): all that can be among the best ``k`` of a query.
-
-        Rows (q, at, weight) ascend by query; ``at`` are places in ``terms``, and ``least``
-        has the k-th best score so far of every query. Terms of the matrix ``dense`` are
-        multiplied (``high`` has their bounds), the others added from their postings. Documents are visited in steps of
-        ``STEP`` blocks; a query skips a step none of whose blocks' bounds reaches its k-th
-        best score. Scores are rounded, so equal documents have equal scores.
+        self, first: np.ndarray, at: np.ndarray, weight: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], k: int
+    ) -> int:
+        """Puts into ``best``, (ids, scores) of every query, all that is among its best
+        ``k``, and returns how many (query, block) pairs were scored.
+
+        Rows (at, weight) of a query begin at ``first`` (one more than queries); ``at`` are
+        places in the shard's terms. Queries whose highest bounds are in the same block go
+        together, ``TILE`` at a time, through the blocks in descending order of bounds; a
+        query skips a block whose bound doesn't reach its k-th best score so far. Documents
+        that can reach it by a score of single precision get an exact one.
         """
-        n, blocks = len(least), high.shape[1]
-        column = place[at]
-        common = column >= 0
-        w = np.zeros((n, len(dense)))
-        w[q[common], column[common]] = weight[common]
-        q, at, weight = q[~common], at[~common], weight[~common]
-
-        bound = w @ high
-        lo = self.block_at[at].astype(np.int64)
-        count = self.block_at[at + 1].astype(np.int64) - lo
-        entry = _spread(lo, count)
-        most = np.repeat(weight, count) * _impact(self.block_tf[entry], self.block_length[entry], average)
-        bound += np.bincount(np.repeat(q, count) * blocks + self.block[entry], most, minlength=n * blocks).reshape(n, blocks)
-        bound = bound * (1 + 1e-9) + 1e-5  # scores are rounded
-
-        lo = self.posting_at[self.block_at[at]].astype(np.int64)
-        count = self.posting_at[self.block_at[at + 1]].astype(np.int64) - lo
-        index = _spread(lo, count)
-        doc = self.doc[index].astype(np.int64)
-        value = np.repeat(weight, count) * _impact(self.tf[index], self.lengths[doc], average)
-        of = np.repeat(q, count)
-        order = np.argsort(doc // (STEP * BLOCK), kind="stable")
-        doc, value, of = doc[order], value[order], of[order]
-
-        least = np.maximum(least, 1e-6)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         scored = 0
-        for first in range(0, blocks, STEP):
-            reach = bound[:, first : first + STEP] >= least[:, None]
-            rows = np.flatnonzero(reach.any(1))
-            if not len(rows):
+        bound = self.bounds(first, at, weight)
+        queries = np.lexsort((-bound.max(1), bound.argmax(1)))
+        for lo in range(0, len(queries), TILE):
+            tile = queries[lo : lo + TILE]
+            count = first[tile + 1] - first[tile]
+            index = _spread(first[tile], count)
+            q, t, w = np.repeat(np.arange(len(tile)), count), at[index], weight[index].astype(np.float32)
+            error = 1e-7 * (count + 20)  # relative, of sums of so many terms in single precision
+            top = np.zeros((len(tile), k))  # of every query, k scores that are reached for sure
+            for n, i in enumerate(tile.tolist()):
+                top[n, k - len(best[i][1]) :] = best[i][1][::-1]
+            found = []
+            for b in np.argsort(-bound[tile].max(0), kind="stable").tolist():
+                rows = np.flatnonzero(bound[tile, b] >= np.maximum(top[:, 0], 2e-5))
+                if not len(rows):
+                    continue
+                scored += len(rows)
+                block = self.blocks[b]
+                if len(rows) < len(tile):
+                    seat = np.full(len(tile), -1)
+                    seat[rows] = np.arange(len(rows))
+                    own = seat[q]
+                    ok = np.flatnonzero(own >= 0)
+                    s = block.scores(len(rows), own[ok], t[ok], w[ok])
+                else:
+                    s = block.scores(len(rows), q, t, w)
+                slack = error[rows]
+                floor = np.maximum((top[rows, 0] - 1e-6) * (1 - slack), 1e-12).astype(np.float32)
+                near = s >= floor[:, None]
+                n_near = near.sum(1)
+                crowd = np.flatnonzero(n_near > 2 * k)
+                more = np.zeros((len(rows), 2 * k), np.float32)
+                if len(crowd):  # only those that can be among the best k of this block
+                    more[crowd, :k] = high = np.partition(s[crowd], block.n - k, axis=1)[:, block.n - k :]
+                    floor[crowd] = np.maximum(floor[crowd], high[:, 0] * (1 - 3 * slack[crowd]) - 2e-6)
+                    near[crowd] = s[crowd] >= floor[crowd, None]
+                flat = np.flatnonzero(near.ravel())
+                r, doc = np.divmod(flat, block.n)
+                score = s.ravel()[flat]
+                few = n_near[r] <= 2 * k
+                begin = np.cumsum(n_near * (n_near <= 2 * k)) - n_near * (n_near <= 2 * k)
+                more[r[few], np.arange(int(few.sum())) - begin[r[few]]] = score[few]
+                changed = np.flatnonzero(n_near)
+                sure = more[changed] * (1 - 2 * slack[changed, None]) - 2e-6
+                top[rows[changed]] = np.partition(np.concatenate([top[rows[changed]], np.maximum(sure, 0)], axis=1), 2 * k, axis=1)[:, 2 * k :]
+                found.append((rows[r], doc + block.first, score))
+            if not found:
                 continue
-            scored += int(reach.sum())
-            a, z = first * BLOCK, min((first + STEP) * BLOCK, len(self.ids))
-            score = w[rows] @ dense[:, a:z]
-            seat = np.full(n, -1)
-            seat[rows] = np.arange(len(rows))
-            x, y = np.searchsorted(doc // (STEP * BLOCK), [first // STEP, first // STEP + 1])
-            here = seat[of[x:y]]
-            ok = here >= 0
-            score += np.bincount(here[ok] * (z - a) + doc[x:y][ok] - a, value[x:y][ok], minlength=score.size).reshape(score.shape)
-            score = np.round(score, 6)
-            if score.shape[1] > k:
-                kth = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-                least[rows] = np.maximum(least[rows], kth)
-            r, c = np.nonzero(score >= least[rows][:, None])
-            found.append((rows[r], self.ids[a + c], score[r, c]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
-        every = [np.concatenate(x) for x in zip(*found, strict=True)]
-        top = _top(*every, k)
-        return every[0][top], every[1][top], every[2][top], scored
+            r, doc, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            near = np.flatnonzero(score >= (top[r, 0] - 1e-6) * (1 - error[r]))
+            near = near[np.argsort(r[near], kind="stable")]
+            changed, begin = np.unique(r[near], return_index=True)
+            for i, docs in zip(tile[changed].tolist(), np.split(doc[near], begin[1:]), strict=False):
+                mine = slice(first[i], first[i + 1])
+                score = np.concatenate([best[i][1], self.exact(at[mine], weight[mine], docs)])
+                ids = np.concatenate([best[i][0], self.shard.ids[docs]])
+                order = np.lexsort((ids, -score))[:k]
+                order = order[score[order] > 0]
+                best[i] = ids[order], score[order]
+        return scored
 
 
 def _index(folder: str):
@@ -218,16 +367,9 @@ def _index(folder: str):
 
         def flush() -> pa.RecordBatch:
             ids, lengths, docs, words, tfs = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(ids, kind="stable")
-            rank = np.empty(n, np.uint32)
-            rank[order] = np.arange(n, dtype=np.uint32)
-            shard = Shard.build(ids[order], lengths[order].astype(np.uint32), rank[docs], words, tfs)
+            shard = Shard.build(ids, lengths, docs, words, tfs)
             number = TaskContext.get().partitionId() * 100_000 + made
-            fs, at = filesystem(folder)
-            own, final = f"{at}/.{number}-{uuid.uuid4().hex}", f"{at}/index-{number}"
-            with fs.open_output_stream(own) as out:
-                shard.save(out)
-            settle(fs, own, final)
+            _write(folder, f"index-{number}", shard.save)
             row = {"shard": number, "documents": n, "words": int(lengths.sum())}
             return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in row.items()})
 
@@ -236,7 +378,7 @@ def _index(folder: str):
                 row, h = terms(textbuf.of(part, "text"))
                 doc, word, tf = _counted(row, h)
                 lengths = np.bincount(row, minlength=part.num_rows)
-                held.append((part.column(0).to_numpy(zero_copy_only=False), lengths, doc + n, word, tf.astype(np.uint32)))
+                held.append((part.column(0).to_numpy(zero_copy_only=False), lengths, doc + n, word, tf))
                 n += part.num_rows
                 postings += len(doc)
                 if postings >= POSTINGS:
@@ -258,18 +400,28 @@ def build(docs: DataFrame, folder: str) -> DataFrame:
     return cut(rows.filter("doc_id is not null").mapInArrow(_index(folder), "shard long, documents long, words long"))
 
 
-def _load(folder: str, number: int, names: tuple[str, ...] = Shard.NAMES) -> Shard:
+def _read(folder: str, name: str) -> bytes:
+    fs, at = filesystem(folder)
+    with fs.open_input_stream(f"{at}/{name}") as f:
+        return f.read()
+
+
+def _write(folder: str, name: str, save) -> None:
+    """Under a name of its own, then renamed: a task that is lost or runs twice leaves one
+    whole file."""
     fs, at = filesystem(folder)
-    with fs.open_input_stream(f"{at}/index-{number}") as f:
-        return Shard.load(f.read(), names)
+    own = f"{at}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as out:
+        save(out)
+    settle(fs, own, f"{at}/{name}")
 
 
 def _vocabulary(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in batch.column(0).to_pylist():
-                shard = _load(folder, number, ("terms", "block_at", "posting_at"))
-                df = np.diff(shard.posting_at[shard.block_at].astype(np.int64))
+                shard = Shard.load(_read(folder, f"index-{number}"), ("terms", "entry_at", "posting_at"))
+                df = np.diff(shard.posting_at[shard.entry_at].astype(np.int64))
                 for lo in range(0, len(df), 100_000):
                     part = slice(lo, lo + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(shard.terms[part].view(np.int64)), pa.array(df[part])], ["term", "df"])
@@ -284,64 +436,62 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(word.view(np.int64))], ["query_id", "term"])
 
 
-def _search(folder: str, k: int, average: float):
-    """Rows (chunk, group, query_id, term, w), ordered; those without a query name, as
-    their term, the shards of the group, and come first."""
-
-    def answer(shards: list[int], ids: np.ndarray, term: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-        # rows come by query, and by term as a signed number: put terms in the index's order
-        names, q = np.unique(ids, return_inverse=True)
-        term = term.view(_U64)
-        order = np.lexsort((term, q))
-        q, term, weight = q[order].astype(np.int64), term[order], weight[order]
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        least = np.zeros(len(names))
-        for number in shards:
-            shard = _load(folder, number)
-            at = np.minimum(np.searchsorted(shard.terms, term), len(shard.terms) - 1)
-            there = shard.terms[at] == term
-            if not there.any():
-                continue
-            at, own, weights = at[there], q[there], weight[there]
-            place, dense, high = shard.frequent(at, average)
-            cost = np.where(place[at] < 0, np.diff(shard.posting_at[shard.block_at].astype(np.int64))[at], 0)
-            cost = np.bincount(own, cost, minlength=len(names)) + high.shape[1]
-            lo = 0
-            while lo < len(names):  # as many queries as AT_ONCE allows
-                hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(cost[lo:]), AT_ONCE, "right")))
-                x, y = np.searchsorted(own, [lo, hi])
-                got = shard.search(own[x:y] - lo, at[x:y], weights[x:y], least[lo:hi], k, average, place, dense, high)
-                best = tuple(np.concatenate(z) for z in zip(best, (got[0] + lo, *got[1:3]), strict=True))
-                lo = hi
-            top = _top(*best, k)
-            best = tuple(x[top] for x in best)
-            found, times = np.unique(best[0], return_counts=True)
-            full = times == k
-            least[found[full]] = best[2][(np.cumsum(times) - 1)[full]]
-        return pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "doc_id", "score"])
+def _write_queries(folder: str):
+    """Rows (chunk, query_id, term, w), ordered, to a file for each chunk: its terms, its
+    queries, where their rows begin, and the rows' terms (by place) and weights."""
+
+    def close(chunk: int, held: list[tuple]) -> pa.RecordBatch:
+        ids, term, weight = (np.concatenate(c) for c in zip(*held, strict=True))
+        terms_, at = np.unique(term.view(_U64), return_inverse=True)
+        first = np.flatnonzero(~textbuf.equal_to_last(ids))
+        _write(folder, f"queries-{chunk}", lambda out: _save(out, [terms_, ids[first], np.append(first, len(ids)), at, weight]))
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shards, held = None, [], []
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk, *cols = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero(chunk[1:] != chunk[:-1]) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)], strict=True):
+                if chunk[lo] != key:
+                    if held:
+                        yield close(key, held)
+                    key, held = int(chunk[lo]), []
+                held.append(tuple(c[lo:hi] for c in cols))
+        if held:
+            yield close(key, held)
+
+    return run
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield answer(shards, *(np.concatenate(c) for c in zip(*held, strict=True)))
 
+def _search(folder: str, k: int, average: float):
+    """Rows (chunk, shards): what the shards have for the chunk's queries."""
+
+    def answer(chunk: int, shards: list[int]) -> pa.RecordBatch:
+        terms_, ids, first, rows, weight = _load_arrays(_read(folder, f"queries-{chunk}"), [True] * 5)
+        first = first.astype(np.int64)
+        query = np.repeat(np.arange(len(ids)), np.diff(first))
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+        for number in sorted(shards):
+            shard = Shard.load(_read(folder, f"index-{number}"))
+            if not len(shard.terms):
+                continue
+            at = np.minimum(np.searchsorted(shard.terms, terms_), len(shard.terms) - 1)
+            at = np.where(shard.terms[at] == terms_, at, -1)[rows]
+            there = at >= 0
+            own = np.concatenate([[0], np.cumsum(np.bincount(query[there], minlength=len(ids)))])
+            Searcher(shard, average).search(own, at[there], weight[there], best, k)
+        found = np.array([len(s) for _, s in best])
+        got = [np.concatenate(x) if len(ids) else np.zeros(0) for x in zip(*best, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found).astype(np.int64)), pa.array(got[0].astype(np.int64)), pa.array(got[1])], ["query_id", "doc_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunk, group, query, term, weight = (c for c in batch.columns)
-            keys = np.stack([chunk.to_numpy(), group.to_numpy()], 1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-                if tuple(keys[lo]) != key:
-                    yield from close()
-                    key, shards, held = tuple(keys[lo]), [], []
-                asks = query.slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)
-                t = term.slice(lo, hi - lo).to_numpy()
-                shards += t[~asks].tolist()
-                if asks.any():
-                    ids = query.slice(lo, hi - lo).drop_null().to_numpy()
-                    held.append((ids, t[asks], weight.slice(lo, hi - lo).to_numpy()[asks]))
-        yield from close()
+            for chunk, shards in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield answer(chunk, shards)
+                textbuf.release()
 
     return run
 
@@ -374,21 +524,20 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, max_terms: int | Non
         by_weight = Window.partitionBy("query_id").orderBy(F.desc("w"), "term")
         weighed = weighed.filter("n > 1").withColumn("r", F.row_number().over(by_weight)).filter(F.col("r") <= max_terms)
     weighed = cut(weighed.select("query_id", "term", "w"))
-    chunks, groups = max(1, -(-queries.count() // CHUNK)), max(1, -(-shards // GROUP))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))
-    asks = weighed.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("long").alias("chunk"), F.explode(every).alias("group"), "query_id", "term", "w"
-    )
-    group = F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("long")
-    members = manifest.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), group.alias("group"),
-        F.lit(None).cast("long").alias("query_id"), F.col("shard").alias("term"), F.lit(0.0).alias("w"),
-    )
-    blocks = (
-        members.unionByName(asks)
-        .repartitionByRange(min(chunks * groups, 10_000), "chunk", "group")  # about one a task
-        .sortWithinPartitions("chunk", "group", F.col("query_id").asc_nulls_first(), "term")
+    chunks = max(1, -(-queries.count() // CHUNK), -(-weighed.count() // CHUNK_TERMS))
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("long").alias("chunk")
+    written = cut(
+        weighed.select(chunk, "query_id", "term", "w")
+        .repartitionByRange(min(chunks, 10_000), "chunk")
+        .sortWithinPartitions("chunk", "query_id", "term")
+        .mapInArrow(_write_queries(folder), "chunk long")
     )
+    groups = max(1, -(-shards // GROUP))
+    group = F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("long").alias("group")
+    # the queries are few beside the documents, and every chunk is held against every group
+    members = manifest.groupBy(group).agg(F.collect_list("shard").alias("shards"))
+    asked_of = written.select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
+    blocks = asked_of.join(members, "group").repartitionByRange(min(chunks * groups, 10_000), "chunk", "group").select("chunk", "shards")
     found = blocks.mapInArrow(_search(folder, k, average), "query_id long, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (

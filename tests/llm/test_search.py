@@ -62,11 +62,8 @@ def close(a, b):
 
 
 def test_same_as_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(s, "AT_ONCE", 700)
-    monkeypatch.setattr(s, "STEP", 1)
-    monkeypatch.setattr(s, "CHUNK", 9)
-    monkeypatch.setattr(s, "GROUP", 3)
-    monkeypatch.setattr(s, "POSTINGS", 900)
+    for name, value in {"TILE": 3, "BLOCK": 40, "CHUNK": 9, "GROUP": 3, "POSTINGS": 2500, "FREQUENT": 0.01}.items():
+        monkeypatch.setattr(s, name, value)
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
     ask = [(i, t) for i, t, *_ in rows if i is not None and i % 20 == 0]
@@ -84,20 +81,39 @@ def test_formulated_queries(spark):
     assert all(close(got[q], v) for q, v in brute(rows, ask, 5, 4).items())
 
 
-def test_blocks_are_skipped():
+def searched(shard, average, asks, k):
+    """(best, pairs scored) of queries given as {term: weight}."""
+    first = np.cumsum([0] + [len(a) for a in asks])
+    at = np.array([np.flatnonzero(shard.terms == t)[0] for a in asks for t in sorted(a)], int)
+    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asks)
+    n = s.Searcher(shard, average).search(first, at, np.array([a[t] for a in asks for t in sorted(a)]), best, k)
+    return best, n
+
+
+def test_blocks_are_skipped(monkeypatch):
     rng = np.random.default_rng(1)
-    n = 64 * 200
-    doc = np.unique(np.concatenate([rng.integers(0, n, 40_000), np.arange(5)]))
+    n = 1024 * 20
+    doc = np.unique(np.concatenate([rng.integers(0, n, 10_000), np.arange(5)]))
     tf = np.where(doc < 5, 50, 1)
-    shard = s.Shard.build(np.arange(n), np.full(n, 10, np.uint32), doc.astype(np.uint32), np.full(len(doc), 9, np.uint64), tf.astype(np.uint32))
-    for share in (0.5, 9.0):  # as a matrix, and from postings
-        s.FREQUENT, before = share, s.FREQUENT
-        matrix = shard.frequent(np.array([0]), 10.0)
-        s.FREQUENT = before
-        ask = np.array([0]), np.array([0]), np.array([1.0])
-        q, ids, scores, scored = shard.search(*ask, np.zeros(1), 3, 10.0, *matrix)
-        assert ids.tolist() == [0, 1, 2] and scored <= s.STEP and scores[0] == scores[2] and not q.any()
-        assert shard.search(*ask, np.array([99.0]), 3, 10.0, *matrix)[3] == 0
+    shard = s.Shard.build(np.arange(n), np.full(n, 10), doc, np.full(len(doc), 9, np.uint64), tf)
+    for share in (0.01, 9.0):  # as a matrix, and from postings
+        monkeypatch.setattr(s, "FREQUENT", share)
+        [(ids, scores)], scored = searched(shard, 10.0, [{9: 1.0}], 3)
+        assert ids.tolist() == [0, 1, 2] and scored < 4 < len(shard.starts) and scores[0] == scores[2]
+
+
+def test_languages_apart():
+    """Documents of few common words are in other blocks, which queries skip."""
+    rng = np.random.default_rng(2)
+    n, lang = 8000, np.arange(8000) % 4
+    doc = np.repeat(np.arange(n), 30)
+    term = (200 * rng.random(len(doc)) ** 3).astype(int) + 1000 * lang[doc]  # some words are common
+    pairs, tf = np.unique(doc * 10_000 + term, return_counts=True)
+    shard = s.Shard.build(np.arange(n), np.full(n, 30), pairs // 10_000, (pairs % 10_000).astype(np.uint64), tf)
+    of = [set(lang[shard.ids[a:b]].tolist()) for a, b in zip(shard.starts, shard.starts[1:], strict=False)]
+    assert all(len(x) == 1 for x in of)
+    _, scored = searched(shard, 30.0, [{int(t): 1.0 for t in np.unique(term[doc == i])} for i in range(40)], 10)
+    assert scored <= 40 * max(sum(x == {k} for x in of) for k in range(4))
 
 
 def test_shards_are_read_as_written():
@@ -108,6 +124,7 @@ def test_shards_are_read_as_written():
     shard.save(out)
     back = s.Shard.load(out.getvalue())
     assert all((getattr(back, n) == getattr(shard, n)).all() for n in s.Shard.NAMES)
+    assert s.Shard.load(out.getvalue(), ("terms",)).doc is None
 
 
 def test_empty_tables(spark):
