@@ -528,7 +528,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, max_terms: int | Non
     chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("long").alias("chunk")
     written = cut(
         weighed.select(chunk, "query_id", "term", "w")
-        .repartitionByRange(min(chunks, 10_000), "chunk")
+        .repartitionByRange(min(4 * chunks, 10_000), "chunk")  # so many that sampled bounds part all chunks
         .sortWithinPartitions("chunk", "query_id", "term")
         .mapInArrow(_write_queries(folder), "chunk long")
     )
@@ -537,7 +537,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, max_terms: int | Non
     # the queries are few beside the documents, and every chunk is held against every group
     members = manifest.groupBy(group).agg(F.collect_list("shard").alias("shards"))
     asked_of = written.select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
-    blocks = asked_of.join(members, "group").repartitionByRange(min(chunks * groups, 10_000), "chunk", "group").select("chunk", "shards")
+    blocks = asked_of.join(members, "group").repartitionByRange(min(2 * chunks * groups, 10_000), "chunk", "group").select("chunk", "shards")
     found = blocks.mapInArrow(_search(folder, k, average), "query_id long, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (

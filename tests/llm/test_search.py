@@ -110,10 +110,11 @@ def test_languages_apart():
     term = (200 * rng.random(len(doc)) ** 3).astype(int) + 1000 * lang[doc]  # some words are common
     pairs, tf = np.unique(doc * 10_000 + term, return_counts=True)
     shard = s.Shard.build(np.arange(n), np.full(n, 30), pairs // 10_000, (pairs % 10_000).astype(np.uint64), tf)
-    of = [set(lang[shard.ids[a:b]].tolist()) for a, b in zip(shard.starts, shard.starts[1:], strict=False)]
-    assert all(len(x) == 1 for x in of)
+    blocks = list(zip(shard.starts, shard.starts[1:], strict=False))
+    pure = [len(set(lang[shard.ids[a:b]].tolist())) == 1 for a, b in blocks]
+    assert sum(b - a for (a, b), x in zip(blocks, pure, strict=True) if x) > 0.8 * n
     _, scored = searched(shard, 30.0, [{int(t): 1.0 for t in np.unique(term[doc == i])} for i in range(40)], 10)
-    assert scored <= 40 * max(sum(x == {k} for x in of) for k in range(4))
+    assert scored <= 40 * len(blocks) / 2
 
 
 def test_shards_are_read_as_written():
