@@ -66,3 +66,38 @@ def test_native_plan(spark):
     plan = u.judge(df, FIXED, rules)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|InArrow|CartesianProduct|BroadcastNestedLoop", plan)
     assert u.judge(df, [], rules).filter("verdict = 'block'").count() == 4
+
+
+def labelled(spark, bad):
+    """(url, bad) of three hosts with two folders each; ``bad`` tells from (host, folder)."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(6000):
+        h, d = rng.choice(["a.net", "b.net", "c.net"]), rng.choice(["shop", "news"])
+        rows.append((f"http://{h}/{d}/{i}", int(bad(h, d, rng))))
+    return spark.createDataFrame(rows, "url string, bad int")
+
+
+def test_nothing_is_mined_from_labels_that_do_not_depend_on_urls(spark):
+    for share in (0.14, 0.5):
+        assert u.mine(labelled(spark, lambda h, d, rng, share=share: rng.random() < share)).count() == 0
+    few = spark.createDataFrame([(f"http://a.net/shop/{i}", 1) for i in range(12)] + [(f"http://b.net/{i}", 0) for i in range(50)], "url string, bad int")
+    assert u.mine(few).count() == 0
+
+
+def test_allow_rules_are_exceptions(spark):
+    """A host that is mostly bad, with a folder that is good."""
+    df = labelled(spark, lambda h, d, rng: h == "a.net" and rng.random() < (0.95 if d == "shop" else 0.0) or rng.random() < 0.02)
+    more = spark.createDataFrame([(f"http://a.net/shop/more/{i}", 1) for i in range(1500)], "url string, bad int")
+    rules = u.mine(df.unionByName(more))
+    kept = {tuple(r["items"]): r["block"] for r in rules.collect()}
+    assert kept[("host:a.net",)] and not kept[("host:a.net", "path:news")]
+    pages = spark.createDataFrame([(1, "http://a.net/news/1"), (2, "http://a.net/shop/1"), (3, "http://b.net/news/2"), (4, "http://a.net/other")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in u.judge(pages, [], rules).collect()}
+    assert got == {1: "allow", 2: "block", 3: "allow", 4: "block"}
+
+
+def test_hosts_of_many_labels_have_all_their_parents(spark):
+    host = ".".join(f"l{i}" for i in range(90))
+    got = spark.createDataFrame([(f"http://{host}/x",)], "url string").select(u.tokens(F.col("url")).alias("t")).first()["t"]
+    assert {f"host:{host}", "host:l89", "host:l88.l89"} <= set(got)
