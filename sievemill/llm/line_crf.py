@@ -3,8 +3,15 @@
 Every line with a word is good or bad. Its score comes from its own features and those of
 the lines beside it; a transition matrix ties it to its neighbours' labels. With two
 labels the forward and backward messages are one log-odds for each line, so all documents
-of a batch are stepped through together. A document's quality is the mean of its lines'
-probabilities of being good, weighted by their length.
+of a batch are stepped through together. A document's share of good text is the mean of its
+lines' probabilities of being good, weighted by their length, and its quality is a logistic
+function of that share.
+
+Only documents are labelled, so the labels of their lines are latent: training goes from
+the documents' labels by turns to the lines' probabilities, moved as far as a document's
+label asks for (of a good one nearly all text is good, of a bad one half or more is bad),
+and from those to the weights. So good lines of a bad document are learned as good, and
+moves between labels are seen. The two classes of documents weigh the same.
 """
 
 from __future__ import annotations
@@ -22,8 +29,11 @@ from sievemill.llm import spans as sp
 from sievemill.llm import textbuf
 from sievemill.llm.common import fresh, labelled_ids
 
-#: Most labelled documents to learn from, and their most lines; passes of training.
-SAMPLE, SAMPLE_LINES, PASSES = 4000, 2000, 120
+#: Most labelled documents to learn from, and their most lines; passes of training, and how
+#: often the lines' labels are estimated anew.
+SAMPLE, SAMPLE_LINES, PASSES, TURNS = 4000, 2000, 60, 3
+#: Least share of a good document's text that is good, most of a bad one's.
+GOOD_SHARE, BAD_SHARE = 0.97, 0.5
 #: Score of a text without a word, and the least score that counts as good.
 EMPTY, GOOD = 0.0, 0.3
 
@@ -99,6 +109,7 @@ def with_neighbours(row: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Model:
     weights: np.ndarray
     moves: np.ndarray  # [from, to]: log-weights of labels 0 (bad), 1 (good)
+    curve: tuple[float, float] = (-4.0, 8.0)  # of a document's quality: a logistic function's constant and slope
 
 
 class Chains:
@@ -125,8 +136,8 @@ class Chains:
             back[at] = np.logaddexp(m[1, 1] + r, m[1, 0]) - np.logaddexp(m[0, 1] + r, m[0, 0])
         return ahead, back
 
-    def pairs(self, e: np.ndarray, m: np.ndarray, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
-        """Expected numbers of each (label, next label)."""
+    def pairs(self, e: np.ndarray, m: np.ndarray, ahead: np.ndarray, back: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        """Expected numbers of each (label, next label), lines counted by ``weight``."""
         inner = np.ones(len(e), bool)
         inner[self.first] = False
         at = np.flatnonzero(inner)
@@ -134,28 +145,25 @@ class Chains:
         logs = np.stack([m[0, 0] + 0 * a, m[0, 1] + z, m[1, 0] + a, m[1, 1] + a + z], 1)
         logs -= logs.max(1, keepdims=True)
         p = np.exp(logs)
-        return (p / p.sum(1, keepdims=True)).sum(0).reshape(2, 2)
+        p /= p.sum(1, keepdims=True)
+        return (p if weight is None else p * weight[at, None]).sum(0).reshape(2, 2)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(row: np.ndarray, x: np.ndarray, y: np.ndarray, passes: int = PASSES) -> Model:
-    """``y``: the label of each line. Largest likelihood with a quadratic penalty, by Adam."""
-    chains = Chains(row)
+def _climb(chains: Chains, x: np.ndarray, y: np.ndarray, seen: np.ndarray, weight: np.ndarray, start: Model, passes: int) -> Model:
+    """Largest expected likelihood with a quadratic penalty, by Adam. ``y``: each line's
+    probability of being good; ``seen``: expected numbers of moves."""
     docs = max(1, len(chains.first))
-    inner = np.ones(len(row), bool)
-    inner[chains.first] = False
-    at = np.flatnonzero(inner)
-    seen = np.bincount(2 * y[at - 1] + y[at], minlength=4).reshape(2, 2) if len(at) else np.zeros((2, 2))
-    weights, moves = np.zeros(x.shape[1]), np.zeros((2, 2))
+    weights, moves = start.weights, start.moves
     state = [np.zeros(len(weights) + 4), np.zeros(len(weights) + 4)]
     for step in range(1, passes + 1):
         e = x @ weights
         ahead, back = chains.messages(e, moves)
-        miss = y - _logistic(ahead + back)
-        g = np.concatenate([x.T @ miss / docs - 0.01 * weights, ((seen - chains.pairs(e, moves, ahead, back)) / docs - 0.1 * moves).ravel()])
+        miss = weight * (y - _logistic(ahead + back))
+        g = np.concatenate([x.T @ miss / docs - 0.01 * weights, ((seen - chains.pairs(e, moves, ahead, back, weight)) / docs - 0.1 * moves).ravel()])
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
         move = 0.15 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
@@ -163,21 +171,82 @@ def fit(row: np.ndarray, x: np.ndarray, y: np.ndarray, passes: int = PASSES) ->
     return Model(weights, moves)
 
 
+def _estimated(chains: Chains, row: np.ndarray, length: np.ndarray, label: np.ndarray, e: np.ndarray, moves: np.ndarray) -> tuple:
+    """(lines' scores, forward and backward messages) with each document's scores moved, no
+    further than needed, until its share of good text is what its label asks for."""
+    total = np.maximum(np.bincount(row, length, minlength=len(label)), 1e-9)
+    lo, hi = np.zeros(len(label)), np.full(len(label), 30.0)
+    side = np.where(label == 1, 1.0, -1.0)
+
+    def moved(by: np.ndarray) -> tuple:
+        own = e + (side * by)[row]
+        ahead, back = chains.messages(own, moves)
+        share = np.bincount(row, length * _logistic(ahead + back), minlength=len(label)) / total
+        return own, ahead, back, np.where(label == 1, share >= GOOD_SHARE, share <= BAD_SHARE)
+
+    met = moved(lo)[3]
+    hi[met] = 0.0
+    for _ in range(9):
+        mid = (lo + hi) / 2
+        met = moved(mid)[3]
+        lo, hi = np.where(met, lo, mid), np.where(met, mid, hi)
+    return moved(hi)[:3]
+
+
+def _curve(share: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Constant and slope of a logistic function that tells labels by shares, with both
+    labels weighing the same; by Newton's method with a penalty on the slope."""
+    weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    x = np.stack([np.ones(len(share)), share - 0.5], 1)
+    b = np.zeros(2)
+    for _ in range(50):
+        p = _logistic(x @ b)
+        g = x.T @ (weight * (label - p)) - np.array([1e-6, 1e-4]) * b
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 1e-4])
+        move = np.linalg.solve(h, g)
+        b = b + move * min(1.0, 2.0 / max(1e-9, np.abs(move).max()))
+    return float(b[0] - b[1] / 2), float(max(b[1], 0.0))
+
+
+def fit(row: np.ndarray, x: np.ndarray, length: np.ndarray, label: np.ndarray, passes: int = PASSES, turns: int = TURNS) -> Model:
+    """``row``: the document of each line, ``label``: of each document."""
+    chains = Chains(row)
+    both = np.bincount(label, minlength=2)
+    weight = (len(label) / 2 / np.maximum(both, 1))[label][row]
+    y = label[row].astype(float)
+    inner = np.ones(len(row), bool)
+    inner[chains.first] = False
+    at = np.flatnonzero(inner)
+    seen = np.bincount((3 * label[row])[at], weight[at], minlength=4).reshape(2, 2)
+    model = _climb(chains, x, y, seen, weight, Model(np.zeros(x.shape[1]), np.zeros((2, 2))), passes)
+    for _ in range(turns):
+        e, ahead, back = _estimated(chains, row, length, label, x @ model.weights, model.moves)
+        seen = chains.pairs(e, model.moves, ahead, back, weight)
+        model = _climb(chains, x, _logistic(ahead + back), seen, weight, model, passes)
+    if both.min() == 0:
+        return model
+    return Model(model.weights, model.moves, _curve(_shares(row, length, x, model, len(label)), label))
+
+
+def _shares(row: np.ndarray, length: np.ndarray, x: np.ndarray, model: Model, n: int) -> np.ndarray:
+    """The share of good text of each of ``n`` documents; ``x`` has neighbours' features."""
+    ahead, back = Chains(row).messages(x @ model.weights, model.moves)
+    total = np.bincount(row, length, minlength=n)
+    return np.bincount(row, length * _logistic(ahead + back), minlength=n) / np.maximum(total, 1)
+
+
 def score(texts: textbuf.Texts, model: Model) -> np.ndarray:
     """The quality of every row."""
     row, length, x = line_features(texts)
-    e = with_neighbours(row, x) @ model.weights
-    ahead, back = Chains(row).messages(e, model.moves)
-    good = _logistic(ahead + back)
-    total = np.bincount(row, length, minlength=texts.n)
-    out = np.bincount(row, length * good, minlength=texts.n) / np.maximum(total, 1)
-    return np.where(total > 0, np.clip(out, 0, 1), EMPTY)
+    share = _shares(row, length, with_neighbours(row, x), model, texts.n)
+    some = np.bincount(row, minlength=texts.n) > 0
+    return np.where(some, _logistic(model.curve[0] + model.curve[1] * share), EMPTY)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """From at most ``sample`` labelled documents outside the held-out fold. Their lines take
-    the document's label; documents of more than ``SAMPLE_LINES`` lines aren't learned
-    from. Only text is looked at, never id, source or language."""
+    """From at most ``sample`` labelled documents outside the held-out fold; documents of more
+    than ``SAMPLE_LINES`` lines aren't learned from. Only text is looked at, never id, source
+    or language."""
     chosen = labelled_ids(labels, sample)
     text = F.col("text").cast("string").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(chosen), "doc_id")
@@ -185,18 +254,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textbuf.pieces(batch, "text"):
-                row, _, x = line_features(textbuf.of(part, "text"))
-                data = [x[row == r].tobytes() if (row == r).sum() <= SAMPLE_LINES else b"" for r in range(part.num_rows)]
+                row, length, x = line_features(textbuf.of(part, "text"))
+                x = np.concatenate([length[:, None], x], 1, dtype=np.float32)
+                cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
+                data = [x[a:z].tobytes() if z - a <= SAMPLE_LINES else b"" for a, z in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int64()), pa.array(data, pa.binary())], ["doc_id", "y", "x"])
 
     got = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y long, x binary").collect()
     got = sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in got if len(r["x"]))
     if not got:
         return Model(np.zeros(3 * OWN), np.zeros((2, 2)))
-    xs = [np.frombuffer(x, np.float32).reshape(-1, OWN) for *_, x in got]
+    xs = [np.frombuffer(x, np.float32).reshape(-1, 1 + OWN) for *_, x in got]
     row = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
-    y = np.repeat([y for _, y, _ in got], [len(x) for x in xs])
-    return fit(row, with_neighbours(row, np.concatenate(xs)).astype(float), y)
+    every = np.concatenate(xs)
+    return fit(row, with_neighbours(row, every[:, 1:]).astype(float), every[:, 0].astype(float), np.array([y for _, y, _ in got]))
 
 
 def _scored(shared, keep: int, names: list[str]):
@@ -214,7 +285,8 @@ def scores(docs: DataFrame, model: Model, keep: list[str], name: str) -> DataFra
     """The columns ``keep`` of ``docs`` and a double ``name``, 0 to 1.
 
     A null, empty or wordless text has ``EMPTY``. Rows that repeat have the same; an empty
-    table gives an empty result.
+    table gives an empty result. Very long texts are scored alone and whole. Columns that
+    aren't in ``keep`` are not looked at, so they may have any names.
     """
     text = fresh(docs, "__text")
     cols = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias(text))
