@@ -36,6 +36,8 @@ MAGIC = b"SIEVETK1"
 #: The dictionary: its size, and a sample of so many texts of at most so many characters.
 DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS = 65_536, 2000, 16_384
 LEVEL = 3
+#: Bytes of a shard that are read at once.
+READ = 4 << 20
 
 
 def filesystem(uri: str):
@@ -133,8 +135,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, width:
 
     Ids go in ascending doc_id order, rows without an id first, rows that repeat an id by
     a hash of the text. A null or empty text has the end id alone. An empty table writes
-    no shard. Other columns are not looked at. ``width``: bytes of an id, 2 or 4.
+    no shard. Other columns are not looked at. Very long texts are encoded alone and whole.
+    ``width``: bytes of an id, 2 or 4; a ValueError tells that a vocabulary or the end id
+    doesn't fit.
     """
+    largest = max(encoder(tokenizer).largest, end_id)
+    if width not in (2, 4) or end_id < 0 or largest >= 256**width:
+        raise ValueError(f"ids up to {largest} don't fit into {width} bytes")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     data = train_dictionary(source, tokenizer, end_id, width)
     fs, at = filesystem(folder)
@@ -186,8 +193,21 @@ class Shard:
     def ids(self, k: int) -> np.ndarray:
         """The ids of the file's k-th document."""
         lo, hi = int(self.offsets[k]), int(self.offsets[k + 1])
-        data = self.decompress(self.file.read_at(hi - lo, lo))
-        return np.frombuffer(data, f"<u{self.width}").astype("<u4")
+        return self._expand(self.file.read_at(hi - lo, lo))
+
+    def every(self) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """The ids of all documents, some at a time, from ranges of about ``READ`` bytes: (the
+        first's place, ids of each)."""
+        k, n = 0, len(self.doc_ids)
+        while k < n:
+            z = min(max(k + 1, int(np.searchsorted(self.offsets, self.offsets[k] + READ, "right")) - 1), n, k + 1000)
+            at = self.offsets[k : z + 1].tolist()
+            data = memoryview(self.file.read_at(at[-1] - at[0], at[0]))
+            yield k, [self._expand(data[lo - at[0] : hi - at[0]]) for lo, hi in zip(at, at[1:], strict=False)]
+            k = z
+
+    def _expand(self, data) -> np.ndarray:
+        return np.frombuffer(self.decompress(data), f"<u{self.width}").astype("<u4")
 
 
 def _reader(folder: str, with_ids: bool):
@@ -197,9 +217,8 @@ def _reader(folder: str, with_ids: bool):
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(folder, name, dictionaries)
                 begin = start + np.cumsum(shard.counts) - shard.counts
-                for lo in range(0, len(shard.doc_ids), 1000):
-                    at = range(lo, min(lo + 1000, len(shard.doc_ids)))
-                    ids = [shard.ids(k) for k in at]
+                for lo, ids in shard.every():
+                    at = range(lo, lo + len(ids))
                     if any(len(x) != shard.counts[k] for k, x in zip(at, ids, strict=True)):
                         raise ValueError(f"{name} has other ids than its table says")
                     cols = [

@@ -2,7 +2,9 @@
 
 A chunk is a part of the text that the tokenizer never joins with its neighbours, so the
 ids of a text are those of its chunks in order. Where a chunk ends in a letter or digit and
-then plain punctuation, those two are never joined either. ``tests/llm/test_tokens.py``
+then plain punctuation, those two are never joined either. Texts with the string of a token
+that the file adds to its model (which the library gives that token's id), and all texts of
+tokenizers whose chunks aren't known here, are encoded whole. ``tests/llm/test_tokens.py``
 holds this against the library on whole texts.
 
 ``Encoder.batch`` finds the chunks of many texts at once in their bytes, and looks up
@@ -11,6 +13,7 @@ only the different ones, by a 64-bit hash.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -20,10 +23,14 @@ from sievemill.llm import textbuf
 
 #: White space of the tokenizers' regular expressions.
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: By vocabulary file: its chunks, and whether letters are lower-cased by it.
+#: The splits of the two kinds of tokenizer whose chunks are known.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Their chunks, and whether letters are lower-cased.
 KINDS = {
-    "word_bpe_49k.json": (re.compile("[^\\t-\\r ]+"), True),
-    "byte_bpe_50k.json": (re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+"), False),
+    "words": (re.compile("[^\\t-\\r ]+"), True),
+    "bytes": (re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+"), False),
 }
 _TAIL, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
 _TAIL[[ord(c) for c in ".,;:!?"]] = True
@@ -47,6 +54,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def kind(spec: dict) -> str | None:
+    """Which of ``KINDS`` a tokenizer file is of, by what it says."""
+    normal, pre, model = spec.get("normalizer"), spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    if model.get("type") != "BPE" or model.get("dropout") or any(t["normalized"] for t in spec.get("added_tokens") or []):
+        return None
+    if normal is None and {k: pre.get(k) for k in _BYTES} == _BYTES and model.get("end_of_word_suffix") is None:
+        return "bytes"
+    steps = pre.get("pretokenizers") or [{}]
+    parts = [s.get("type") for s in steps]
+    split = steps[0].get("pattern") == {"Regex": _WORDS} and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
+    if parts == ["Split", "ByteLevel"] and split and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space"):
+        if (normal or {}).get("normalizers") == _NORMAL and model.get("end_of_word_suffix") == "</w>":
+            return "words"
+    return None
+
+
 def _without_tails(b: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple:
     """Chunks that end in an ASCII letter or digit and plain punctuation, in two."""
     if not len(start):
@@ -86,37 +109,52 @@ def _odd_space(texts: textbuf.Texts) -> np.ndarray:
 class Encoder:
     """``ids(texts)``: for each text its ids as little-endian unsigned 32-bit bytes.
 
-    Strings that look like special tokens are ordinary text. Null counts as empty.
+    They are those that the library gives with ``add_special_tokens=False``. Null counts as
+    empty.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.chunks, self.lower = KINDS[os.path.basename(path)]
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.kind = kind(spec)
+        self.chunks, self.lower = KINDS.get(self.kind, (None, False))
+        self.added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
         # of an id: does a word end with it, or begin (with a space) with it?
         words = self.tokenizer.get_vocab()
-        self.edge = np.zeros(max(words.values()) + 1, bool)
+        self.largest = max(words.values(), default=0)
+        self.edge = np.zeros(self.largest + 1, bool)
         self.edge[[i for w, i in words.items() if (w.endswith("</w>") if self.lower else w.startswith("\u0120"))]] = True
         self.known: dict[str, bytes] = {}
         self.hashed: dict[int, bytes] = {}
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._split(t) if t else [] for t in texts]
+        texts = [t or "" for t in texts]
+        whole = [k for k, t in enumerate(texts) if self.kind is None or any(a in t for a in self.added)]
+        split = [self._split(t) for t in texts] if self.kind else [[] for _ in texts]
+        for k in whole:
+            split[k] = []
         if len(self.known) > CHUNKS:
             self.known.clear()
         known = self.known
         new = list({c for chunks in split for c in chunks if c not in known})
         known.update(zip(new, self._encode(new), strict=True))
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for lo in range(0, len(whole), 64):
+            some = whole[lo : lo + 64]
+            got = self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)
+            for k, e in zip(some, got, strict=True):
+                out[k] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def batch(self, texts: textbuf.Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, where each row's begin, one more than rows)."""
+        odd = self._odd(texts)
         start, end, row = self._units(texts)
-        odd = np.flatnonzero(_odd_space(texts))
-        if len(odd):  # white space of other kinds: those texts as a whole
+        if len(odd):  # those texts as a whole
             keep = ~np.isin(row, odd)
             start, end, row = start[keep], end[keep], row[keep]
         start, end, row = _without_tails(texts.bytes, start, end, row)
@@ -133,8 +171,8 @@ class Encoder:
         for k, v in zip(missing, self._encode(new), strict=True):
             self.hashed[keys[k]] = values[k] = v
         data = texts.bytes.tobytes() if len(odd) else data
-        for r in odd.tolist():
-            values.append(self.ids([data[texts.offsets[r] : texts.offsets[r + 1]].decode()])[0])
+        bounds = zip(texts.offsets[odd].tolist(), texts.offsets[odd + 1].tolist(), strict=True)
+        values += self.ids([data[a:z].decode() for a, z in bounds])
         if len(odd):
             inverse, row = np.concatenate([inverse, len(h) + np.arange(len(odd))]), np.concatenate([row, odd])
             order = np.argsort(row, kind="stable")
@@ -148,6 +186,21 @@ class Encoder:
         counts = np.bincount(row, each, minlength=texts.n).astype(np.int64)
         return blob[index], np.concatenate([[0], np.cumsum(counts)])
 
+    def _odd(self, texts: textbuf.Texts) -> np.ndarray:
+        """Rows that aren't cut into chunks here: with white space of other kinds or the
+        string of an added token, or all."""
+        if self.kind is None:
+            return np.flatnonzero(np.diff(texts.offsets))
+        odd, data = _odd_space(texts), texts.bytes.tobytes()
+        for key in (a.encode() for a in self.added):
+            if self.lower:  # chunks are lower-cased before the library sees them
+                key, data = key.lower(), data.lower()
+            at = data.find(key)
+            while at >= 0:
+                odd[np.searchsorted(texts.offsets, at, "right") - 1] = True
+                at = data.find(key, at + 1)
+        return np.flatnonzero(odd)
+
     def _units(self, texts: textbuf.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = textbuf.Words(texts)
         start, end, row = words.start, words.end, words.row

@@ -36,7 +36,7 @@ def check(rows, got, capacity):
 def test_pieces_and_places(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["the", "ünder", "Straße", "x9", "don't"]) for _ in range(rng.choice([1, 5, 30, 300, 2500]))), "c") for i in range(300)]
-    rows += [(900, None, ""), (901, "", ""), (None, "no id", ""), (902, "twice", ""), (902, "twice", ""), (903, "w" * 20_000, "")]
+    rows += [(900, None, ""), (901, "", ""), (None, "no id", ""), (904, "a <|endoftext|> b", ""), (902, "twice", ""), (902, "twice", ""), (903, "w" * 20_000, "")]
     for capacity in (2048, 64):
         got = pack(spark.createDataFrame(rows, SCHEMA).repartition(4), PATH, capacity).collect()
         used = check(rows, got, capacity)
