@@ -5,13 +5,14 @@ punctuation) can hold any of it; a stretch is worked on alone, and the rest of a
 one pass over its bytes. Within a stretch the model scores whole candidate segments, up to
 a bounded number of atoms, by features of the segment as a whole; a dynamic program over
 segment ends chooses boundaries and types together and gives each segment its posterior.
-It is trained on stretches that the patterns label, rewritten in other layouts too, so
+Features are computed as arrays, for all segments that end in a window of atoms; the values
+of the dynamic program are carried from window to window, so a stretch of any length takes
+a bounded number of segments at once, and the result is that of the whole. It is trained on stretches that the patterns label, rewritten in other layouts too, so
 that it finds what they miss.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 import random
 import re
@@ -31,15 +32,14 @@ from sievemill.llm.common import fresh, texts_by_hash
 KINDS = ("email", "ip", "card", "phone")
 #: Documents and stretches to train on, passes over them, the least posterior to report.
 SAMPLE, STRETCHES, PASSES, POSTERIOR = 4000, 800, 25, 0.95
-#: Most atoms and characters of a segment.
-ATOMS, CHARS = 24, 80
+#: Most atoms and characters of a segment, and atoms of a window.
+ATOMS, CHARS, WINDOW = 24, 80, 4096
 
 _LOCAL = frozenset(sp.DIGITS + sp.UPPER + sp.LOWER + "._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ATOM = re.compile(r"[A-Za-z]+|[0-9]+|.", re.DOTALL)
 _HOT, _JOIN = sp.byte_class(sp.DIGITS + "@"), sp.byte_class("()+.-")
 
 
@@ -108,83 +108,249 @@ def stretches(texts: textbuf.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return words.row[first], words.start[first], words.end[last]
 
 
-def atoms(s: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _ATOM.finditer(s)]
-
-
-@functools.lru_cache(maxsize=100_000)
-def segment_features(s: str, left: str, right: str) -> tuple[float, ...]:
-    """Of a whole candidate segment and the characters beside it ("" at an edge)."""
-    d = _digits(s)
-    at = s.count("@")
-    local, _, domain = s.partition("@")
-    labels = domain.split(".")
-    dotted = s.split(".")
-    groups = [len(g) for g in re.findall("[0-9]+", s)]
-    four = len(dotted) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in dotted)
-    letters = any(c.isalpha() for c in s)
-    plain = set(s) <= set("0123456789 ().+-")
-    n = len(d)
-    return tuple(
-        map(
-            float,
-            (
-                1,
-                at == 1,
-                at > 1,
-                at == 1 and bool(local) and set(local) <= _LOCAL,
-                at == 1 and len(labels) > 1 and all(x and set(x) <= _LOCAL for x in labels) and labels[-1].isalpha() and len(labels[-1]) > 1,
-                " " in s,
-                s[0] == "+",
-                s.count("+") > (s[0] == "+"),
+class Segments:
+    """Candidate segments of stretches (strings), which none crosses, and their features.
+
+    Atoms are runs of ASCII letters, runs of ASCII digits, and other characters; a segment
+    is a range of atoms, ``first`` to ``last`` inclusive.
+    """
+
+    def __init__(self, found: list[str]):
+        codes = np.frombuffer("".join(found).encode("utf-32-le"), "<u4").astype(np.int32)
+        size = np.array([len(s) for s in found], np.int64)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        low = np.minimum(codes, 128).astype(np.uint8)
+
+        def is_in(chars: str) -> np.ndarray:
+            table = np.zeros(129, bool)
+            table[[ord(c) for c in chars]] = True
+            return table[low]
+
+        def total(mask: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
+
+        letter, digit = is_in(sp.UPPER + sp.LOWER), is_in(sp.DIGITS)
+        alpha, alnum = letter.copy(), letter | digit
+        wide = np.flatnonzero(codes >= 128)
+        if len(wide):
+            each, inverse = np.unique(codes[wide], return_inverse=True)
+            alpha[wide] = np.array([chr(c).isalpha() for c in each.tolist()])[inverse]
+            alnum[wide] = np.array([chr(c).isalnum() for c in each.tolist()])[inverse]
+        sort = letter + 2 * digit.astype(np.int8)
+        begins = np.ones(len(codes), bool)
+        begins[1:] = (sort[1:] != sort[:-1]) | (sort[1:] == 0)
+        begins[edge[:-1][size > 0]] = True
+        self.start = np.flatnonzero(begins)
+        self.end = np.append(self.start[1:], len(codes))[: len(self.start)]
+        self.stretch = np.searchsorted(edge, self.start, "right") - 1
+        self.edge = edge
+        self.n = n = len(self.start)
+        self.word, self.number = alnum[self.start], digit[self.start]
+        head = codes[self.start]
+        self.opens = self.word | (head == ord("+")) | (head == ord("("))
+        self.mark, self.dot = head == ord("@"), head == ord(".")
+        length = self.end - self.start
+        value = np.zeros(n, np.int64)
+        for place in range(3):
+            has = self.number & (length > place)
+            value[has] = value[has] * 10 + codes[self.start[has] + place] - 48
+        self.byte = self.number & (length <= 3) & (value <= 255)
+        self.digits = np.concatenate([[0], np.cumsum(np.where(self.number, length, 0))])
+        self.marks, self.numbers = total(self.mark), total(self.number)
+        self.fours = total(self.number & (length == 4))
+        # runs of digits by their order, and sums for Luhn's check by the place of a digit
+        self.runs = np.append(length[self.number], [0, 0])
+        d = codes[digit] - 48
+        twice = np.where(d > 4, 2 * d - 9, 2 * d)
+        even = np.arange(len(d)) % 2 == 0
+        self.luhn = np.stack([np.concatenate([[0], np.cumsum(np.where(even, d, twice))]), np.concatenate([[0], np.cumsum(np.where(even, twice, d))])])
+        self.n_local, self.n_alpha, self.n_letter = total(is_in("".join(_LOCAL))), total(alpha), total(letter)
+        self.n_plain = total(is_in("0123456789 ().+-"))
+        self.n_of = {c: total(is_in(c)) for c in " +.()-"}
+        pair = np.zeros(len(codes), bool)
+        pair[:-1] = (codes[:-1] == 32) & (codes[1:] == 32)
+        self.n_pair = total(pair)
+        dots = np.zeros(len(codes), bool)
+        dots[:-1] = (codes[:-1] == 46) & (codes[1:] == 46)
+        self.n_dots = total(dots)
+        at = np.arange(len(codes), dtype=np.int32)
+        self.last_mark = np.maximum.accumulate(np.where(codes == ord("@"), at, np.int32(-1))) if len(codes) else at
+        self.last_dot = np.maximum.accumulate(np.where(codes == ord("."), at, np.int32(-1))) if len(codes) else at
+        self.is_dot = codes == ord(".")
+        # of the character at a place: blank, or one that goes on as a word
+        self.blank = codes == 32
+        self.before = alnum | is_in("+.@-_%")
+        self.after = alnum | is_in("@-_")
+        self.plus = codes == ord("+")
+
+    def candidates(self, lo: int, hi: int, by_end: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last) of the segments whose last, or else first, atom is in lo to hi - 1;
+        ordered by it, shorter ones first."""
+        there = np.arange(lo, min(hi, self.n))[:, None]
+        other = there + (-1 if by_end else 1) * np.arange(ATOMS)
+        ok = (other >= 0) & (other < self.n)
+        other = np.clip(other, 0, max(self.n - 1, 0))
+        i, j = (other, there) if by_end else (there, other)
+        ok &= self.opens[i] & self.word[j] & (self.stretch[i] == self.stretch[j]) & (self.end[j] - self.start[i] <= CHARS)
+        ok &= (self.digits[j + 1] - self.digits[i] >= 4) | ((self.marks[j + 1] > self.marks[i]) & (j > i))
+        row, column = np.nonzero(ok)
+        here, there = there[row, 0], other[row, column]
+        return (there, here) if by_end else (here, there)
+
+    def features(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of whole segments and the characters beside them; a row for each."""
+        a, z = self.start[i], self.end[j]
+        size = z - a
+
+        def count(total: np.ndarray) -> np.ndarray:
+            return total[z] - total[a]
+
+        n = self.digits[j + 1] - self.digits[i]
+        marks = self.marks[j + 1] - self.marks[i]
+        one = marks == 1
+        at = self.last_mark[z - 1]  # of a segment with a single @
+        local = one & (at > a) & (self.n_local[np.maximum(at, a)] - self.n_local[a] == at - a)
+        b = np.where(one, at + 1, z)  # the domain
+        dot = self.last_dot[z - 1]
+        tail = np.where(one & (dot >= b), z - dot - 1, 0)
+        domain = one & (dot >= b) & (self.n_local[z] - self.n_local[b] == z - b) & ~self.is_dot[np.minimum(b, z - 1)]
+        domain &= (self.n_dots[np.maximum(z - 1, b)] - self.n_dots[b] == 0) & (tail > 1)
+        domain &= self.n_letter[z] - self.n_letter[z - tail] == tail
+        plus, opened, closed, dashes, dots = (count(self.n_of[c]) for c in "+()-.")
+        first_plus = self.plus[a]
+        groups = self.numbers[j + 1] - self.numbers[i]
+        end = self.numbers[j + 1]
+        parity = (self.digits[j + 1] - 1) % 2
+        check = self.luhn[parity, self.digits[j + 1]] - self.luhn[parity, self.digits[i]]
+        long = (n >= 13) & (n <= 19)
+        four = j - i == 6
+        for k in range(7):
+            four &= (self.dot if k % 2 else self.byte)[np.minimum(i + k, self.n - 1)]
+        plain = count(self.n_plain) == size
+        left, right = a == self.edge[self.stretch[i]], z == self.edge[self.stretch[i] + 1]
+        l_at, r_at = np.maximum(a - 1, 0), np.minimum(z, len(self.plus) - 1)
+        return np.stack(
+            [
+                np.ones(len(i), bool),
+                one,
+                marks > 1,
+                local,
+                domain,
+                count(self.n_of[" "]) > 0,
+                first_plus,
+                plus > first_plus,
                 n < 7,
-                7 <= n <= 9,
-                10 <= n <= 11,
+                (n >= 7) & (n <= 9),
+                (n >= 10) & (n <= 11),
                 n == 12,
-                13 <= n <= 19,
+                long,
                 n > 19,
-                13 <= n <= 19 and luhn(d),
+                long & (check % 10 == 0),
                 four,
-                not four and len(dotted) > 2,
-                letters,
-                "(" in s,
-                s.count("(") != s.count(")"),
-                "-" in s,
-                groups[-2:] == [3, 4],
-                len(groups) > 1 and set(groups) == {4},
+                ~four & (dots >= 2),
+                count(self.n_alpha) > 0,
+                opened > 0,
+                opened != closed,
+                dashes > 0,
+                (groups > 1) & (self.runs[end - 1] == 4) & (self.runs[end - 2] == 3),
+                (groups > 1) & (self.fours[j + 1] - self.fours[i] == groups),
                 plain,
-                not plain and not at,
-                left == "" or left == " ",
-                right == "" or right == " ",
-                left.isalnum() or left in set("+.@-_%") - {""},
-                right.isalnum() or right in {"@", "-", "_"},
-                len(groups) > 5,
-                "  " in s,
-            ),
-        )
-    )
-
-
-FEATURES = len(segment_features("0", "", ""))
-
-
-def candidates(s: str, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Segments (first atom, last atom) that could be an entity."""
-    text = [s[a:z] for a, z in cuts]
-    digits = np.concatenate([[0], np.cumsum([len(t) if t[0] in sp.DIGITS else 0 for t in text])])
-    marks = np.concatenate([[0], np.cumsum([t == "@" for t in text])])
-    word = [t[0].isalnum() for t in text]
+                ~plain & (marks == 0),
+                left | self.blank[l_at],
+                right | self.blank[r_at],
+                ~left & self.before[l_at],
+                ~right & self.after[r_at],
+                groups > 5,
+                self.n_pair[z - 1] - self.n_pair[a] > 0,
+            ],
+            1,
+        ).astype(float)
+
+
+FEATURES = 31
+
+
+def likely(found: list[str], w: np.ndarray) -> list[tuple[int, str, int, int]]:
+    """(stretch, kind, start, end) of the segments of the best way to cut each stretch whose
+    posterior is ``POSTERIOR`` or more."""
+    seg = Segments(found)
+    n = seg.n
+
+    def scored(lo: int, hi: int, by_end: bool) -> tuple:
+        i, j = seg.candidates(lo, hi, by_end)
+        score = seg.features(i, j) @ w.T
+        kind = score.argmax(1) if len(score) else np.zeros(0, np.int64)
+        weight = np.exp(np.minimum(score, 40.0)).sum(1)  # of so high a score no other way matters
+        best = score[np.arange(len(score)), kind]
+        return i.tolist(), (j + 1).tolist(), weight.tolist(), kind.tolist(), best.tolist()
+
+    # sums over the ways to cut what is before an atom, scaled: ahead * exp(scale)
+    ahead, scale, top, off = np.ones(n + 1), np.zeros(n + 1), np.zeros(n + 1), 0.0
+    via, via_kind, via_score = np.full(n + 1, -1), np.zeros(n + 1, np.int8), np.zeros(n + 1)
+    kept = None
+    for lo in range(0, n, WINDOW):
+        i_, t_, weight, kind, best = kept = scored(lo, lo + WINDOW, True)
+        base, hi = max(0, lo - ATOMS), min(lo + WINDOW, n)
+        sums, offs, tops = (x[base : lo + 1].tolist() for x in (ahead, scale, top))
+        k, most = 0, len(i_)
+        for t in range(lo + 1, hi + 1):
+            total, high = sums[-1], tops[-1]
+            while k < most and t_[k] == t:
+                i = i_[k] - base
+                total += sums[i] * weight[k]
+                if tops[i] + best[k] > high:
+                    high = tops[i] + best[k]
+                    via[t], via_kind[t], via_score[t] = i_[k], kind[k], best[k]
+                k += 1
+            sums.append(total)
+            tops.append(high)
+            offs.append(off)
+            if total > 1e60:
+                off += math.log(total)
+                for b in range(max(0, t - base - ATOMS), t - base + 1):
+                    sums[b] /= total
+                    offs[b] = off
+        ahead[base : hi + 1], scale[base : hi + 1], top[base : hi + 1] = sums, offs, tops
+    way, t = [], n
+    while t:
+        if via[t] < 0:
+            t -= 1
+        else:
+            way.append((int(via[t]), t, int(via_kind[t]), float(via_score[t])))
+            t = int(via[t])
+    if not way:
+        return []
+    whole = math.log(ahead[n]) + scale[n]
+    back, back_scale, off = np.ones(n + 1), np.zeros(n + 1), 0.0
+    for lo in range((n - 1) // WINDOW * WINDOW, -1, -WINDOW):
+        if n <= WINDOW:  # the same ones, by their first atom
+            order = sorted(range(len(kept[0])), key=kept[0].__getitem__)
+            i_, t_, weight = ([c[k] for k in order] for c in kept[:3])
+        else:
+            i_, t_, weight, *_ = scored(lo, lo + WINDOW, False)
+        hi = min(lo + WINDOW, n)
+        last = min(hi + ATOMS, n)
+        sums, offs = [0.0] * (hi - lo) + back[hi : last + 1].tolist(), [0.0] * (hi - lo) + back_scale[hi : last + 1].tolist()
+        k = len(i_) - 1
+        for t in range(hi - 1, lo - 1, -1):
+            total = sums[t + 1 - lo]
+            while k >= 0 and i_[k] == t:
+                total += sums[t_[k] - lo] * weight[k]
+                k -= 1
+            sums[t - lo], offs[t - lo] = total, off
+            if total > 1e60:
+                off += math.log(total)
+                for b in range(t - lo, min(last, t + ATOMS) - lo + 1):
+                    sums[b] /= total
+                    offs[b] = off
+        back[lo : last + 1], back_scale[lo : last + 1] = sums, offs
     out = []
-    for i in range(len(cuts)):
-        if not word[i] and text[i] not in ("+", "("):
-            continue
-        if i and text[i - 1] == "(" and text[i] != "(":
-            pass
-        for j in range(i, min(len(cuts), i + ATOMS)):
-            if cuts[j][1] - cuts[i][0] > CHARS:
-                break
-            if word[j] and (digits[j + 1] - digits[i] >= 4 or (marks[j + 1] > marks[i] and j > i)):
-                out.append((i, j))
+    for i, t, kind, score in reversed(way):
+        log = math.log(ahead[i]) + scale[i] + score + math.log(back[t]) + back_scale[t] - whole
+        if log >= math.log(POSTERIOR):
+            own = int(seg.stretch[i])
+            begin = int(seg.edge[own])
+            out.append((own, KINDS[kind], int(seg.start[i]) - begin, int(seg.end[t - 1]) - begin))
     return out
 
 
@@ -192,13 +358,11 @@ class Lattice:
     """The candidate segments of a stretch with their features."""
 
     def __init__(self, s: str):
-        self.cuts = atoms(s)
-        self.segments = candidates(s, self.cuts)
-        rows = []
-        for i, j in self.segments:
-            a, z = self.cuts[i][0], self.cuts[j][1]
-            rows.append(segment_features(s[a:z], s[a - 1 : a], s[z : z + 1]))
-        self.x = np.array(rows).reshape(-1, FEATURES)
+        seg = Segments([s])
+        self.cuts = list(zip(seg.start.tolist(), seg.end.tolist(), strict=True))
+        i, j = seg.candidates(0, seg.n, False)
+        self.segments = list(zip(i.tolist(), j.tolist(), strict=True))
+        self.x = seg.features(i, j).reshape(-1, FEATURES)
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         return self.x @ w.T
@@ -380,20 +544,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, most: int = STRETCHES) -> np.nd
 def found_in(s: str, w: np.ndarray) -> tuple[list[sp.Span], list[sp.Span]]:
     """The patterns' spans of a stretch, and what the model adds."""
     base = base_spans(s)
-    lattice = Lattice(s)
-    if not lattice.segments:
-        return base, []
-    score = lattice.scores(w)
-    best = lattice.best(score)
-    if not best:
-        return base, []
-    post, _ = lattice.posteriors(score)
-    more = []
-    for k, kind in best:
-        if post[k, kind] >= POSTERIOR:
-            i, j = lattice.segments[k]
-            more.append((KINDS[kind], lattice.cuts[i][0], lattice.cuts[j][1]))
-    return base, sp.apart(base, more)
+    return base, sp.apart(base, [(kind, a, z) for _, kind, a, z in likely([s], w)])
 
 
 _FOUND = T.StructType(
@@ -408,10 +559,14 @@ def scan(texts: textbuf.Texts, w: np.ndarray) -> list[tuple[list[sp.Span], list[
     rows, start, end = stretches(texts)
     chars = sp.Chars(texts)
     data = texts.bytes.tobytes()
-    for r, a, z in zip(rows.tolist(), start.tolist(), end.tolist(), strict=True):
-        at = chars.at(r, a)
-        for to, spans in zip(out[r], found_in(data[a:z].decode(), w), strict=True):
-            to += [(k, at + x, at + y) for k, x, y in spans]
+    found = [data[a:z].decode() for a, z in zip(start.tolist(), end.tolist(), strict=True)]
+    more: dict[int, list[sp.Span]] = {}
+    for k, kind, a, z in likely(found, w):
+        more.setdefault(k, []).append((kind, a, z))
+    for k, (r, a) in enumerate(zip(rows.tolist(), start.tolist(), strict=True)):
+        at, base = chars.at(r, a), base_spans(found[k])
+        for to, spans in zip(out[r], (base, sp.apart(base, more.get(k, []))), strict=True):
+            to += [(kind, at + x, at + y) for kind, x, y in spans]
     for pair in out:
         for spans in pair:
             spans.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
@@ -462,7 +617,9 @@ def find(docs: DataFrame, w: np.ndarray, keep: list[str], name: str) -> DataFram
 
     ``spans`` has the patterns' spans and those of the model that overlap none of them, by
     kind, then start. A null or empty text has none. Rows that repeat have the same; an
-    empty table gives an empty result.
+    empty table gives an empty result. A very long text is worked on alone and whole, its
+    segments by windows. Columns that aren't in ``keep`` are not looked at, so they may have
+    any names.
     """
     text = fresh(docs, "__text")
     cols = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias(text))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -20,12 +21,33 @@ def digest(spans: list[Span]) -> str:
 
 
 def apart(base: list[Span], more: list[Span]) -> list[Span]:
-    """Those of ``more`` that overlap none of ``base`` and none taken before."""
-    out, taken = [], [(a, b) for _, a, b in base]
+    """Those of ``more`` that overlap none of ``base`` and none before them in ``more``.
+
+    Spans of ``base`` may overlap each other; those of ``more`` that are taken don't, so a
+    span is held against its neighbours alone."""
+    covered: list[tuple[int, int]] = []  # what base covers, in order
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if covered and a < covered[-1][1]:
+            covered[-1] = covered[-1][0], max(b, covered[-1][1])
+        else:
+            covered.append((a, b))
+    starts = [a for a, _ in covered]
+    ascending = all(x[1] <= y[1] for x, y in zip(more, more[1:], strict=False))
+    out: list[Span] = []
+    taken: list[tuple[int, int]] = []
     for s in more:
-        if all(s[2] <= a or s[1] >= b for a, b in taken):
-            out.append(s)
-            taken.append(s[1:])
+        k = bisect.bisect_left(starts, s[2]) - 1  # the last that begins before its end
+        if k >= 0 and covered[k][1] > s[1]:
+            continue
+        if ascending:
+            if out and out[-1][2] > s[1]:
+                continue
+        else:
+            k = bisect.bisect_left(taken, (s[2], -1)) - 1
+            if k >= 0 and taken[k][1] > s[1]:
+                continue
+            bisect.insort(taken, s[1:])
+        out.append(s)
     return out
 
 
