@@ -7,10 +7,16 @@ evaluations of plain MinHash. Bands of ``rows`` values are bucket keys.
 * Documents of equal sets are one group at once, by a 128-bit sum over the set.
 * In every bucket the smallest group is the leader; each other member is paired with it.
   Pairs are confirmed on the full sets, and the confirmed links give first components.
-* Only where a bucket still holds several components are members outside the leader's
-  component held against its members of other components, in bounded blocks that give
-  out links alone. Pairs within a component can't change the result, so no link is lost
-  and no group is expanded into all its pairs.
+* Where a bucket still holds several components, a member of its largest one, another at
+  each of ``ROUNDS`` rounds, leads those outside of it. So a large group whose first leader
+  isn't one of it becomes a component after all, by comparisons in proportion to its size.
+* Only where a bucket holds several components then are members outside its largest one
+  held against its members of other components, in bounded blocks that give out one link
+  for each component that a member joins. Pairs within a component can't change the
+  result, so no link is lost and no group is expanded into all its pairs.
+
+Rows of one key (a bucket, a leader, a group of copies) are joined with that key's one row
+by ``with_one``, which doesn't deal out hot keys by shuffling.
 """
 
 from __future__ import annotations
@@ -26,6 +32,10 @@ from sievemill.llm import textbuf
 from sievemill.llm.common import cut
 
 PERMUTATIONS, ROWS = 72, 6
+#: Rounds of new leaders before members are held against each other.
+ROUNDS = 2
+#: Rows of a key that make it hot, and the most bytes of hot keys' rows that are broadcast.
+HOT, BROADCAST = 100_000, 64 << 20
 _U64 = np.uint64
 
 
@@ -133,6 +143,23 @@ def _overlaps(percent: int):
     return run
 
 
+def with_one(left: DataFrame, right: DataFrame, on: list[str], size: str = "32", how: str = "inner") -> DataFrame:
+    """``left`` joined with the one row that ``right``, a written table, has for a key.
+
+    Its column ``c`` tells how many rows of ``left`` have the key. Keys of more than
+    ``HOT`` rows are broadcast, if their rows, of ``size`` bytes (an expression) each, are
+    ``BROADCAST`` at most; only others are shuffled, so no task gets all rows of a hot key.
+    Above that there are so many hot keys that a shuffle spreads them.
+    """
+    hot = right.filter(F.col("c") > HOT)
+    n, total = hot.agg(F.count("*"), F.coalesce(F.sum(F.expr(size)), F.lit(0))).first()
+    if not n or total > BROADCAST:
+        return left.join(right.drop("c"), on, how)
+    keys = F.broadcast(hot.select(*on))
+    rest = left.join(keys, on, "left_anti").join(right.filter(F.col("c") <= HOT).drop("c"), on, how)
+    return left.join(F.broadcast(hot.drop("c")), on).select(rest.columns).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over (a, b) rows, a < b.
 
@@ -148,15 +175,13 @@ def components(edges: DataFrame) -> DataFrame:
     mark = marks(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c")))
         # large star: neighbours above a node hang on its smallest neighbour
-        large = (
-            both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
-        )
+        large = with_one(both.filter("b > a"), low, ["a"]).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         # small star: neighbours below a node, and itself, hang on the smallest of them
         large = cut(large)
-        least = cut(large.groupBy("b").agg(F.min("a").alias("m")))
-        joined = large.join(least, "b")
+        least = cut(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("c")))
+        joined = with_one(large, least, ["b"])
         nxt = cut(
             joined.select(F.col("m").alias("a"), F.col("a").alias("b"))
             .unionByName(joined.select(F.col("m").alias("a"), "b"))
@@ -212,52 +237,72 @@ def classes(docs: DataFrame, k: int, percent: int, permutations: int = PERMUTATI
     groups = (
         sig.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("n_shingles", "k1", "k2")
-        .agg(F.min(F.struct("doc_id", "bands")).alias("s"))
-        .select("n_shingles", "k1", "k2", F.col("s.doc_id").alias("gid"), F.col("s.bands").alias("bands"))
+        .agg(F.min(F.struct("doc_id", "bands")).alias("s"), F.count("*").alias("c"))
+        .select("n_shingles", "k1", "k2", "c", F.col("s.doc_id").alias("gid"), F.col("s.bands").alias("bands"))
     )
     groups = cut(groups)
     members = groups.select("gid", "n_shingles", F.explode("bands").alias("bk"))
     leaders = cut(
-        members.groupBy("bk")
-        .agg(F.min(F.struct("gid", "n_shingles")).alias("l"), F.count("*").alias("c"))
-        .filter("c > 1")
-    )
-    shared = cut(members.join(leaders, "bk").select("bk", "gid", "n_shingles", F.col("l.gid").alias("lead"), F.col("l.n_shingles").alias("n_lead")))
-
-    def could(x: str, y: str) -> str:
-        return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-
-    pairs = cut(
-        shared.filter("gid <> lead").filter(could("n_shingles", "n_lead"))
-        .select(F.col("lead").alias("a"), F.col("gid").alias("b")).distinct()
+        members.groupBy("bk").agg(F.min(F.struct("gid", "n_shingles")).alias("l"), F.count("*").alias("c")).filter("c > 1")
     )
+    shared = cut(with_one(members, leaders, ["bk"]).select("bk", "gid", "n_shingles", F.col("l.gid").alias("lead"), F.col("l.n_shingles").alias("n_lead")))
     sets = sets_for(source, shared.select(F.col("gid").alias("doc_id")), k)
+    pairs = led(shared, percent)
     links = cut(confirmed(sets, pairs, percent))
-    parts = components(links)
-    at = shared.join(parts, shared.gid == parts.node, "left").select(
-        "bk", "gid", "n_shingles", "lead", F.coalesce("component", "gid").alias("comp")
-    )
-    at = cut(at)
-    mixed = cut(
-        at.groupBy("bk")
-        .agg(
-            F.min("comp").alias("lo"),
-            F.max("comp").alias("hi"),
-            F.max(F.when(F.col("gid") == F.col("lead"), F.col("comp"))).alias("main"),
-        )
-        .filter("lo <> hi")
-    )
-    open_ = at.join(mixed.select("bk", "main"), "bk").select("lead", "gid", "n_shingles", "comp", "main").distinct()
-    more = cut(block_links(sets, cut(open_), percent))
-    final = parts if more.isEmpty() else components(links.unionByName(more))
-    named = groups.select("n_shingles", "k1", "k2", "gid").join(
-        final, F.col("gid") == F.col("node"), "left"
-    ).select("n_shingles", "k1", "k2", F.coalesce("component", "gid").alias("component_id"))
-    out = sig.select("doc_id", "text_hash", "n_shingles", "k1", "k2").join(named, ["n_shingles", "k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    parts = cut(components(links))
+    at = with_components(shared, parts)
+    for turn in range(ROUNDS):
+        open_ = unsettled(at, turn)
+        if open_.isEmpty():
+            break
+        new = cut(confirmed(sets, led(open_.filter("comp <> main"), percent), percent))
+        if new.isEmpty():
+            continue
+        parts = cut(components(new.unionByName(as_links(parts))))
+        at = with_components(shared, parts)
+    # buckets of the same first member and component are mostly of the same members
+    key = F.xxhash64("first", "main").alias("lead")
+    open_ = cut(unsettled(at, ROUNDS).select(key, "gid", "n_shingles", "comp", "main").distinct())
+    more = cut(block_links(sets, open_, percent))
+    final = parts if more.isEmpty() else components(more.unionByName(as_links(parts)))
+    final = cut(groups.select("n_shingles", "k1", "k2", "gid", "c").join(final, F.col("gid") == F.col("node"), "left")
+        .select("n_shingles", "k1", "k2", "c", F.coalesce("component", "gid").alias("component_id")))
+    rows = sig.select("doc_id", "text_hash", "n_shingles", "k1", "k2")
+    out = with_one(rows.filter("n_shingles > 0"), final, ["n_shingles", "k1", "k2"], how="left").select(
+        "doc_id", "text_hash", "n_shingles", "component_id"
     )
+    wordless = rows.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def led(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): leaders and members of rows (gid, n_shingles, lead, n_lead) where the sizes of
+    their sets allow a link."""
+    least, most = F.least("n_shingles", "n_lead"), F.greatest("n_shingles", "n_lead")
+    some = members.filter((F.col("gid") != F.col("lead")) & (100 * least >= percent * most))
+    return cut(some.select(F.col("lead").alias("a"), F.col("gid").alias("b")).distinct())
+
+
+def as_links(parts: DataFrame) -> DataFrame:
+    return parts.select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
+def with_components(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(bk, gid, n_shingles, first, comp): ``first`` is the bucket's smallest member."""
+    at = shared.join(parts, shared.gid == parts.node, "left")
+    return cut(at.select("bk", "gid", "n_shingles", F.col("lead").alias("first"), F.coalesce("component", "gid").alias("comp")))
+
+
+def unsettled(at: DataFrame, turn: int) -> DataFrame:
+    """Rows of the buckets with several components, with the largest one, ``main``, and a
+    leader of it, another one at each ``turn``."""
+    mixed = cut(at.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi"))
+    open_ = cut(with_one(at, mixed.select("bk", "c"), ["bk"]))
+    of = F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("h"), "gid", "n_shingles")).alias("l")
+    sizes = open_.groupBy("bk", "comp").agg(F.count("*").alias("n"), of)
+    main = sizes.groupBy("bk").agg(F.max(F.struct("n", (-F.col("comp")).alias("z"), "comp", "l")).alias("m"), F.sum("n").alias("c"))
+    main = main.select("bk", "c", F.col("m.comp").alias("main"), F.col("m.l.gid").alias("lead"), F.col("m.l.n_shingles").alias("n_lead"))
+    return cut(with_one(open_, cut(main), ["bk"]))
 
 
 def sets_for(source: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -268,13 +313,19 @@ def sets_for(source: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    both = (
-        pairs.join(sets.select(F.col("gid").alias("a"), F.col("set").alias("sa")), "a")
-        .join(sets.select(F.col("gid").alias("b"), F.col("set").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
-    )
-    return both.mapInArrow(_overlaps(percent), "a long, b long").distinct()
+    """The pairs (a, b), the smaller id as ``a``, whose full sets are similar enough."""
+    with_b = sets.select(F.col("gid").alias("b"), F.col("set").alias("sb"))
+    with_a = sets.select(F.col("gid").alias("a"), F.col("set").alias("sa"))
+    hot = cut(pairs.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("a"))
+    hot = cut(with_a.join(hot, "a", "left_semi")) if not hot.isEmpty() else None
+    if hot is not None and hot.agg(F.sum(F.length("sa") + 32)).first()[0] <= BROADCAST:
+        # leaders of very many pairs are not shuffled to one task each
+        cold = pairs.join(F.broadcast(hot.select("a").distinct()), "a", "left_anti").join(with_a, "a")
+        both = cold.unionByName(pairs.join(F.broadcast(hot), "a")).join(with_b, "b")
+    else:
+        both = pairs.join(with_a, "a").join(with_b, "b")
+    found = both.select("a", "b", "sa", "sb").mapInArrow(_overlaps(percent), "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 #: Documents and shingles of one side of a block.
@@ -282,12 +333,13 @@ BLOCK_DOCS, BLOCK_SHINGLES = 1000, 500_000
 
 
 def block_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components that share a lead.
+    """Links (a, b) that join all components which a link of two of a lead's members joins.
 
     ``groups`` has (lead, gid, n_shingles, comp, main). A lead's stragglers, those outside
-    its component ``main``, are held against all the lead's members of other components,
-    block against block: members and stragglers are dealt into chunks of bounded size, and
-    a task sees one chunk of each. Only links come out, never the compared pairs.
+    its largest component ``main``, are held against all the lead's members of other
+    components, block against block: members and stragglers are dealt into chunks of
+    bounded size, and a task sees one chunk of each. A block gives out at most one link
+    fewer than it has components, never the compared pairs.
     """
     lost = F.col("comp") != F.col("main")
     sizes = cut(
@@ -330,6 +382,14 @@ def _block_links(percent: int):
         values, owner = values[order], np.repeat(np.arange(len(sets)), size)[order]
         comp = np.array([r[5] for r in members])
         gid = np.array([r[4] for r in members])
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (above := up.get(c, c)) != c:
+                up[c] = up.get(above, above)
+                c = above
+            return c
+
         a: list[int] = []
         b: list[int] = []
         for r in block:
@@ -340,10 +400,13 @@ def _block_links(percent: int):
             n = hi - lo
             at = np.repeat(hi - np.cumsum(n), n) + np.arange(int(n.sum()))
             both = np.bincount(owner[at], minlength=len(sets))
-            near = (100 * both >= percent * (size + len(x) - both)) & (comp != r[5]) & (gid != r[4])
-            other = gid[near]
-            a += np.minimum(other, r[4]).tolist()
-            b += np.maximum(other, r[4]).tolist()
+            near = np.flatnonzero((100 * both >= percent * (size + len(x) - both)) & (comp != r[5]) & (gid != r[4]))
+            for c, k in zip(*(z.tolist() for z in np.unique(comp[near], return_index=True)), strict=True):
+                if root(c) != root(r[5]):  # one link for each component that is joined
+                    up[root(c)] = root(r[5])
+                    other = int(gid[near[k]])
+                    a.append(min(other, r[4]))
+                    b.append(max(other, r[4]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
