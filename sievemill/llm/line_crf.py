@@ -9,7 +9,7 @@ function of that share.
 
 Only documents are labelled, so the labels of their lines are latent: training goes from
 the documents' labels by turns to the lines' probabilities, moved as far as a document's
-label asks for (of a good one nearly all text is good, of a bad one half or more is bad),
+label asks for (of a good one nearly all text is good, of a bad one a good part is bad),
 and from those to the weights. So good lines of a bad document are learned as good, and
 moves between labels are seen. The two classes of documents weigh the same.
 """
@@ -33,7 +33,7 @@ from sievemill.llm.common import fresh, labelled_ids
 #: often the lines' labels are estimated anew.
 SAMPLE, SAMPLE_LINES, PASSES, TURNS = 4000, 2000, 60, 3
 #: Least share of a good document's text that is good, most of a bad one's.
-GOOD_SHARE, BAD_SHARE = 0.97, 0.5
+GOOD_SHARE, BAD_SHARE = 0.97, 0.7
 #: Score of a text without a word, and the least score that counts as good.
 EMPTY, GOOD = 0.0, 0.3
 
@@ -153,10 +153,9 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _climb(chains: Chains, x: np.ndarray, y: np.ndarray, seen: np.ndarray, weight: np.ndarray, start: Model, passes: int) -> Model:
+def _climb(chains: Chains, x: np.ndarray, y: np.ndarray, seen: np.ndarray, weight: np.ndarray, start: Model, passes: int, docs: int) -> Model:
     """Largest expected likelihood with a quadratic penalty, by Adam. ``y``: each line's
     probability of being good; ``seen``: expected numbers of moves."""
-    docs = max(1, len(chains.first))
     weights, moves = start.weights, start.moves
     state = [np.zeros(len(weights) + 4), np.zeros(len(weights) + 4)]
     for step in range(1, passes + 1):
@@ -214,15 +213,14 @@ def fit(row: np.ndarray, x: np.ndarray, length: np.ndarray, label: np.ndarray, p
     both = np.bincount(label, minlength=2)
     weight = (len(label) / 2 / np.maximum(both, 1))[label][row]
     y = label[row].astype(float)
-    inner = np.ones(len(row), bool)
-    inner[chains.first] = False
-    at = np.flatnonzero(inner)
-    seen = np.bincount((3 * label[row])[at], weight[at], minlength=4).reshape(2, 2)
-    model = _climb(chains, x, y, seen, weight, Model(np.zeros(x.shape[1]), np.zeros((2, 2))), passes)
+    # first by lines alone: what lies beside a line tells its document's label, not its own
+    alone = Chains(np.arange(len(row)))
+    model = _climb(alone, x[:, :OWN], y, np.zeros((2, 2)), weight, Model(np.zeros(OWN), np.zeros((2, 2))), passes, len(label))
+    model = Model(np.concatenate([model.weights, np.zeros(x.shape[1] - OWN)]), model.moves)
     for _ in range(turns):
         e, ahead, back = _estimated(chains, row, length, label, x @ model.weights, model.moves)
         seen = chains.pairs(e, model.moves, ahead, back, weight)
-        model = _climb(chains, x, _logistic(ahead + back), seen, weight, model, passes)
+        model = _climb(chains, x, _logistic(ahead + back), seen, weight, model, passes, len(label))
     if both.min() == 0:
         return model
     return Model(model.weights, model.moves, _curve(_shares(row, length, x, model, len(label)), label))
