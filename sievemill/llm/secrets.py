@@ -4,8 +4,8 @@ Two first-order models over bytes are trained: one of random strings (secrets th
 patterns find in a labelled sample, and strings drawn at random from usual alphabets) and
 one of ordinary identifiers (words of the sample, alone and joined). A candidate is a long
 run of key characters of at least two classes of digit, upper and lower case, or with many
-letters of one case; the method takes it if the log-likelihood
-ratio a character is above a threshold. Words of the sample may be secrets that no pattern
+letters of one case, or a shorter one with digits and letters; the method takes it if the
+log-likelihood ratio a character is above a threshold. Words of the sample may be secrets that no pattern
 finds, so only those teach that are clearly ordinary, and the threshold is set on
 held-out joined words. A run's ratio is a difference of two running sums, so a batch of
 texts is scored in one pass over its bytes.
@@ -34,9 +34,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: Documents to train on, shortest candidate, and the share of held-out identifiers that
-#: may look random.
-SAMPLE, MIN_CHARS, FALSE_SHARE = 2000, 16, 0.0002
+#: Documents to train on, one word of how many, and most strings; shortest candidate, and
+#: the share of held-out identifiers that may look random.
+SAMPLE, ONE_WORD_OF, STRINGS, MIN_CHARS, FALSE_SHARE = 2000, 8, 60_000, 16, 0.0002
+#: Shorter candidates, of digits and letters, and what they must reach a character.
+SHORT_CHARS, SHORT_LEAST = 12, 0.75
 #: Letters of a candidate that are of one case alone.
 LETTERS = 24
 #: At most this a character, a word of the sample that is not of letters in usual case is
@@ -122,7 +124,9 @@ def _mean(ratio: np.ndarray, word: str) -> float:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """On at most ``sample`` documents, by a hash; the labels of strings are the patterns'
-    finds. Only words and finds of at most 200 characters reach the driver."""
+    finds. Only finds and one word of ``ONE_WORD_OF``, by a hash, of at most 200 characters
+    reach the driver, ``STRINGS`` at most: a fit's sample, which what is scanned doesn't
+    depend on."""
     rows = texts_by_hash(docs, sample)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +142,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                     at = max(at, b)
                 rest.append(text[at:])
                 words = re.findall(r"[A-Za-z0-9+/_=-]{4,200}", "\n".join(rest))
-                plain |= {w for w in words if zlib.crc32(w.encode()) % 8 == 0 and not w.isdigit()}
+                plain |= {w for w in words if zlib.crc32(w.encode()) % ONE_WORD_OF == 0 and not w.isdigit()}
             yield pa.RecordBatch.from_pydict({"s": [*sorted(found), *sorted(plain)], "y": [1] * len(found) + [0] * len(plain)})
 
-    got = rows.mapInArrow(split, "s string, y long").distinct().orderBy(F.xxhash64("s"), "s", "y").limit(60_000).collect()
+    got = rows.mapInArrow(split, "s string, y long").distinct().orderBy(F.xxhash64("s"), "s", "y").limit(STRINGS).collect()
     return fit([r["s"] for r in got if r["y"] and len(r["s"]) >= 6], [r["s"] for r in got if not r["y"]])
 
 
@@ -151,7 +155,7 @@ def found_by_model(texts: textbuf.Texts, model: Model) -> list[list[sp.Span]]:
     if not len(b):
         return out
     start, end = sp.runs(_KEY[b], texts.offsets)
-    long = end - start >= MIN_CHARS
+    long = end - start >= SHORT_CHARS
     start, end = start[long], end[long]
 
     def count(cls: np.ndarray) -> np.ndarray:
@@ -161,10 +165,11 @@ def found_by_model(texts: textbuf.Texts, model: Model) -> list[list[sp.Span]]:
     digits, upper, lower = (count(cls) for cls in (_DIGIT, _UPPER, _LOWER))
     mixed = (np.stack([digits, upper, lower]) > 0).sum(0) >= 2
     mixed |= upper + lower >= LETTERS
+    mixed &= (end - start >= MIN_CHARS) | ((digits > 0) & (upper + lower > 0))
     start, end = start[mixed], end[mixed]
     total = _sums(model.ratio, b)
     score = (total[end - 1] - total[start]) / (end - start - 1)
-    keep = score >= model.least
+    keep = score >= np.where(end - start >= MIN_CHARS, model.least, max(model.least, SHORT_LEAST))
     chars = sp.Chars(texts)
     rows = np.searchsorted(texts.offsets, start[keep], "right") - 1
     for r, a, z in zip(rows.tolist(), start[keep].tolist(), end[keep].tolist(), strict=True):
@@ -205,7 +210,8 @@ def find(docs: DataFrame, model: Model, keep: list[str], name: str) -> DataFrame
 
     ``spans`` has the patterns' spans and the method's ``random`` ones, which overlap none
     of them, by start. A null or empty text has none. Rows that repeat have the same; an
-    empty table gives an empty result.
+    empty table gives an empty result. A very long text is worked on alone and whole.
+    Columns that aren't in ``keep`` are not looked at, so they may have any names.
     """
     text = fresh(docs, "__text")
     cols = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias(text))

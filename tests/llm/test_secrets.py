@@ -79,3 +79,52 @@ def test_keys_of_letters_alone_are_candidates():
     texts = textbuf.of(pa.RecordBatch.from_pydict({"text": [f"a {w} b" for w in keys + ordinary + ["=" * 40, "1" * 40, "a" * 40]]}), "text")
     hits = [bool(found) for found in s.found_by_model(texts, model)]
     assert sum(hits[:600]) >= 590 and sum(hits[600:]) <= 3
+
+
+def test_planted_keys(spark):
+    """Precision and recall of what the method adds, over whole documents."""
+    rng = random.Random(21)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "tion", "ing"]
+
+    def plain():
+        return "".join(rng.choice(syllables) for _ in range(rng.randint(1, 5)))
+
+    def name():
+        return rng.choice("_-/").join(plain() for _ in range(rng.randint(2, 4))) + rng.choice(["", str(rng.randrange(2030))])
+
+    alphabets = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "-_"]
+    rows, planted = [], set()
+    for i in range(600):
+        words = [plain() if rng.random() < 0.9 else name() for _ in range(120)]
+        if i % 3 == 0:
+            key = "".join(rng.choices(alphabets[i % 4], k=rng.choice([12, 16, 20, 32])))
+            if any(c.isdigit() for c in key):
+                at = rng.randrange(120)
+                words[at] = f"({key})"
+                start = len(" ".join(words[:at])) + (at > 0) + 1
+                planted.add((i, start, start + len(key)))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], int(a), int(z)) for r in s.find(docs, s.train(docs), ["doc_id"], "f").collect() for kind, a, z in (x.split(":") for x in r["f"]["spans"].split(",") if x) if kind == "random"}
+    assert len(got & planted) >= 0.95 * len(planted) and len(got & planted) >= 0.95 * len(got), (len(got), len(planted), len(got & planted))
+
+
+def test_many_spans_in_one_text():
+    import time
+
+    from sievemill.llm import spans
+
+    base = [("hex", 30 * i, 30 * i + 25) for i in range(50_000)]
+    more = [("random", 30 * i + (24 if i % 2 else 26), 30 * i + 28) for i in range(50_000)]
+    began = time.time()
+    assert spans.apart(base, more) == [m for i, m in enumerate(more) if i % 2 == 0]
+    assert spans.apart([], more[::-1]) == more[::-1] and time.time() - began < 5
+    rng = random.Random(1)
+    for _ in range(300):
+        base, more = ([(k, a, a + rng.randint(1, 6)) for a in (rng.randrange(40) for _ in range(rng.randrange(8)))] for k in "ab")
+        want, taken = [], [x[1:] for x in base]
+        for x in more:
+            if all(x[2] <= a or x[1] >= z for a, z in taken):
+                want.append(x)
+                taken.append(x[1:])
+        assert spans.apart(base, more) == want
