@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zlib
 
@@ -31,11 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a temporary folder set.
+    Where the session names none, a temporary folder is set if Spark runs in one process,
+    and a ValueError tells it otherwise: other machines wouldn't see such a folder.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="sievemill-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -75,20 +79,25 @@ def labelled_ids(labels: DataFrame, rows: int, label: str = "quality") -> DataFr
     return cut(zero.unionByName(one).select("doc_id", "y"))
 
 
-def texts_by_hash(docs: DataFrame, rows: int, condition: Column | None = None) -> DataFrame:
+def texts_by_hash(docs: DataFrame, rows: int, condition: Column | None = None, over: int = 2) -> DataFrame:
     """(text): at most ``rows`` non-empty texts that meet ``condition``, those of the
-    smallest hashes of id and text.
+    smallest hashes of id and text among the ``over`` * ``rows`` ids of the smallest hashes.
 
-    Only hashes are sorted; texts are then picked by the largest of them, so no task reads
-    more texts than these.
+    Rows without an id are left out. Ids are hashed first, by a pass that reads no text; the
+    texts of the chosen ids are written, and then picked by their hashes.
     """
-    text = F.col("text").cast("string")
-    hashed = docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("h")).filter(F.length("text") > 0)
+    text, own = F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long"))
+    some = docs.filter(F.col("doc_id").isNotNull())
+    last = some.select(own.alias("h")).orderBy("h").limit(over * rows).agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return docs.limit(0).select(text.alias("text"))
+    near = some.filter(own <= F.lit(last)).select(text.alias("text"), F.xxhash64("doc_id", text).alias("h")).filter(F.length("text") > 0)
     if condition is not None:
-        hashed = hashed.filter(condition)
-    last = hashed.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
-    picked = hashed.filter(F.col("h") <= F.lit(last)) if last is not None else hashed.limit(0)
-    return picked.groupBy("h").agg(F.min("text").alias("text")).select("text")
+        near = near.filter(condition)
+    near = cut(near.groupBy("h").agg(F.min("text").alias("text")))
+    last = near.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
+    picked = near.filter(F.col("h") <= F.lit(last)) if last is not None else near.limit(0)
+    return picked.select("text")
 
 
 def buckets_for(df: DataFrame, rows: int = 400, most: int = 65536) -> int:

@@ -526,7 +526,7 @@ def fit(found: list[str], passes: int = PASSES, seed: int = 5) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE, most: int = STRETCHES) -> np.ndarray:
     """On at most ``most`` stretches of at most ``sample`` documents, taken by a hash; those
     with what ``fit`` would leave out come last."""
-    rows = texts_by_hash(docs, sample, F.col("text").rlike("[0-9@]"))
+    rows = texts_by_hash(docs, sample, F.col("text").rlike("[0-9@]"), over=10)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 
@@ -76,8 +78,6 @@ def test_dynamic_program_is_exact(weights):
                     for v, rest in every(j + 1):
                         yield v + score[k, kind], ((k, kind), *rest)
 
-    import math
-
     ways = list(every(0))
     post, whole = lattice.posteriors(score)
     assert whole == pytest.approx(math.log(sum(math.exp(v) for v, _ in ways)))
@@ -103,3 +103,67 @@ def test_national_numbers_in_the_sample_are_no_negatives():
     assert pii.found_in("(212) 555-0147", weights) == ([], [("phone", 0, 14)])
     for clean in ("2024-05-17", "12345", "100 200", "4111111111111112"):
         assert pii.found_in(clean, weights) == ([], []), clean
+
+
+def features(s, left, right):
+    """As stated, one segment at a time."""
+    d = re.sub("[^0-9]", "", s)
+    at, n = s.count("@"), len(d)
+    local, _, domain = s.partition("@")
+    labels, dotted = domain.split("."), s.split(".")
+    groups = [len(g) for g in re.findall("[0-9]+", s)]
+    four = len(dotted) == 4 and all(re.fullmatch("[0-9]{1,3}", x) and int(x) <= 255 for x in dotted)
+    plain, ok = set(s) <= set("0123456789 ().+-"), "[A-Za-z0-9._%+-]+"
+    email = at == 1 and len(labels) > 1 and all(re.fullmatch(ok, x) for x in labels) and labels[-1].isalpha() and len(labels[-1]) > 1
+    out = [1, at == 1, at > 1, at == 1 and re.fullmatch(ok, local), email, " " in s, s[0] == "+", s.count("+") > (s[0] == "+")]
+    out += [n < 7, 7 <= n <= 9, 10 <= n <= 11, n == 12, 13 <= n <= 19, n > 19, 13 <= n <= 19 and luhn(d), four, not four and len(dotted) > 2]
+    out += [any(c.isalpha() for c in s), "(" in s, s.count("(") != s.count(")"), "-" in s, groups[-2:] == [3, 4], len(groups) > 1 and set(groups) == {4}, plain, not plain and not at]
+    out += [left in ("", " "), right in ("", " "), left.isalnum() or left in set("+.@-_%"), right.isalnum() or right in {"@", "-", "_"}, len(groups) > 5, "  " in s]
+    return [float(bool(x)) for x in out]
+
+
+PARTS = ["a.b", "@", "mail", ".", "com", "1", "12", "255", "256", "4111111111111111", "4111 1111 1111 1111", "+", "+1", " (212) ", "555", "-", " ", "  ", "é", "漢", "(", ")", "٣", "0000000001", "x@y.zz", "000", "_", "%", "2024-05-17", "1.2.3.4", "300"]
+
+
+def test_features_are_those_of_single_segments():
+    rng = random.Random(5)
+    for _ in range(800):
+        s = "".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 14)))
+        lattice = pii.Lattice(s)
+        cuts = [m.span() for m in re.finditer("(?s)[A-Za-z]+|[0-9]+|.", s)]
+        assert lattice.cuts == cuts
+        for (i, j), x in zip(lattice.segments, lattice.x.tolist(), strict=True):
+            a, z = cuts[i][0], cuts[j][1]
+            assert x == features(s[a:z], s[a - 1 : a] if a else "", s[z : z + 1]), s
+
+
+def added(s, w):
+    """What the model adds to a stretch, from all of its segments at once."""
+    lattice = pii.Lattice(s)
+    score = lattice.scores(w)
+    post, _ = lattice.posteriors(score)
+    return [(pii.KINDS[kind], lattice.cuts[lattice.segments[k][0]][0], lattice.cuts[lattice.segments[k][1]][1]) for k, kind in lattice.best(score) if post[k, kind] >= pii.POSTERIOR]
+
+
+def test_added_spans_as_by_whole_lattices(weights, monkeypatch):
+    rng = random.Random(6)
+    found = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 25))) for _ in range(600)] + ["(212) 555-0147", "call 212-555-0147 now"]
+    want = [(k, *x) for k, s in enumerate(found) for x in added(s, weights)]
+    assert len(want) > 10
+    for window in (4096, 7, 1):
+        monkeypatch.setattr(pii, "WINDOW", window)
+        assert pii.likely(found, weights) == want
+
+
+def test_a_long_table_of_numbers(weights):
+    import tracemalloc
+
+    rng = random.Random(7)
+    s = " ".join(str(rng.randrange(10**5)) for _ in range(170_000)) + " +1 (212) 555-0147"
+    tracemalloc.start()
+    began = time.time()
+    base, more = pii.found_in(s, weights)
+    took, (_, peak) = time.time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(s) > 1_000_000 and ("phone", len(s) - 17, len(s)) in base and all(z - a < 80 for _, a, z in more)
+    assert peak < 400e6 and took < 120
