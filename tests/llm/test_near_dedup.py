@@ -62,3 +62,48 @@ def test_repeated_rows_null_ids_long_and_empty(spark):
     left = unique(spark.createDataFrame(rows, SCHEMA), k=3)
     assert left.columns == ["doc_id", "text", "component_id"]
     assert sorted((str(r[0]), r[1]) for r in left.collect()) == sorted([("5", long), ("None", "alone here now"), ("7", "other text of this id"), ("7", "second text of this id")])
+
+
+def test_large_near_copy_groups_cost_in_proportion(spark, monkeypatch):
+    """A group of near copies whose buckets are led by a document outside of it."""
+    held = []
+    before = near_dedup.block_links
+
+    def counted(sets, groups, percent):
+        rows = groups.collect()
+        for lead in {r["lead"] for r in rows}:
+            own = [r for r in rows if r["lead"] == lead]
+            held.append(len(own) * sum(r["comp"] != r["main"] for r in own))
+        return before(sets, groups, percent)
+
+    monkeypatch.setattr(near_dedup, "block_links", counted)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    work = {}
+    for n in (200, 800):
+        far = list(base)
+        for at in range(0, 300, 30):  # shares bands with the group, but is not similar enough
+            far[at] = "other"
+        rows = [(0, " ".join(far), None)]
+        for i in range(1, n + 1):
+            words = list(base)
+            words[rng.randrange(300)] = f"x{i}"
+            rows.append((i, " ".join(words), None))
+        held.clear()
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), k=3, percent=85).collect()}
+        assert got == {0: 0} | {i: 1 for i in range(1, n + 1)}
+        work[n] = sum(held)
+    assert work[800] <= 5 * max(work[200], 200)
+
+
+def test_hot_keys_are_joined_without_a_shuffle_of_them(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 10)
+    rows = [(i, "copies of one text all over", "") for i in range(60)] + [(100 + i, "", "") for i in range(60)]
+    rows += [(200 + i, "one long text of many words that is nearly the same everywhere else " * 3 + str(i), "") for i in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), k=3, percent=85).collect()}
+    assert got == {i: c for i, (_, c, _) in brute(rows, 3, 85).items()}
+    left = spark.createDataFrame([(i % 3, i) for i in range(300)] + [(7, 1), (9, 2)], "k long, v long")
+    right = near_dedup.cut(spark.createDataFrame([(0, 100, "a"), (1, 5, "b"), (2, 100, "c"), (7, 1, "d")], "k long, c long, w string"))
+    for how in ("inner", "left"):
+        want = left.join(right.drop("c"), ["k"], how)
+        assert sorted(map(str, near_dedup.with_one(left, right, ["k"], how=how).collect())) == sorted(map(str, want.collect()))
