@@ -7,9 +7,10 @@ evaluations of plain MinHash. Bands of ``rows`` values are bucket keys.
 * Documents of equal sets are one group at once, by a 128-bit sum over the set.
 * In every bucket the smallest group is the leader; each other member is paired with it.
   Pairs are confirmed on the full sets, and the confirmed links give first components.
-* Where a bucket still holds several components, a member of its largest one, another at
-  each of ``ROUNDS`` rounds, leads those outside of it. So a large group whose first leader
-  isn't one of it becomes a component after all, by comparisons in proportion to its size.
+* Where buckets that still hold several components would take many comparisons, a member
+  of the largest one, another at each of ``ROUNDS`` rounds, leads those outside of it. So a
+  large group whose first leader isn't one of it becomes a component after all, by
+  comparisons in proportion to its size.
 * Only where a bucket holds several components then are members outside its largest one
   held against its members of other components, in bounded blocks that give out one link
   for each component that a member joins. Pairs within a component can't change the
@@ -32,8 +33,9 @@ from sievemill.llm import textbuf
 from sievemill.llm.common import cut
 
 PERMUTATIONS, ROWS = 72, 6
-#: Rounds of new leaders before members are held against each other.
-ROUNDS = 2
+#: Rounds of new leaders before members are held against each other, and the comparisons a
+#: member that are not worth a round.
+ROUNDS, FEW = 3, 50
 #: Rows of a key that make it hot, and the most bytes of hot keys' rows that are broadcast.
 HOT, BROADCAST = 100_000, 64 << 20
 _U64 = np.uint64
@@ -143,17 +145,17 @@ def _overlaps(percent: int):
     return run
 
 
-def with_one(left: DataFrame, right: DataFrame, on: list[str], size: str = "32", how: str = "inner") -> DataFrame:
+def with_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """``left`` joined with the one row that ``right``, a written table, has for a key.
 
-    Its column ``c`` tells how many rows of ``left`` have the key. Keys of more than
-    ``HOT`` rows are broadcast, if their rows, of ``size`` bytes (an expression) each, are
-    ``BROADCAST`` at most; only others are shuffled, so no task gets all rows of a hot key.
-    Above that there are so many hot keys that a shuffle spreads them.
+    Its column ``c`` tells how many rows of ``left`` have the key; ``rows``, if known, how
+    many ``left`` has. The few keys of more than ``HOT`` rows are broadcast, if they are of
+    ``BROADCAST`` bytes at most; only others are shuffled, so no task gets all rows of a hot
+    key. Above that there are so many hot keys that a shuffle spreads them.
     """
     hot = right.filter(F.col("c") > HOT)
-    n, total = hot.agg(F.count("*"), F.coalesce(F.sum(F.expr(size)), F.lit(0))).first()
-    if not n or total > BROADCAST:
+    n = hot.count() if rows is None or rows > HOT else 0
+    if not n or 32 * len(right.columns) * n > BROADCAST:
         return left.join(right.drop("c"), on, how)
     keys = F.broadcast(hot.select(*on))
     rest = left.join(keys, on, "left_anti").join(right.filter(F.col("c") <= HOT).drop("c"), on, how)
@@ -177,11 +179,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c")))
         # large star: neighbours above a node hang on its smallest neighbour
-        large = with_one(both.filter("b > a"), low, ["a"]).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = with_one(both.filter("b > a"), low, ["a"], rows=mark[0]).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         # small star: neighbours below a node, and itself, hang on the smallest of them
         large = cut(large)
         least = cut(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("c")))
-        joined = with_one(large, least, ["b"])
+        joined = with_one(large, least, ["b"], rows=mark[0])
         nxt = cut(
             joined.select(F.col("m").alias("a"), F.col("a").alias("b"))
             .unionByName(joined.select(F.col("m").alias("a"), "b"))
@@ -251,19 +253,20 @@ def classes(docs: DataFrame, k: int, percent: int, permutations: int = PERMUTATI
     links = cut(confirmed(sets, pairs, percent))
     parts = cut(components(links))
     at = with_components(shared, parts)
-    for turn in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
         open_ = unsettled(at, turn)
-        if open_.isEmpty():
+        # buckets of the same first member and component are mostly of the same members
+        key = F.xxhash64("first", "main").alias("lead")
+        dealt = open_.select(key, "gid", "n_shingles", "comp", "main").distinct()
+        lost = F.sum((F.col("comp") != F.col("main")).cast("long")).alias("lost")
+        work = dealt.groupBy("lead").agg(F.count("*").alias("n"), lost).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("lost")).alias("pairs")).first()
+        if turn == ROUNDS or (work["pairs"] or 0) <= FEW * (work["n"] or 0):
             break
         new = cut(confirmed(sets, led(open_.filter("comp <> main"), percent), percent))
-        if new.isEmpty():
-            continue
-        parts = cut(components(new.unionByName(as_links(parts))))
-        at = with_components(shared, parts)
-    # buckets of the same first member and component are mostly of the same members
-    key = F.xxhash64("first", "main").alias("lead")
-    open_ = cut(unsettled(at, ROUNDS).select(key, "gid", "n_shingles", "comp", "main").distinct())
-    more = cut(block_links(sets, open_, percent))
+        if not new.isEmpty():
+            parts = cut(components(new.unionByName(as_links(parts))))
+            at = with_components(shared, parts)
+    more = cut(block_links(sets, cut(dealt), percent))
     final = parts if more.isEmpty() else components(more.unionByName(as_links(parts)))
     final = cut(groups.select("n_shingles", "k1", "k2", "gid", "c").join(final, F.col("gid") == F.col("node"), "left")
         .select("n_shingles", "k1", "k2", "c", F.coalesce("component", "gid").alias("component_id")))
