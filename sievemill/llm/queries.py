@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm import line_crf, mixing, near_dedup, packing, pii, quality_rules, search, secrets, token_files, url_rules
+from sievemill.llm import base_queries, line_crf, mixing, near_dedup, packing, pii, quality_rules, search, secrets, token_files, url_rules
 from sievemill.llm.common import is_held_out, table
 from sievemill.llm.tokens import tokenizer_path
 
@@ -92,7 +92,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_mix_sources": op9_mix_sources,
     "op10_top_k": op10_top_k,
-}
+} | base_queries.QUERIES
 
 OP1_SQL = r"""
 WITH RECURSIVE d AS (
@@ -139,4 +139,21 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, source
 FROM t
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op9_mix_sources": OP9_SQL}
+OP10_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '(?:[0-9a-z]|[^\x00-\x7F])+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+l AS (SELECT doc_id, count(*) AS len FROM t GROUP BY 1),
+c AS (SELECT count(*) AS n, (SELECT count(*) FROM t) / count(*) AS average FROM documents),
+w AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM f, c GROUP BY term, n),
+s AS (SELECT q.doc_id AS query_id, f.doc_id, round(sum(idf * f.tf * 2.2::DOUBLE / (f.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / average))), 6) AS score
+      FROM f q JOIN w USING (term) JOIN f USING (term) JOIN l ON l.doc_id = f.doc_id, c WHERE q.doc_id % 20 = 0 GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": OP1_SQL,
+    "op9_mix_sources": OP9_SQL,
+    "op10_top_k": OP10_SQL,
+} | base_queries.ORACLE_SQL
