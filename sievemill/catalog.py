@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions import sequences as seq
-from sievemill.operators import intervals
+from sievemill.operators import intervals, references
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,39 @@ def cigar_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", seq.reference_length(F.col("cigar")).alias("on_reference"), seq.query_length(F.col("cigar")).alias("on_query"))
 
 
+def quality_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "!\"#+5?IJ@ABCDEFG")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.alias("quality"))
+    values = seq.phred_values(F.col("quality"))
+    total = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("p_partkey", F.array_join(values.cast("array<string>"), ",").alias("phred"), total.alias("total"), seq.phred_text(values).alias("again"))
+
+
+def aligned_base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "p_partkey", "p_partkey * 7 AS pos", "concat(p_size % 3 + 1, 'S', p_size % 5 + 1, 'M', p_partkey % 2 + 1, 'I', p_partkey % 4 + 1, 'D', p_size % 7 + 1, 'M') AS cigar",
+        "translate(md5(CAST(p_partkey AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq", "'*' AS qual",
+    )
+    return seq.aligned_bases(rows).select("p_partkey", "ref_pos", "read_pos", "op", "base")
+
+
+def subsequence_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "CAST(p_partkey % 5 AS STRING) AS name", "(p_partkey DIV 5) * 32 AS start",
+        "translate(md5(CAST(p_partkey AS STRING)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence",
+    )
+    regions = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "CAST(l_suppkey % 6 AS STRING) AS contig",
+        "(l_orderkey * 613 + l_partkey * 17) % 1500 - 40 AS start", "(l_orderkey * 613 + l_partkey * 17) % 1500 - 40 + CAST(l_quantity AS BIGINT) * 2 AS end",
+    )
+    found = references.subsequences(chunks, regions, 32)
+    return found.groupBy("contig", "start", "end").agg(F.count("*").alias("n"), F.min("sequence").alias("sequence"), F.max("sequence").alias("same"))
+
+
 QUERIES = {
+    "quality_codecs": quality_codecs,
+    "aligned_base_rows": aligned_base_rows,
+    "subsequence_lookup": subsequence_lookup,
     "interval_overlap_join": interval_overlap_join,
     "interval_merge": interval_merge,
     "interval_depth": interval_depth,
@@ -67,6 +99,24 @@ QUERIES = {
 FLAGSHIP = "interval_overlap_join"
 
 ORACLE_SQL: dict[str, str] = {
+    "quality_codecs": """
+WITH q AS (SELECT p_partkey, translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', '!"#+5?IJ@ABCDEFG') AS t FROM part),
+v AS (SELECT p_partkey, t, list_transform(range(1, length(t) + 1), lambda i: ascii(t[i]) - 33) AS v FROM q)
+SELECT p_partkey, array_to_string(v, ',') AS phred, CAST(list_sum(v) AS BIGINT) AS total, t AS again FROM v""",
+    "aligned_base_rows": """
+WITH r AS (SELECT p_partkey, p_partkey * 7 AS pos, p_size % 3 + 1 AS s, p_size % 5 + 1 AS m, p_partkey % 2 + 1 AS ins, p_partkey % 4 + 1 AS del,
+             p_size % 7 + 1 AS m2, translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM part),
+x AS (SELECT p_partkey, seq, pos + i AS ref_pos, s + i AS read_pos, 'M' AS op FROM (SELECT *, unnest(range(m)) AS i FROM r)
+  UNION ALL SELECT p_partkey, seq, pos + m + i, NULL, 'D' FROM (SELECT *, unnest(range(del)) AS i FROM r)
+  UNION ALL SELECT p_partkey, seq, pos + m + del + i, s + m + ins + i, 'M' FROM (SELECT *, unnest(range(m2)) AS i FROM r))
+SELECT p_partkey, CAST(ref_pos AS BIGINT) AS ref_pos, CAST(read_pos AS BIGINT) AS read_pos, op, CASE WHEN op = 'M' THEN seq[read_pos + 1] END AS base FROM x""",
+    "subsequence_lookup": """
+WITH c AS (SELECT CAST(p_partkey % 5 AS VARCHAR) AS contig, string_agg(translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), ''
+             ORDER BY p_partkey // 5) AS whole, min(p_partkey // 5) * 32 AS first FROM part GROUP BY 1),
+r AS (SELECT CAST(l_suppkey % 6 AS VARCHAR) AS contig, (l_orderkey * 613 + l_partkey * 17) % 1500 - 40 AS start,
+        (l_orderkey * 613 + l_partkey * 17) % 1500 - 40 + CAST(l_quantity AS BIGINT) * 2 AS "end" FROM lineitem),
+f AS (SELECT r.*, substring(whole, CAST(greatest(start - first, 0) + 1 AS BIGINT), CAST(greatest("end" - first, 0) - greatest(start - first, 0) AS BIGINT)) AS sequence FROM r LEFT JOIN c USING (contig))
+SELECT contig, start, "end", count(*) AS n, min(sequence) AS sequence, max(sequence) AS same FROM f GROUP BY 1, 2, 3""",
     "interval_overlap_join": f"""
 WITH r AS ({READS_SQL}),
 w AS (SELECT p_partkey, p_partkey % 5 AS contig, (p_partkey * 7907) % 400000 AS s,

@@ -17,46 +17,92 @@ def overlap_join(left: DataFrame, right: DataFrame, group: str, width: int) -> D
     names. Right columns of these names come out as ``right_start`` and ``right_end``. Rows
     are dealt into bins of ``width`` and joined by group and bin, so a hot group is split;
     a pair that meets in several bins is kept in the one where the later of the two
-    starts. Empty or null intervals match nothing. Choose ``width`` near the usual length.
+    starts. Empty or null intervals and null groups match nothing; repeated rows match each;
+    an empty side gives an empty result. Choose ``width`` near the usual length.
     """
     def real(df: DataFrame) -> DataFrame:
         return df.filter((F.col("start") < F.col("end")) & F.col(group).isNotNull())
 
-    a = real(left).withColumn("__bin", _bins(F.col("start"), F.col("end"), width))
+    own = _fresh([*left.columns, *right.columns], "__bin")
+    a = real(left).withColumn(own, _bins(F.col("start"), F.col("end"), width))
     b = real(right).withColumnsRenamed({"start": "right_start", "end": "right_end"})
-    b = b.withColumn("__bin", _bins(F.col("right_start"), F.col("right_end"), width))
+    b = b.withColumn(own, _bins(F.col("right_start"), F.col("right_end"), width))
     home = F.floor(F.greatest("start", "right_start") / width)
     shared = (F.col("start") < F.col("right_end")) & (F.col("right_start") < F.col("end"))
-    return a.join(b, [group, "__bin"]).filter(shared & (F.col("__bin") == home)).drop("__bin")
+    return a.join(b, [group, own]).filter(shared & (F.col(own) == home)).drop(own)
 
 
-def merged(df: DataFrame, group: str) -> DataFrame:
-    """(group, start, end, n): intervals of a group that overlap or touch, as one."""
-    rows = df.filter(F.col("start") < F.col("end")).select(group, "start", "end")
-    order = Window.partitionBy(group).orderBy("start", "end")
+#: Positions of a bin in which running values are computed by one task.
+BIN = 1 << 20
+
+
+def _fresh(columns: list[str], name: str) -> str:
+    """``name`` with underscores before it until it is none of ``columns``."""
+    there = {c.lower() for c in columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
+def _real(df: DataFrame, group: str) -> DataFrame:
+    """(g, start, end) of the intervals that aren't empty or null."""
+    return df.filter(F.col("start") < F.col("end")).select(F.col(f"`{group}`").alias("g"), "start", "end")
+
+
+def merged(df: DataFrame, group: str, width: int = BIN) -> DataFrame:
+    """(group, start, end, n): intervals of a group that overlap or touch, as one.
+
+    A null group is a group of its own; empty and null intervals are left out, repeated ones
+    count each; an empty table gives an empty result; other columns are not looked at. What
+    earlier intervals reach is a running maximum within bins of ``width`` and over the bins,
+    of which a group has few, so a large group is spread over tasks.
+    """
+    rows = _real(df, group).withColumn("bin", F.floor(F.col("start") / width))
+    by_bin = Window.partitionBy("g").orderBy("bin")
+    before = by_bin.rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("g", "bin").agg(F.max("end").alias("most")).withColumn("carry", F.max("most").over(before)).drop("most")
+    # a carried row stands before its bin's intervals
+    first = F.lit(None).cast(rows.schema["start"].dataType)
+    marks = carried.select("g", "bin", first.alias("start"), F.col("carry").cast(rows.schema["end"].dataType).alias("end"))
+    order = Window.partitionBy("g", "bin").orderBy(F.col("start").asc_nulls_first(), "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") > F.col("reach"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        rows.withColumn("reach", reach)
-        .withColumn("island", island)
-        .groupBy(group, "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
-        .drop("island")
+    rows = rows.select("g", "bin", "start", "end").unionByName(marks).withColumn("reach", reach).filter("start is not null")
+    opens = (F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("long")
+    rows = rows.withColumn("opens", opens)
+    earlier = rows.groupBy("g", "bin").agg(F.sum("opens").alias("n")).withColumn("islands", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inner = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("g").eqNullSafe(F.col("g2")) & (F.col("bin") == F.col("bin2"))
+    numbered = rows.withColumn("inner", inner).join(earlier.withColumnsRenamed({"g": "g2", "bin": "bin2"}), same)
+    islands = numbered.groupBy("g", (F.col("islands") + F.col("inner")).alias("island")).agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")
     )
+    return islands.select(F.col("g").alias(group), "start", "end", "n")
 
 
-def depth(df: DataFrame, group: str) -> DataFrame:
+def depth(df: DataFrame, group: str, width: int = BIN) -> DataFrame:
     """(group, start, end, depth): maximal stretches of equal, positive depth.
 
-    Starts and ends are counted by position first, so the running sum is over positions,
-    however deep they are."""
-    rows = df.filter(F.col("start") < F.col("end"))
-    steps = rows.select(group, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("s"))
-    steps = steps.groupBy(group, F.col("s.at").alias("start")).agg(F.sum("s.d").alias("d")).filter("d <> 0")
-    order = Window.partitionBy(group).orderBy("start")
-    return (
-        steps.withColumn("depth", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("end", F.lead("start").over(order))
-        .filter("depth > 0")
-        .select(group, "start", "end", "depth")
+    Null groups, empty and null intervals, repeated rows, empty tables and other columns are
+    as in ``merged``. Starts and ends are counted by position first, so the running sum is
+    over positions, however deep they are; it runs within bins of ``width`` and over the
+    bins, so a large group is spread over tasks.
+    """
+    rows = _real(df, group)
+    step = lambda at, d: F.struct(F.col(at).alias("at"), F.lit(d).cast("long").alias("d"))
+    steps = rows.select("g", F.explode(F.array(step("start", 1), step("end", -1))).alias("s"))
+    steps = steps.groupBy("g", F.col("s.at").alias("start")).agg(F.sum("s.d").alias("d")).filter("d <> 0")
+    steps = steps.withColumn("bin", F.floor(F.col("start") / width))
+    by_bin = Window.partitionBy("g2").orderBy("bin2")
+    bins = steps.groupBy(F.col("g").alias("g2"), F.col("bin").alias("bin2")).agg(F.sum("d").alias("all"), F.min("start").alias("first"))
+    carried = bins.select(
+        "g2", "bin2", F.coalesce(F.sum("all").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"),
+        F.lead("first").over(by_bin).alias("next"),
+    )
+    order = Window.partitionBy("g", "bin").orderBy("start")
+    inner = F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    run = steps.withColumn("inner", inner).withColumn("then", F.lead("start").over(order))
+    same = F.col("g").eqNullSafe(F.col("g2")) & (F.col("bin") == F.col("bin2"))
+    out = run.join(carried, same).select(
+        F.col("g").alias(group), "start", F.coalesce("then", "next").alias("end"), (F.col("inner") + F.col("carry")).alias("depth")
     )
+    return out.filter("depth > 0")

@@ -45,6 +45,28 @@ def test_depth_and_merge(spark):
     df = spark.createDataFrame([("c", 1, 5), ("c", 3, 8), ("c", 8, 9), ("c", 20, 21), ("c", 4, 4)], "g string, start long, end long")
     assert sorted(map(tuple, intervals.merged(df, "g").collect())) == [("c", 1, 9, 3), ("c", 20, 21, 1)]
     assert sorted(map(tuple, intervals.depth(df, "g").collect())) == [("c", 1, 3, 1), ("c", 3, 5, 2), ("c", 5, 9, 1), ("c", 20, 21, 1)]
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), s, s + rng.choice([0, 1, 4, 30, 200]), i, "x") for i in range(250) for s in [rng.choice([rng.randrange(-900, 900), 10])]] + [("a", None, 4, 1, "x"), ("a", 4, None, 1, "x")]
+    df = spark.createDataFrame(rows, "reach string, start long, end long, island int, bin string")
+    islands, heights = [], []
+    for g in ("a", "b", None):
+        own = sorted(r[1:3] for r in rows if r[0] == g and None not in r[1:3] and r[1] < r[2])
+        cuts = sorted({x for r in own for x in r})
+        for a, z in own:
+            if islands and islands[-1][0] == g and a <= islands[-1][2]:
+                islands[-1] = (g, islands[-1][1], max(z, islands[-1][2]), islands[-1][3] + 1)
+            else:
+                islands.append((g, a, z, 1))
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            n = sum(x <= a and y >= z for x, y in own)
+            if n and heights and heights[-1][0] == g and heights[-1][2:] == (a, n):
+                heights[-1] = (g, heights[-1][1], z, n)
+            elif n:
+                heights.append((g, a, z, n))
+    for width in (7, 64, 1 << 20):
+        assert sorted(map(str, map(tuple, intervals.merged(df, "reach", width).collect()))) == sorted(map(str, islands))
+        assert sorted(map(str, map(tuple, intervals.depth(df, "reach", width).collect()))) == sorted(map(str, heights))
+    assert intervals.merged(df.limit(0), "reach").count() == intervals.depth(df.limit(0), "reach").count() == 0
 
 
 def test_sequence_columns(spark):
@@ -62,7 +84,41 @@ def test_text_formats(spark, tmp_path):
     (tmp_path / "a.vcf").write_text("##fileformat=VCFv4.3\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n20\t14370\trs1\tG\tA,T\t29\tPASS\tDP=14;AF=0.5,0.1;DB\n20\t5\t.\tC\t.\t.\t.\t.\n")
     rows = tf.read_vcf(spark, str(tmp_path / "a.vcf")).orderBy("pos").collect()
     assert rows[0]["info"] == {} and rows[0]["qual"] is None and rows[1]["info"] == {"DP": "14", "AF": "0.5,0.1", "DB": None} and rows[1]["alts"] == ["A", "T"]
-    (tmp_path / "a.fa").write_text(">s1 first one\nACGT\nAC\n>s2\nTT\n")
-    assert sorted(map(tuple, tf.read_fasta(spark, str(tmp_path / "a.fa")).collect())) == [("s1", "first one", "ACGTAC"), ("s2", "", "TT")]
+    (tmp_path / "b.vcf").write_text("20\t7\trs1\tG\tA\t29\tPASS\tDP=14;DB;DP=3;DB=2\n")
+    assert tf.read_vcf(spark, str(tmp_path / "b.vcf")).first()["info"] == {"DP": "14", "DB": None}
+    (tmp_path / "b.sam").write_text("r1\t0\tc\t7\n@bad\nr2\tx\tc\t7\t30\t8M\t=\t37\t39\tTT\t*\tNM:i:1\tNM:i:2\tjunk\n")
+    rows = tf.read_sam(spark, str(tmp_path / "b.sam")).orderBy("qname").collect()
+    assert rows[0]["seq"] is None and rows[0]["tags"] == {} and rows[1]["flag"] is None and rows[1]["tags"] == {"NM:i": "1"}
+    (tmp_path / "a.fa").write_text(">s1 first a>b one\nACGT\nAC\n>s2\r\nTT\r\n>s3\n>s4 \n\n")
+    assert sorted(map(tuple, tf.read_fasta(spark, str(tmp_path / "a.fa")).collect())) == [("s1", "first a>b one", "ACGTAC"), ("s2", "", "TT"), ("s3", "", ""), ("s4", "", "")]
     text = spark.createDataFrame([("r", "AC", "II")], "n string, s string, q string").select(tf.fastq_record("n", "s", "q")).first()[0]
     assert text == "@r\nAC\n+\nII"
+
+
+def test_breakends(spark):
+    alts = ["G]17:198982]", "]13:123456]T", "C[<ctg1>:7[", "[17:198983[A", "AGT.", ".ACT", "A", "<DEL>", None, "."]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(alts)], "i int, alt string").select("i", tf.breakend(F.col("alt")).alias("b")).orderBy("i").collect()
+    want = [("G", True, "17", 198982, True), ("T", False, "13", 123456, False), ("C", True, "<ctg1>", 7, False), ("A", False, "17", 198983, True), ("AGT", True, None, None, None), ("ACT", False, None, None, None)]
+    assert [r["b"] and tuple(r["b"]) for r in rows] == want + [None] * 4
+
+
+def test_fastq_is_read_as_written(spark, tmp_path):
+    from sievemill.sources.record_formats import FastqSource
+
+    rows = [("r1", "ACGT", "@II!"), ("r2", "", ""), ("r3", "A", "+")]
+    df = spark.createDataFrame(rows, "name string, seq string, qual string")
+    tf.write_fastq(df, str(tmp_path / "out"))
+    spark.dataSource.register(FastqSource)
+    assert sorted(map(tuple, spark.read.format("fastq").load(str(tmp_path / "out")).select("name", "seq", "qual").collect())) == rows
+    with pytest.raises(Exception, match="no FASTQ record"):
+        tf.write_fastq(spark.createDataFrame([("r", "AC", "I")], "name string, seq string, qual string"), str(tmp_path / "bad"))
+
+
+def test_aligned_bases(spark):
+    rows = [("r1", 10, "2S3M1I2D1N2M1H", "ttACGiTT", "##IIJ!56", "x"), ("r2", 5, "2M", "*", "*", "y"), ("r3", 1, "*", "A", "I", "z"), ("r4", 1, None, None, None, None), ("r5", 7, "3M", "AC", "I", "w")]
+    df = spark.createDataFrame(rows, "name string, pos long, cigar string, seq string, qual string, op string")
+    got = [tuple(r) for r in seq.aligned_bases(df).drop("pos", "cigar", "seq", "qual").orderBy("name", "ref_pos").collect()]
+    want = [("r1", 10, 2, "M", "A", 40), ("r1", 11, 3, "M", "C", 40), ("r1", 12, 4, "M", "G", 41)]
+    want += [("r1", 13, None, "D", None, None), ("r1", 14, None, "D", None, None), ("r1", 15, None, "N", None, None), ("r1", 16, 6, "M", "T", 20), ("r1", 17, 7, "M", "T", 21)]
+    want += [("r2", 5, 0, "M", None, None), ("r2", 6, 1, "M", None, None), ("r5", 7, 0, "M", "A", 40), ("r5", 8, 1, "M", "C", None), ("r5", 9, 2, "M", None, None)]
+    assert got == want
