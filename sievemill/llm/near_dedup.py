@@ -35,7 +35,7 @@ from sievemill.llm.common import cut
 PERMUTATIONS, ROWS = 72, 6
 #: Rounds of new leaders before members are held against each other, and the comparisons a
 #: member that are not worth a round.
-ROUNDS, FEW = 3, 50
+ROUNDS, FEW = 2, 500
 #: Rows of a key that make it hot, and the most bytes of hot keys' rows that are broadcast.
 HOT, BROADCAST = 100_000, 64 << 20
 _U64 = np.uint64
@@ -145,16 +145,19 @@ def _overlaps(percent: int):
     return run
 
 
-def with_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
-    """``left`` joined with the one row that ``right``, a written table, has for a key.
+def with_one(left: DataFrame, right: DataFrame, on: list[str], most: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with the one row that ``right`` has for a key.
 
-    Its column ``c`` tells how many rows of ``left`` have the key; ``rows``, if known, how
-    many ``left`` has. The few keys of more than ``HOT`` rows are broadcast, if they are of
+    The column ``c`` of ``right`` tells how many rows of ``left`` have the key, and none is
+    over ``most``. The few keys of more than ``HOT`` rows are broadcast, if they are of
     ``BROADCAST`` bytes at most; only others are shuffled, so no task gets all rows of a hot
     key. Above that there are so many hot keys that a shuffle spreads them.
     """
+    if most <= HOT:
+        return left.join(right.drop("c"), on, how)
+    right = cut(right)
     hot = right.filter(F.col("c") > HOT)
-    n = hot.count() if rows is None or rows > HOT else 0
+    n = hot.count()
     if not n or 32 * len(right.columns) * n > BROADCAST:
         return left.join(right.drop("c"), on, how)
     keys = F.broadcast(hot.select(*on))
@@ -162,12 +165,16 @@ def with_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner
     return left.join(F.broadcast(hot.drop("c")), on).select(rest.columns).unionByName(rest)
 
 
+def _most(df: DataFrame) -> int:
+    return df.agg(F.max("c")).first()[0] or 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over (a, b) rows, a < b.
 
-    Alternating large-star and small-star steps; each round is written to the shared
-    folder. Rows of a step are at most twice the links; a node's links are reduced by
-    partial aggregates, then joined, so a hot node isn't gathered in one task.
+    Alternating large-star and small-star steps; each step is written to the shared folder.
+    Rows of a step are at most twice the links; a node's links are reduced by partial
+    aggregates, then joined by ``with_one``, so a hot node isn't gathered in one task.
     """
     now = cut(edges.select("a", "b").distinct())
 
@@ -177,13 +184,12 @@ def components(edges: DataFrame) -> DataFrame:
     mark = marks(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c"))
         # large star: neighbours above a node hang on its smallest neighbour
-        large = with_one(both.filter("b > a"), low, ["a"], rows=mark[0]).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = cut(with_one(both.filter("b > a"), low, ["a"], mark[0]).select(F.col("m").alias("a"), "b").filter("a < b").distinct())
         # small star: neighbours below a node, and itself, hang on the smallest of them
-        large = cut(large)
-        least = cut(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("c")))
-        joined = with_one(large, least, ["b"], rows=mark[0])
+        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("c"))
+        joined = with_one(large, least, ["b"], mark[0])
         nxt = cut(
             joined.select(F.col("m").alias("a"), F.col("a").alias("b"))
             .unionByName(joined.select(F.col("m").alias("a"), "b"))
@@ -237,9 +243,10 @@ def classes(docs: DataFrame, k: int, percent: int, permutations: int = PERMUTATI
         )
     )
     groups = (
-        sig.filter("n_shingles > 0 and doc_id is not null")
+        sig.filter("n_shingles > 0")
         .groupBy("n_shingles", "k1", "k2")
-        .agg(F.min(F.struct("doc_id", "bands")).alias("s"), F.count("*").alias("c"))
+        .agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "bands"))).alias("s"), F.count("*").alias("c"))
+        .filter("s is not null")
         .select("n_shingles", "k1", "k2", "c", F.col("s.doc_id").alias("gid"), F.col("s.bands").alias("bands"))
     )
     groups = cut(groups)
@@ -247,17 +254,18 @@ def classes(docs: DataFrame, k: int, percent: int, permutations: int = PERMUTATI
     leaders = cut(
         members.groupBy("bk").agg(F.min(F.struct("gid", "n_shingles")).alias("l"), F.count("*").alias("c")).filter("c > 1")
     )
-    shared = cut(with_one(members, leaders, ["bk"]).select("bk", "gid", "n_shingles", F.col("l.gid").alias("lead"), F.col("l.n_shingles").alias("n_lead")))
+    most = _most(leaders)
+    shared = cut(with_one(members, leaders, ["bk"], most).select("bk", "gid", "n_shingles", F.col("l.gid").alias("lead"), F.col("l.n_shingles").alias("n_lead")))
     sets = sets_for(source, shared.select(F.col("gid").alias("doc_id")), k)
     pairs = led(shared, percent)
     links = cut(confirmed(sets, pairs, percent))
     parts = cut(components(links))
     at = with_components(shared, parts)
     for turn in range(ROUNDS + 1):
-        open_ = unsettled(at, turn)
+        open_ = unsettled(at, turn, most)
         # buckets of the same first member and component are mostly of the same members
         key = F.xxhash64("first", "main").alias("lead")
-        dealt = open_.select(key, "gid", "n_shingles", "comp", "main").distinct()
+        dealt = cut(open_.select(key, "gid", "n_shingles", "comp", "main").distinct())
         lost = F.sum((F.col("comp") != F.col("main")).cast("long")).alias("lost")
         work = dealt.groupBy("lead").agg(F.count("*").alias("n"), lost).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("lost")).alias("pairs")).first()
         if turn == ROUNDS or (work["pairs"] or 0) <= FEW * (work["n"] or 0):
@@ -266,12 +274,13 @@ def classes(docs: DataFrame, k: int, percent: int, permutations: int = PERMUTATI
         if not new.isEmpty():
             parts = cut(components(new.unionByName(as_links(parts))))
             at = with_components(shared, parts)
-    more = cut(block_links(sets, cut(dealt), percent))
+    more = cut(block_links(sets, dealt, percent))
     final = parts if more.isEmpty() else components(more.unionByName(as_links(parts)))
-    final = cut(groups.select("n_shingles", "k1", "k2", "gid", "c").join(final, F.col("gid") == F.col("node"), "left")
-        .select("n_shingles", "k1", "k2", "c", F.coalesce("component", "gid").alias("component_id")))
+    final = groups.select("n_shingles", "k1", "k2", "gid", "c").join(final, F.col("gid") == F.col("node"), "left").select(
+        "n_shingles", "k1", "k2", "c", F.coalesce("component", "gid").alias("component_id")
+    )
     rows = sig.select("doc_id", "text_hash", "n_shingles", "k1", "k2")
-    out = with_one(rows.filter("n_shingles > 0"), final, ["n_shingles", "k1", "k2"], how="left").select(
+    out = with_one(rows.filter("n_shingles > 0"), final, ["n_shingles", "k1", "k2"], _most(groups), "left").select(
         "doc_id", "text_hash", "n_shingles", "component_id"
     )
     wordless = rows.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -296,16 +305,16 @@ def with_components(shared: DataFrame, parts: DataFrame) -> DataFrame:
     return cut(at.select("bk", "gid", "n_shingles", F.col("lead").alias("first"), F.coalesce("component", "gid").alias("comp")))
 
 
-def unsettled(at: DataFrame, turn: int) -> DataFrame:
+def unsettled(at: DataFrame, turn: int, most: int) -> DataFrame:
     """Rows of the buckets with several components, with the largest one, ``main``, and a
-    leader of it, another one at each ``turn``."""
-    mixed = cut(at.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi"))
-    open_ = cut(with_one(at, mixed.select("bk", "c"), ["bk"]))
+    leader of it, another one at each ``turn``. No bucket has over ``most`` rows."""
+    mixed = at.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi")
+    open_ = cut(with_one(at, mixed.select("bk", "c"), ["bk"], most))
     of = F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("h"), "gid", "n_shingles")).alias("l")
     sizes = open_.groupBy("bk", "comp").agg(F.count("*").alias("n"), of)
     main = sizes.groupBy("bk").agg(F.max(F.struct("n", (-F.col("comp")).alias("z"), "comp", "l")).alias("m"), F.sum("n").alias("c"))
     main = main.select("bk", "c", F.col("m.comp").alias("main"), F.col("m.l.gid").alias("lead"), F.col("m.l.n_shingles").alias("n_lead"))
-    return cut(with_one(open_, cut(main), ["bk"]))
+    return cut(with_one(open_, main, ["bk"], most))
 
 
 def sets_for(source: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -319,8 +328,10 @@ def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), the smaller id as ``a``, whose full sets are similar enough."""
     with_b = sets.select(F.col("gid").alias("b"), F.col("set").alias("sb"))
     with_a = sets.select(F.col("gid").alias("a"), F.col("set").alias("sa"))
-    hot = cut(pairs.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("a"))
-    hot = cut(with_a.join(hot, "a", "left_semi")) if not hot.isEmpty() else None
+    hot = None
+    if pairs.count() > HOT:
+        hot = cut(pairs.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("a"))
+        hot = cut(with_a.join(hot, "a", "left_semi")) if not hot.isEmpty() else None
     if hot is not None and hot.agg(F.sum(F.length("sa") + 32)).first()[0] <= BROADCAST:
         # leaders of very many pairs are not shuffled to one task each
         cold = pairs.join(F.broadcast(hot.select("a").distinct()), "a", "left_anti").join(with_a, "a")

@@ -106,4 +106,4 @@ def test_hot_keys_are_joined_without_a_shuffle_of_them(spark, monkeypatch):
     right = near_dedup.cut(spark.createDataFrame([(0, 100, "a"), (1, 5, "b"), (2, 100, "c"), (7, 1, "d")], "k long, c long, w string"))
     for how in ("inner", "left"):
         want = left.join(right.drop("c"), ["k"], how)
-        assert sorted(map(str, near_dedup.with_one(left, right, ["k"], how=how).collect())) == sorted(map(str, want.collect()))
+        assert sorted(map(str, near_dedup.with_one(left, right, ["k"], 100, how).collect())) == sorted(map(str, want.collect()))
