@@ -34,6 +34,8 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     ``share`` times all sizes by weight; none gets more than ``most`` times its size, and
     what it leaves is shared by the others. With the sources in the order in which they
     reach their bound, the level (words for each weight) follows from two running sums.
+    These run over one row for each source in a single task: sources are parts of a corpus,
+    thousands at most, not hosts.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     nth = (F.row_number().over(by_name) - 1) % len(weights)

@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **options) -
     with nothing and are their own component. Repeated rows of an id give equal rows. A
     row without an id takes the component of an equal set, else null; it is kept if it
     has none. An id that stands before several texts has all their links. An empty table
-    gives an empty result. Other columns are not looked at.
+    gives an empty result. Very long texts are worked on alone and whole. Other columns are
+    not looked at.
     """
     return classes(docs, k, percent, **options).drop("text_hash")
 
@@ -221,7 +222,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **options) -
 def unique(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their class: those of its smallest id. Of rows
     that repeat an id and text, or a text without an id, one stays. A row without an id
-    goes if its set of shingles equals that of a row with one."""
+    goes if its set of shingles equals that of a row with one. Null, empty and wordless
+    texts link with nothing, so they stay. Very long texts are worked on alone and whole. An
+    empty table gives an empty one. All columns come back, whatever their names."""
     kept = classes(docs, k, percent, **options).filter("kept").select("doc_id", "text_hash").distinct()
     text = F.col("text").cast("string")
     there = docs.select(

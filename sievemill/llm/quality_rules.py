@@ -234,7 +234,8 @@ def judged(docs: DataFrame, rules: list[Rule], keep: list[str], name: str) -> Da
     """``keep`` and a struct ``name``: the counts, base_failed, rule and kept.
 
     A null or empty text has no words: it fails the base rules. Rows that repeat are
-    judged alike; an empty table gives an empty result.
+    judged alike; an empty table gives an empty result. Very long texts are judged alone and
+    whole. Columns that aren't in ``keep`` are not looked at, so they may have any names.
     """
     stats = fresh(docs, "__stats")
     s = F.col(stats)

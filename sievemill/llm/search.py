@@ -504,7 +504,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, max_terms: int | Non
     whole text, of that many terms of highest inverse document frequency among those that
     two documents or more have; the search for it is exact. Texts that are null, empty or
     have no term give no rows. A document that stands in several rows is a result for each;
-    rows without an id are neither documents nor queries. Other columns are not looked at.
+    rows without an id are neither documents nor queries. Very long texts are documents and
+    queries as a whole; an empty table gives an empty result. Other columns are not looked
+    at.
     """
     folder = f"{shared_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
     manifest = build(docs, folder)

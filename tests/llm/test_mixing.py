@@ -86,3 +86,9 @@ def test_targets_follow_the_stated_rule(spark):
         got = targets(spark.createDataFrame([*sizes.items()], "source string, source_size long")).collect()
         assert {r["source"]: r["target"] for r in got} == pytest.approx(filled(sizes))
         assert sum(r["target"] for r in got) == pytest.approx(1.5 * sum(sizes.values()))
+
+
+def test_native_plan(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    for df in (curriculum(docs), mixed(docs)):
+        assert not re.search("Python|Pandas|InArrow|CartesianProduct|BroadcastNestedLoop", df._jdf.queryExecution().toString())
