@@ -355,8 +355,10 @@ def block_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     ``groups`` has (lead, gid, n_shingles, comp, main). A lead's stragglers, those outside
     its largest component ``main``, are held against all the lead's members of other
     components, block against block: members and stragglers are dealt into chunks of
-    bounded size, and a task sees one chunk of each. A block gives out at most one link
-    fewer than it has components, never the compared pairs.
+    bounded size, and a task sees one chunk of each. Only members of components that aren't
+    joined yet and that share one of a straggler's rarest shingles, as many as a similar
+    set can't all miss, are compared in full. A block gives out at most one link fewer than
+    it has components, never the compared pairs.
     """
     lost = F.col("comp") != F.col("main")
     sizes = cut(
@@ -387,6 +389,11 @@ def block_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_block_links(percent), "a long, b long").distinct()
 
 
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0] + 1, ... n[0] of them, then those of the next."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def _block_links(percent: int):
     def links(block: list[tuple]) -> tuple[list[int], list[int]]:
         members = [r for r in block if r[3] == 0]
@@ -414,10 +421,15 @@ def _block_links(percent: int):
                 continue
             x = np.frombuffer(r[6].as_buffer(), _U64)
             lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
-            n = hi - lo
-            at = np.repeat(hi - np.cumsum(n), n) + np.arange(int(n.sum()))
-            both = np.bincount(owner[at], minlength=len(sets))
-            near = np.flatnonzero((100 * both >= percent * (size + len(x) - both)) & (comp != r[5]) & (gid != r[4]))
+            # a set that is similar enough has one of the rarest shingles, as many as this
+            rare = np.argsort(hi - lo, kind="stable")[: len(x) - (percent * len(x) + 99) // 100 + 1]
+            own = root(r[5])
+            near = np.unique(owner[_spread(lo[rare], hi[rare] - lo[rare])])
+            near = near[[root(c) != own for c in comp[near].tolist()]] if len(near) else near
+            if not len(near):
+                continue
+            both = np.bincount(owner[_spread(lo, hi - lo)], minlength=len(sets))[near]
+            near = near[100 * both >= percent * (size[near] + len(x) - both)]
             for c, k in zip(*(z.tolist() for z in np.unique(comp[near], return_index=True)), strict=True):
                 if root(c) != root(r[5]):  # one link for each component that is joined
                     up[root(c)] = root(r[5])
