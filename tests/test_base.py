@@ -21,8 +21,8 @@ def test_same_as_duckdb(spark, name):
     got, want = catalog.QUERIES[name](spark, SF), con.sql(catalog.ORACLE_SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    rows = sorted(map(tuple, got.select(columns).collect()))
-    assert rows == sorted(want.select(", ".join(f'"{c}"' for c in columns)).fetchall()) and rows
+    rows = sorted(map(tuple, got.select(columns).collect()), key=str)
+    assert rows == sorted(want.select(", ".join(f'"{c}"' for c in columns)).fetchall(), key=str) and rows
 
 
 def test_entry_has_every_query(spark):
