@@ -2,17 +2,18 @@
 
 The indexing job writes shards of about ``POSTINGS`` postings. Within a shard documents are
 ordered by cluster and length and cut into blocks, so that documents that use the same
-words are in few blocks; for every term and block that has it, the largest frequency and
-the least length bound the term's score there, whatever the global statistics turn out to
-be. Document frequencies are summed over the shards, so scores are global.
+words are in few blocks. Document frequencies are summed over the shards, so scores are
+global; bounds are made of the impacts, once the average length is known.
 
 Queries are written to files of about ``CHUNK`` queries, and every chunk is held against
-every group of shards: a task takes one chunk through one group, shard by shard, and
-carries each query's best along. In a shard the bounds of a query's terms are added up by
-block, and a query visits blocks in descending order of bounds, and only those that can
-still reach its k-th best score so far, which is exact. In a block, terms that many of its
-documents have are multiplied as a matrix of impacts, others are added up from their
-postings. What the groups found is merged by one ranking for each query.
+every shard: first against the few largest ones, which gives each query a score that its
+k-th best reaches for sure, then a task takes some chunks through a group of the other
+shards, shard by shard, and carries each query's best along. In a shard the bounds of a
+query's terms are added up by spans of a block, and a query visits blocks in descending
+order of bounds, and only those that can still reach its k-th best score so far, which is
+exact. In a block short documents are bounded in groups; terms that many of its groups have
+are multiplied as a matrix of impacts, others are added up from their postings. What the
+tasks found is merged by one ranking for each query.
 """
 
 from __future__ import annotations
@@ -32,14 +33,22 @@ from sievemill.llm.common import cut, shared_dir
 from sievemill.llm.token_files import filesystem, settle
 
 K1, B = 1.2, 0.75
-#: Most documents of a block, most clusters of a shard, and the terms they are told by;
-#: documents less alike to every cluster's centre are kept apart.
-BLOCK, CLUSTERS, CLUSTER_TERMS, ALIKE = 1024, 8, 128, 0.4
-#: The product of its shares of the block's and of the shard's documents that makes a term
-#: frequent in a block: there its impacts are multiplied as a matrix.
-FREQUENT = 0.0005
-#: Queries that are scored at once; queries and their terms in a chunk, about; shards in a group.
-TILE, CHUNK, CHUNK_TERMS, GROUP = 512, 8000, 3_000_000, 6
+#: Most groups of documents of a block, most clusters of a shard, and the terms they are told
+#: by (fewer where documents are many); documents less alike to every cluster's centre are
+#: kept apart.
+BLOCK, CLUSTERS, CLUSTER_TERMS, ALIKE = 1024, 8, 512, 0.4
+#: Words of a group of documents that are bounded together, about, and its most documents.
+TOGETHER, MOST_TOGETHER = 400, 4
+#: Groups of a span, for which bounds are added up first, and most spans of a shard, about.
+SPAN, SPANS = 96, 512
+#: The product of its shares of the block's groups and of the shard's documents that makes a
+#: term frequent in a block: there its impacts are multiplied as a matrix.
+FREQUENT = 0.002
+#: Queries that are scored at once; queries and their terms in a chunk, about.
+TILE, CHUNK, CHUNK_TERMS = 512, 8000, 3_000_000
+#: Least and most shards that are searched before the others; most chunks and shards that a
+#: task takes, and how many shards it takes at least, even if there are fewer tasks than cores.
+AHEAD, MOST_AHEAD, CHUNKS, GROUP, LEAST_GROUP = 2, 8, 4, 48, 6
 #: Postings of a shard, about: what a task holds in memory.
 POSTINGS = 4_000_000
 _U64 = np.uint64
@@ -73,12 +82,13 @@ def _impact(tf: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
 
 
 class Shard:
-    """Arrays of one shard. Documents stand in blocks (``starts``, one more than blocks).
+    """Arrays of one shard. Documents stand in blocks (``starts``, one more than blocks), and
+    within them in groups (``groups``, one more than groups, where each begins).
     A term's entries are the blocks that have it: ``entry_at`` begins a term's entries and
     ``posting_at`` an entry's postings, each with one element more. ``doc`` counts from its
     block's start."""
 
-    NAMES = ("ids", "lengths", "starts", "terms", "entry_at", "block", "most_tf", "least_length", "posting_at", "doc", "tf")
+    NAMES = ("ids", "lengths", "starts", "groups", "terms", "entry_at", "block", "posting_at", "doc", "tf")
 
     def __init__(self, *arrays: np.ndarray):
         for name, a in zip(self.NAMES, arrays, strict=True):
@@ -89,10 +99,14 @@ class Shard:
         """``doc``: positions in ``ids``."""
         terms_, place = np.unique(term, return_inverse=True)
         cluster = _clusters(len(ids), len(terms_), doc, place, tf)
-        order = np.lexsort((ids, lengths, cluster))
-        sizes = np.bincount(cluster, minlength=1)
+        like = np.bincount(doc, weights=(place * 2_654_435_761 % 65_521 * tf), minlength=len(ids))  # copies stand together
+        order = np.lexsort((ids, like, lengths, cluster))
+        filled = np.floor(np.cumsum(np.clip(lengths[order] / TOGETHER, 1 / MOST_TOGETHER, 1)))
+        groups = np.flatnonzero(~textbuf.equal_to_last(cluster[order], filled))
+        sizes = np.bincount(cluster[order][groups], minlength=1)
         cuts = [np.linspace(0, n, -(-n // BLOCK) + 1).astype(np.int64)[1:] + before for n, before in zip(sizes, np.cumsum(sizes) - sizes, strict=True) if n]
-        starts = np.concatenate([[0], *cuts]).astype(np.int64)
+        groups = np.append(groups, len(ids))
+        starts = groups[np.concatenate([[0], *cuts]).astype(np.int64)]
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
         ids, lengths, doc = ids[order], lengths[order], rank[doc]
@@ -101,9 +115,7 @@ class Shard:
         block = np.searchsorted(starts, doc, "right") - 1
         entry = np.flatnonzero(~textbuf.equal_to_last(place, block))
         first = np.searchsorted(place[entry], np.arange(len(terms_) + 1))
-        most = np.maximum.reduceat(tf, entry) if len(entry) else tf[:0]
-        least = np.minimum.reduceat(lengths[doc], entry) if len(entry) else lengths[:0]
-        return cls(ids, lengths, starts, terms_, first, block[entry], most, least, np.append(entry, len(doc)), doc - starts[block], tf)
+        return cls(ids, lengths, starts, groups, terms_, first, block[entry], np.append(entry, len(doc)), doc - starts[block], tf)
 
     def save(self, out) -> None:
         _save(out, [getattr(self, n) for n in self.NAMES])
@@ -120,7 +132,7 @@ def _clusters(n: int, n_terms: int, doc: np.ndarray, term: np.ndarray, tf: np.nd
     many = min(CLUSTERS, n // (BLOCK // 2))
     if many < 2 or not len(doc):
         return np.zeros(n, np.int64)
-    top = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:CLUSTER_TERMS]
+    top = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[: min(CLUSTER_TERMS, max(128, 2**24 // n))]
     column = np.full(n_terms, -1)
     column[top] = np.arange(len(top))
     at = column[term]
@@ -173,31 +185,30 @@ def _load_arrays(data: bytes, wanted: list[bool]) -> list[np.ndarray | None]:
 
 
 class Block:
-    """A block of a shard, ready to be searched.
+    """A block of a shard, ready to be searched: ``n`` groups of documents from ``first`` on,
+    with the largest impact that each term has in a group.
 
     ``seat`` has, for every term of the shard, its row in ``dense`` (impacts of the terms
-    that many of the block's documents have), or that number of rows and more for the
+    that many of the block's groups have), or that number of rows and more for the
     others, -1 where the block doesn't have it. Postings of the others are ordered by their
-    number: ``lists`` has for each number the first seat, the documents and the impacts,
+    number: ``lists`` has for each number the first seat, the groups and the impacts,
     a row for each term.
     """
 
-    def __init__(self, shard: Shard, number: int, entries: np.ndarray, term: np.ndarray, share: np.ndarray, impact: np.ndarray):
-        self.first = int(shard.starts[number])
-        self.n = n = int(shard.starts[number + 1]) - self.first
-        lo = shard.posting_at[entries].astype(np.int64)
-        count = shard.posting_at[entries + 1].astype(np.int64) - lo
+    def __init__(self, first: int, n: int, terms: int, lo: np.ndarray, count: np.ndarray, term: np.ndarray, share: np.ndarray, group: np.ndarray, impact: np.ndarray):
+        """The term of an entry has ``count`` postings (group, impact), from ``lo`` on."""
+        self.first, self.n = first, n
         many = (count > 1) & (count / n * share[term] >= FREQUENT)
         self.rows = int(many.sum())
         order = np.argsort(np.where(many, 0, np.minimum(count, 65_535)).astype(np.uint16), kind="stable")
-        self.seat = np.full(len(shard.terms), -1, np.int32)
-        self.seat[term[order]] = np.arange(len(entries))
+        self.seat = np.full(terms, -1, np.int32)
+        self.seat[term[order]] = np.arange(len(order))
         lo, count = lo[order], count[order]
         index = _spread(lo[: self.rows], count[: self.rows])
         self.dense = np.zeros((self.rows, n), np.float32)
-        self.dense[np.repeat(np.arange(self.rows), count[: self.rows]), shard.doc[index]] = impact[index]
+        self.dense[np.repeat(np.arange(self.rows), count[: self.rows]), group[index]] = impact[index]
         index = _spread(lo[self.rows :], count[self.rows :])
-        doc, impact = shard.doc[index].astype(np.int32), impact[index]
+        doc, impact = group[index].astype(np.int32), impact[index]
         self.size = count
         self.lists, at = {}, 0
         sizes, first = np.unique(count[self.rows :], return_index=True)
@@ -207,8 +218,9 @@ class Block:
             at = end
 
     def scores(self, n: int, q: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Of queries 0 to n - 1, which have the rows (q, at, weight), by document; in single
-        precision."""
+        """Of queries 0 to n - 1, which have the rows (q, at, weight), by group; in single
+        precision. No document of a group scores more, and the only one of a group has this
+        score."""
         seat = self.seat[at]
         common, rare = np.flatnonzero((seat >= 0) & (seat < self.rows)), np.flatnonzero(seat >= self.rows)
         used = np.zeros(self.rows, bool)
@@ -243,34 +255,60 @@ class Searcher:
     def __init__(self, shard: Shard, average: float):
         self.shard, self.average = shard, average
         counts = np.diff(shard.entry_at.astype(np.int64))
-        term = np.repeat(np.arange(len(counts)), counts)
-        block = shard.block.astype(np.int64)
+        term = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        block = shard.block.astype(np.int32)
         posts = np.diff(shard.posting_at.astype(np.int64))
-        place = np.repeat(shard.starts.astype(np.int64)[block], posts) + shard.doc
+        place = np.repeat(shard.starts.astype(np.int32)[block], posts) + shard.doc.astype(np.int32)
         impact = _impact(shard.tf.astype(np.float32), shard.lengths.astype(np.float32)[place], np.float32(average))
         blocks = len(shard.starts) - 1
+        groups = shard.groups.astype(np.int64)
+        self.groups, self.sizes = groups, np.diff(groups)
+        of = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)[place]
+        entry = np.repeat(np.arange(len(block), dtype=np.int32), posts)
+        new = np.flatnonzero(~textbuf.equal_to_last(entry, of)).astype(np.int32)  # by entry and group
+        lo = np.searchsorted(new, shard.posting_at.astype(np.int64))
+        lo, count = lo[:-1], np.diff(lo)
+        first = np.searchsorted(groups, shard.starts.astype(np.int64))
+        most = np.maximum.reduceat(impact, new) if len(new) else impact
+        entry = entry[new]
+        group = of[new] - first.astype(np.int32)[block[entry]]
+        del of
+        # by term and span
+        wide = max(SPAN, -(-len(self.sizes) // SPANS))
+        n_spans = -(-np.diff(first) // wide)
+        self.span_first = np.cumsum(n_spans) - n_spans
+        span = self.span_first.astype(np.int32)[block[entry]] + group // np.int32(wide)
+        start = np.flatnonzero(~textbuf.equal_to_last(term[entry], span))
+        far = np.searchsorted(start, np.searchsorted(new, shard.posting_at[shard.entry_at].astype(np.int64)))
+        high = np.maximum.reduceat(most, start) if len(start) else most
+        span = span[start]
+        del entry, new, start
         order = np.argsort(block.astype(np.uint16) if blocks < 65_536 else block, kind="stable")
         cuts = np.searchsorted(block[order], np.arange(blocks + 1))
         share = np.diff(shard.posting_at[shard.entry_at].astype(np.int64)) / len(shard.ids)
-        self.blocks = [Block(shard, b, order[x:y], term[order[x:y]], share, impact) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
-        self.high = np.zeros((len(counts), blocks), np.float32)
-        self.high[term, block] = _impact(shard.most_tf, shard.least_length, average)
-        # by document: where its terms begin, the terms, their frequencies
+        self.blocks = [
+            Block(int(first[b]), int(first[b + 1] - first[b]), len(shard.terms), lo[own], count[own], term[own], share, group, most)
+            for b, own in enumerate(np.split(order, cuts[1:-1]))
+        ]
+        self.spans = Block(0, int(n_spans.sum()), len(shard.terms), far[:-1], np.diff(far), np.arange(len(counts)), share, span, high)
+        del group, most, span, high
+        # by document: where its terms begin, the terms, their frequencies and impacts
         order = np.argsort(place.astype(np.uint16) if len(shard.ids) < 65_536 else place, kind="stable")
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(shard.ids)))])
-        self.term, self.tf = np.repeat(term, posts).astype(np.int32)[order], shard.tf[order]
+        self.term, self.tf, self.impact = np.repeat(term, posts)[order], shard.tf[order], impact[order]
         self.weights, self.asked = np.zeros(len(counts)), np.zeros(len(counts), bool)
+        self.single = np.zeros(len(counts), np.float32)
 
     def bounds(self, first: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """[query, block]: no document of the block scores more. Rows of a query begin at
         ``first`` (one more than queries)."""
         out = np.zeros((len(first) - 1, len(self.blocks)))
-        for lo in range(0, len(out), 64):
-            own = first[lo : lo + 65] - first[lo]
-            x, y = first[lo], first[lo] + own[-1]
-            full = np.flatnonzero(np.diff(own))
-            if len(full):
-                out[lo + full] = np.add.reduceat(self.high[at[x:y]] * weight[x:y].astype(np.float32)[:, None], own[full], axis=0)
+        for lo in range(0, len(out), TILE):
+            own = first[lo : lo + TILE + 1]
+            rows = slice(own[0], own[-1])
+            q = np.repeat(np.arange(len(own) - 1), np.diff(own))
+            high = self.spans.scores(len(own) - 1, q, at[rows], weight[rows].astype(np.float32))
+            out[lo : lo + TILE] = np.maximum.reduceat(high, self.span_first, axis=1)
         return out * (1 + 1e-3) + 1e-5  # sums of single precision, and scores are rounded
 
     def exact(self, at: np.ndarray, weight: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -286,19 +324,43 @@ class Searcher:
         self.weights[at], self.asked[at] = 0, False
         return np.round(np.add.reduceat(value, np.searchsorted(own, np.arange(len(docs)))), 6)
 
+    def opened(self, at: np.ndarray, weight: np.ndarray, groups: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores in single precision) of what is in ``groups`` and has terms; the
+        bound of a group is the score of its only document."""
+        size = self.sizes[groups]
+        alone = self.groups[groups[size == 1]], bounds[size == 1]
+        if len(alone[0]) == len(groups):
+            return alone
+        docs = _spread(self.groups[groups[size > 1]], size[size > 1])
+        count = self.begin[docs + 1] - self.begin[docs]
+        docs, count = docs[count > 0], count[count > 0]
+        if not len(docs):
+            return alone
+        index = _spread(self.begin[docs], count)
+        self.single[at] = weight
+        value = self.single[self.term[index]]
+        value *= self.impact[index]
+        self.single[at] = 0
+        return np.append(alone[0], docs), np.append(alone[1], np.add.reduceat(value, np.cumsum(count) - count))
+
     def search(
-        self, first: np.ndarray, at: np.ndarray, weight: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], k: int
-    ) -> int:
+        self, first: np.ndarray, at: np.ndarray, weight: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], k: int,
+        floor: np.ndarray | None = None,
+    ) -> int:
         """Puts into ``best``, (ids, scores) of every query, all that is among its best
         ``k``, and returns how many (query, block) pairs were scored.
 
         Rows (at, weight) of a query begin at ``first`` (one more than queries); ``at`` are
         places in the shard's terms. Queries whose highest bounds are in the same block go
         together, ``TILE`` at a time, through the blocks in descending order of bounds; a
-        query skips a block whose bound doesn't reach its k-th best score so far. Documents
-        that can reach it by a score of single precision get an exact one.
+        query skips a block whose bound doesn't reach its k-th best score so far. Groups
+        that can reach it by a bound of single precision are opened; their documents that
+        can get an exact score. A query that has no k-th best score yet gets one from the
+        groups of highest bounds in its first block. ``floor`` are scores that ``k`` other
+        documents reach.
         """
         scored = 0
+        at_least = np.zeros(len(best)) if floor is None else floor
         bound = self.bounds(first, at, weight)
         queries = np.lexsort((-bound.max(1), bound.argmax(1)))
         for lo in range(0, len(queries), TILE):
@@ -307,9 +369,11 @@ class Searcher:
             index = _spread(first[tile], count)
             q, t, w = np.repeat(np.arange(len(tile)), count), at[index], weight[index].astype(np.float32)
             error = 1e-7 * (count + 20)  # relative, of sums of so many terms in single precision
-            top = np.zeros((len(tile), k))  # of every query, k scores that are reached for sure
+            top = np.repeat(at_least[tile, None], k, axis=1)  # of every query, k scores that are reached for sure
             for n, i in enumerate(tile.tolist()):
-                top[n, k - len(best[i][1]) :] = best[i][1][::-1]
+                if len(best[i][1]):
+                    top[n] = np.sort(np.concatenate([top[n], best[i][1]]))[-k:]
+            new = top[:, 0] == 0
             found = []
             for b in np.argsort(-bound[tile].max(0), kind="stable").tolist():
                 rows = np.flatnonzero(bound[tile, b] >= np.maximum(top[:, 0], 2e-5))
@@ -326,40 +390,76 @@ class Searcher:
                 else:
                     s = block.scores(len(rows), q, t, w)
                 slack = error[rows]
-                floor = np.maximum((top[rows, 0] - 1e-6) * (1 - slack), 1e-12).astype(np.float32)
-                near = s >= floor[:, None]
-                n_near = near.sum(1)
-                crowd = np.flatnonzero(n_near > 2 * k)
-                more = np.zeros((len(rows), 2 * k), np.float32)
-                if len(crowd):  # only those that can be among the best k of this block
-                    more[crowd, :k] = high = np.partition(s[crowd], block.n - k, axis=1)[:, block.n - k :]
-                    floor[crowd] = np.maximum(floor[crowd], high[:, 0] * (1 - 3 * slack[crowd]) - 2e-6)
-                    near[crowd] = s[crowd] >= floor[crowd, None]
-                flat = np.flatnonzero(near.ravel())
-                r, doc = np.divmod(flat, block.n)
+                for n in np.flatnonzero(new[rows]).tolist():
+                    some = np.argpartition(s[n], block.n - 2 * k)[-2 * k :] if block.n > 2 * k else np.arange(block.n)
+                    mine = slice(first[tile[rows[n]]], first[tile[rows[n]] + 1])
+                    sure = self.opened(at[mine], weight[mine], some + block.first, s[n, some])[1] * (1 - 2 * slack[n]) - 2e-6
+                    top[rows[n]] = np.sort(np.concatenate([top[rows[n]], np.maximum(sure, 0)]))[-k:]
+                low = np.maximum((top[rows, 0] - 1e-6) * (1 - slack), 1e-12).astype(np.float32)
+                flat = np.flatnonzero(s >= low[:, None])
+                r, group = np.divmod(flat, block.n)
                 score = s.ravel()[flat]
-                few = n_near[r] <= 2 * k
-                begin = np.cumsum(n_near * (n_near <= 2 * k)) - n_near * (n_near <= 2 * k)
-                more[r[few], np.arange(int(few.sum())) - begin[r[few]]] = score[few]
-                changed = np.flatnonzero(n_near)
-                sure = more[changed] * (1 - 2 * slack[changed, None]) - 2e-6
-                top[rows[changed]] = np.partition(np.concatenate([top[rows[changed]], np.maximum(sure, 0)], axis=1), 2 * k, axis=1)[:, 2 * k :]
-                found.append((rows[r], doc + block.first, score))
+                # a group's best document has its bound's share at least
+                least = score / self.sizes[group + block.first]
+                self._raise(top, rows, ~new[rows], r, least * (1 - 2 * slack[r]) - 2e-6, k)
+                new[rows] = False
+                found.append((rows[r], group + block.first, score))
             if not found:
                 continue
-            r, doc, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            r, group, score = (np.concatenate(x) for x in zip(*found, strict=True))
             near = np.flatnonzero(score >= (top[r, 0] - 1e-6) * (1 - error[r]))
-            near = near[np.argsort(r[near], kind="stable")]
+            if not len(near):
+                continue
+            near = near[np.lexsort((-score[near], r[near]))]
             changed, begin = np.unique(r[near], return_index=True)
-            for i, docs in zip(tile[changed].tolist(), np.split(doc[near], begin[1:]), strict=False):
+            for n, x, y in zip(changed.tolist(), begin.tolist(), [*begin[1:].tolist(), len(near)], strict=True):
+                i = int(tile[n])
                 mine = slice(first[i], first[i + 1])
-                score = np.concatenate([best[i][1], self.exact(at[mine], weight[mine], docs)])
-                ids = np.concatenate([best[i][0], self.shard.ids[docs]])
-                order = np.lexsort((ids, -score))[:k]
-                order = order[score[order] > 0]
-                best[i] = ids[order], score[order]
+                self._take(at[mine], weight[mine], group[near[x:y]], score[near[x:y]], float(error[n]), float(top[n, 0]), best, i, k)
         return scored
 
+    @staticmethod
+    def _raise(top: np.ndarray, rows: np.ndarray, which: np.ndarray, r: np.ndarray, sure: np.ndarray, k: int) -> None:
+        """Scores ``sure`` of the rows ``r`` (ascending) come into ``top`` where they raise it."""
+        up = np.flatnonzero(which[r] & (sure > top[rows[r], 0]))
+        if not len(up):
+            return
+        up = up[np.lexsort((-sure[up], r[up]))]
+        at, begin, n = np.unique(r[up], return_index=True, return_counts=True)
+        place = np.arange(len(up)) - np.repeat(begin, n)
+        more = np.zeros((len(at), k))
+        keep = place < k
+        more[np.repeat(np.arange(len(at)), n)[keep], place[keep]] = sure[up[keep]]
+        top[rows[at]] = np.sort(np.concatenate([top[rows[at]], more], axis=1), axis=1)[:, k:]
+
+    def _take(self, at: np.ndarray, weight: np.ndarray, groups: np.ndarray, bounds: np.ndarray, error: float, least: float, best: list, i: int, k: int) -> None:
+        """Puts what is among the best ``k`` of query ``i`` in ``groups``, which are in
+        descending order of their bounds, into ``best``."""
+        ids, scores = best[i]
+        docs, got, done, step = [], [], 0, 4 * k
+        while True:
+            end = int(np.searchsorted(-bounds, -(least - 1e-6) * (1 - error), "right"))
+            if done >= end:
+                break
+            last = min(end, done + step)
+            d, s = self.opened(at, weight, groups[done:last], bounds[done:last])
+            docs.append(d)
+            got.append(s)
+            done, step = last, 4 * step
+            sure = np.concatenate([scores, *(x * (1 - 2 * error) - 2e-6 for x in got)])
+            if len(sure) >= k:
+                least = max(least, float(np.partition(sure, len(sure) - k)[len(sure) - k]))
+        if not docs:
+            return
+        d, s = np.concatenate(docs), np.concatenate(got)
+        d = d[(s > 0) & (s >= (least - 1e-6) * (1 - error))]
+        if not len(d):
+            return
+        scores = np.concatenate([scores, self.exact(at, weight, d)])
+        ids = np.concatenate([ids, self.shard.ids[d]])
+        order = np.lexsort((ids, -scores))[:k]
+        order = order[scores[order] > 0]
+        best[i] = ids[order], scores[order]
 
 def _index(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,31 +566,45 @@ def _write_queries(folder: str):
     return run
 
 
-def _search(folder: str, k: int, average: float):
-    """Rows (chunk, shards): what the shards have for the chunk's queries."""
-
-    def answer(chunk: int, shards: list[int]) -> pa.RecordBatch:
-        terms_, ids, first, rows, weight = _load_arrays(_read(folder, f"queries-{chunk}"), [True] * 5)
-        first = first.astype(np.int64)
-        query = np.repeat(np.arange(len(ids)), np.diff(first))
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+def _search(folder: str, k: int, average: float, ahead: bool):
+    """Rows (chunks, shards): what the shards have for the chunks' queries. Those that go
+    ahead write the k-th best score of each query, which the others begin with."""
+
+    def held(chunk: int, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the chunk's rows that the shard has: where those of each query begin, their
+        places in its terms, their weights."""
+        terms_, _, first, rows, weight = _load_arrays(_read(folder, f"queries-{chunk}"), [True, False, True, True, True])
+        at = np.minimum(np.searchsorted(shard.terms, terms_), len(shard.terms) - 1)
+        at = np.where(shard.terms[at] == terms_, at, -1).astype(np.int32)[rows]
+        there = at >= 0
+        before = np.concatenate([[0], np.cumsum(there)])
+        return before[first.astype(np.int64)], at[there], weight[there]
+
+    def answer(chunks: list[int], shards: list[int]) -> Iterator[pa.RecordBatch]:
+        ids = [_load_arrays(_read(folder, f"queries-{c}"), [False, True, False, False, False])[1] for c in chunks]
+        floors = [None if ahead else _load_arrays(_read(folder, f"floor-{c}"), [True])[0] for c in chunks]
+        bests = [[(np.zeros(0, np.int64), np.zeros(0))] * len(x) for x in ids]
         for number in sorted(shards):
             shard = Shard.load(_read(folder, f"index-{number}"))
             if not len(shard.terms):
                 continue
-            at = np.minimum(np.searchsorted(shard.terms, terms_), len(shard.terms) - 1)
-            at = np.where(shard.terms[at] == terms_, at, -1)[rows]
-            there = at >= 0
-            own = np.concatenate([[0], np.cumsum(np.bincount(query[there], minlength=len(ids)))])
-            Searcher(shard, average).search(own, at[there], weight[there], best, k)
-        found = np.array([len(s) for _, s in best])
-        got = [np.concatenate(x) if len(ids) else np.zeros(0) for x in zip(*best, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found).astype(np.int64)), pa.array(got[0].astype(np.int64)), pa.array(got[1])], ["query_id", "doc_id", "score"])
+            searcher = Searcher(shard, average)
+            for chunk, best, floor in zip(chunks, bests, floors, strict=True):
+                searcher.search(*held(chunk, shard), best, k, floor)
+            del searcher, shard
+            textbuf.release()
+        for chunk, own, best in zip(chunks, ids, bests, strict=True):
+            if ahead:
+                reached = np.array([s[k - 1] if len(s) == k else 0.0 for _, s in best])
+                _write(folder, f"floor-{chunk}", lambda out, reached=reached: _save(out, [reached]))
+            found = np.array([len(s) for _, s in best])
+            got = [np.concatenate(x) if len(own) else np.zeros(0) for x in zip(*best, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, found).astype(np.int64)), pa.array(got[0].astype(np.int64)), pa.array(got[1])], ["query_id", "doc_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, shards in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield answer(chunk, shards)
+            for chunks, shards in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield from answer(chunks, shards)
                 textbuf.release()
 
     return run
@@ -534,13 +648,27 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, max_terms: int | Non
         .sortWithinPartitions("chunk", "query_id", "term")
         .mapInArrow(_write_queries(folder), "chunk long")
     )
-    groups = max(1, -(-shards // GROUP))
-    group = F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("long").alias("group")
-    # the queries are few beside the documents, and every chunk is held against every group
-    members = manifest.groupBy(group).agg(F.collect_list("shard").alias("shards"))
-    asked_of = written.select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
-    blocks = asked_of.join(members, "group").repartitionByRange(min(2 * chunks * groups, 10_000), "chunk", "group").select("chunk", "shards")
-    found = blocks.mapInArrow(_search(folder, k, average), "query_id long, doc_id long, score double")
+    ahead = min(MOST_AHEAD, max(AHEAD, shards // 16))
+    rest = max(0, shards - ahead)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-rest // GROUP), min(-(-2 * cores // chunks), -(-rest // LEAST_GROUP)))
+    parts = -(-chunks // min(CHUNKS, max(1, chunks * groups // (2 * cores))))
+    rows = "query_id long, doc_id long, score double"
+    # the queries are few beside the documents, and every chunk is held against every shard
+    largest = [r["shard"] for r in manifest.orderBy(F.desc("words"), "shard").select("shard").limit(ahead).collect()]
+    some = manifest.filter(F.col("shard").isin(largest)).agg(F.collect_list("shard").alias("shards"))
+    found = cut(
+        written.crossJoin(some)
+        .repartitionByRange(min(4 * chunks, 10_000), "chunk")
+        .select(F.array("chunk").alias("chunks"), "shards")
+        .mapInArrow(_search(folder, k, average, ahead=True), rows)
+    )
+    if rest:
+        group = F.pmod(F.row_number().over(Window.orderBy("words", "shard")), F.lit(groups)).alias("group")
+        members = manifest.filter(~F.col("shard").isin(largest)).withColumn("group", group).groupBy("group").agg(F.collect_list("shard").alias("shards"))
+        asked_of = written.groupBy(F.pmod("chunk", F.lit(parts)).alias("part")).agg(F.collect_list("chunk").alias("chunks"))
+        blocks = asked_of.crossJoin(members).repartitionByRange(min(4 * parts * groups, 10_000), "part", "group").select("chunks", "shards")
+        found = found.unionByName(blocks.mapInArrow(_search(folder, k, average, ahead=False), rows))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

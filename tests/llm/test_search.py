@@ -134,3 +134,67 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b", "", 0)], SCHEMA)
     assert s.top_k(empty, none).count() == s.top_k(some, none).count() == 0
     assert s.top_k(empty, spark.createDataFrame([(1, "a")], "query_id long, text string")).count() == 0
+
+
+def two_languages(n=4000, seed=3):
+    """(shard, queries): documents have 100 words of their language and 2 of the other one, so
+    that a block has most words of both and a span few of the other's."""
+    rng = np.random.default_rng(seed)
+    own, other = np.repeat(np.arange(n), 100), np.repeat(np.arange(n), 2)
+    term = np.concatenate([(2000 * rng.random(len(own)) ** 3).astype(int) + 5000 * (own % 2), rng.integers(0, 2000, len(other)) + 5000 * (1 - other % 2)])
+    pairs, tf = np.unique(np.concatenate([own, other]) * 10_000 + term, return_counts=True)
+    doc, term = pairs // 10_000, pairs % 10_000
+    shard = s.Shard.build(np.arange(n), np.full(n, 500), doc, term.astype(np.uint64), tf)
+    return shard, [{int(t): 1.0 for t in term[doc == i]} for i in range(40)]
+
+
+def test_spans_skip_what_blocks_do_not():
+    shard, asks = two_languages()
+    _, scored = searched(shard, 500.0, asks, 10)
+    assert scored <= 0.6 * len(asks) * (len(shard.starts) - 1)
+
+
+def test_scores_reached_elsewhere_bound_a_search():
+    shard, asks = two_languages()
+    best, _ = searched(shard, 500.0, asks, 10)
+    first = np.cumsum([0] + [len(a) for a in asks])
+    at = np.array([np.flatnonzero(shard.terms == t)[0] for a in asks for t in sorted(a)], int)
+    for floor, want in ((np.array([v[-1] for _, v in best]), best), (np.array([v[2] for _, v in best]), [(i[:3], v[:3]) for i, v in best])):
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * len(asks)
+        s.Searcher(shard, 500.0).search(first, at, np.ones(len(at)), found, 10, floor)
+        for (i, v), (ids, scores), low in zip(found, want, floor, strict=True):
+            over = v >= low
+            assert set(ids[scores > low]) <= set(i[over]) and (v[over][: len(scores)] == scores).all()
+    found = [(np.zeros(0, np.int64), np.zeros(0))] * len(asks)
+    assert s.Searcher(shard, 500.0).search(first, at, np.ones(len(at)), found, 10, np.full(len(asks), 1e6)) == 0
+
+
+def test_groups_of_short_documents():
+    """Short documents are bounded together; wordless ones, copies and ties among them."""
+    rng = np.random.default_rng(4)
+    n = 900
+    texts = [Counter(rng.integers(0, 60, rng.integers(0, 9)).tolist()) for _ in range(n)]
+    texts[100:140] = [Counter([1, 2, 3])] * 40
+    doc, term, tf = (np.array(x) for x in zip(*[(i, t, c) for i, text in enumerate(texts) for t, c in text.items()], strict=True))
+    lengths = np.array([sum(c.values()) for c in texts])
+    shard = s.Shard.build(np.arange(n), lengths, doc, term.astype(np.uint64), tf)
+    assert len(shard.groups) < n / 2
+    asks = [{t: 1.0 + t / 50 for t in c} for c in texts[95:145] if c]
+    best, _ = searched(shard, lengths.mean(), asks, 10)
+    for ask, (ids, scores) in zip(asks, best, strict=True):
+        want = [(-round(sum(w * s._impact(c[t], m, lengths.mean()) for t, w in sorted(ask.items()) if t in c), 6), i) for i, (c, m) in enumerate(zip(texts, lengths, strict=True))]
+        want = sorted(x for x in want if x[0] < 0)[:10]
+        assert ids.tolist() == [i for _, i in want] and np.allclose(scores, [-v for v, _ in want], atol=2e-6)
+
+
+def test_nothing_near_is_left_in_a_tile():
+    """What looked near in one block falls behind the documents of the next."""
+    shard, asks = two_languages(600)
+    best, _ = searched(shard, 500.0, asks, 10)
+    first = np.cumsum([0] + [len(a) for a in asks])
+    at = np.array([np.flatnonzero(shard.terms == t)[0] for a in asks for t in sorted(a)], int)
+    searcher = s.Searcher(shard, 500.0)
+    for share in (0.5, 0.9, 1.0, 1.1):
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * len(asks)
+        searcher.search(first, at, np.ones(len(at)), found, 10, np.array([v[0] * share for _, v in best]))
+        assert all((v >= share * b[0] - 1e-5).all() for (_, v), (_, b) in zip(found, best, strict=True))
