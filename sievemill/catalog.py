@@ -32,9 +32,8 @@ READS_SQL = """SELECT l_suppkey % 5 AS contig, (l_orderkey * 613 + l_partkey * 1
 
 
 def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = intervals.overlap_join(_reads(spark, sf_dir), _regions(spark, sf_dir), "contig", 128)
-    shared = F.least("end", "right_end") - F.greatest("start", "right_start")
-    return joined.groupBy("p_partkey").agg(F.count("*").alias("n_reads"), F.sum(shared).alias("shared_bases"))
+    totals = intervals.overlap_totals(_reads(spark, sf_dir), _regions(spark, sf_dir), "contig")
+    return totals.groupBy("p_partkey").agg(F.sum("n").alias("n_reads"), F.sum("shared").alias("shared_bases"))
 
 
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,59 @@ def _real(df: DataFrame, group: str) -> DataFrame:
     return df.filter(F.col("start") < F.col("end")).select(F.col(f"`{group}`").alias("g"), "start", "end")
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, group: str, width: int = 1 << 16) -> DataFrame:
+    """``right`` rows that meet a ``left`` row of their group, with ``n`` and ``shared``: how
+    many left rows they meet, and the positions shared with each of them, added up.
+
+    These are the sums over ``overlap_join``, but no pair is made, so the work grows with the
+    rows of both sides and not with their product. A region meets the rows that start before
+    its end, less those that end by its start; it shares the bases up to its end, less those
+    up to its start. The three are running values over distinct positions, within bins of
+    ``width`` and over the bins, of which a group has few, so a large group is spread over
+    tasks. Positions are integers. A right row without length meets the left rows that reach
+    across it and shares 0; left rows without length, intervals that end before they start
+    or are null and null groups meet nothing; repeated rows count each; an empty side gives
+    an empty result. Columns ``n`` and ``shared`` of ``right`` are replaced.
+    """
+    def points(df: DataFrame, opened: int, closed: int) -> DataFrame:
+        point = lambda at, o, c: F.struct(F.col(at).alias("at"), F.lit(o).cast("long").alias("opened"), F.lit(c).cast("long").alias("closed"))
+        each = F.explode(F.array(point("start", opened, 0), point("end", 0, closed))).alias("p")
+        return df.select(F.col(f"`{group}`").alias("g"), each).select("g", "p.*")
+
+    there = F.col(f"`{group}`").isNotNull()
+    regions = right.filter(there & (F.col("start") <= F.col("end"))).drop("n", "shared")
+    at = points(left.filter(there & (F.col("start") < F.col("end"))), 1, 1).unionByName(points(regions, 0, 0))
+    at = at.groupBy("g", "at").agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
+    # nulls are left out here, lest each join below does so in its own way and nothing is shared
+    at = at.withColumn("bin", F.floor(F.col("at") / width)).filter("g is not null and at is not null and bin is not null")
+    at = at.withColumn("offset", F.col("at") - F.col("bin") * width)
+    moment = (F.col("opened") - F.col("closed")) * F.col("offset")
+
+    by_bin = Window.partitionBy("g2").orderBy("bin2")
+    earlier = lambda c: F.coalesce(F.sum(c).over(by_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = at.groupBy(F.col("g").alias("g2"), F.col("bin").alias("bin2")).agg(F.sum("opened").alias("o"), F.sum("closed").alias("c"), F.sum(moment).alias("m"))
+    bins = bins.select("g2", "bin2", "o", "c", "m", earlier("o").alias("o_before"), earlier("c").alias("c_before"), (F.lead("bin2").over(by_bin) - F.col("bin2")).alias("step"))
+    # bases from the bin's first position to that of the next bin that has points
+    bins = bins.withColumn("bases", (F.col("o_before") + F.col("o") - F.col("c_before") - F.col("c")) * F.col("step") * width - F.col("m"))
+    bins = bins.select("g2", "bin2", "o_before", "c_before", earlier("bases").alias("bases_before"))
+
+    order = Window.partitionBy("g", "bin").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    run = at.select("g", "bin", "at", "offset", "opened", F.sum("opened").over(order).alias("o"), F.sum("closed").over(order).alias("c"), F.sum(moment).over(order).alias("m"))
+    run = run.join(bins, (F.col("g") == F.col("g2")) & (F.col("bin") == F.col("bin2")))
+    o, c = F.col("o_before") + F.col("o"), F.col("c_before") + F.col("c")
+    # one array, so that both joins read the same columns and share what lies below them
+    run = run.select("g", "at", F.array(o - F.col("opened"), c, F.col("bases_before") + (o - c) * F.col("offset") - F.col("m")).alias("v"))
+
+    names = [[_fresh(right.columns, f"__{x}_{side}") for x in ("g", "at", "v")] for side in ("start", "end")]
+    out = regions
+    for side, (g, at_, v) in zip(("start", "end"), names, strict=True):
+        found = run.select(F.col("g").alias(g), F.col("at").alias(at_), F.col("v").alias(v))
+        out = out.join(found, (F.col(f"`{group}`") == F.col(g)) & (F.col(side) == F.col(at_)))
+    first, last = (F.col(v) for _, _, v in names)
+    kept = [F.col(f"`{x}`") for x in regions.columns]
+    return out.select(*kept, (last[0] - first[1]).alias("n"), (last[2] - first[2]).alias("shared")).filter("n > 0")
+
+
 def merged(df: DataFrame, group: str, width: int = BIN) -> DataFrame:
     """(group, start, end, n): intervals of a group that overlap or touch, as one.
 

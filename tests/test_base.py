@@ -41,6 +41,49 @@ def test_binned_join_as_by_naive_join(spark):
         assert sorted(map(tuple, intervals.overlap_join(a, b, "g", width).select("a", "b").collect())) == want
 
 
+def test_overlap_totals_as_by_naive_join(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([0, 0, 0, 1, None]), s, s + rng.choice([0, 1, 5, 300, -4]), i, "x") for i in range(300) for s in [rng.choice([rng.randrange(-500, 900), 10, 9_000_000_000 + i])]]
+    rows += [(0, None, 4, 300, "x"), (0, 4, None, 301, "x")]
+    names = "g int, start long, end long, id int, __v_start string"
+    a, b = spark.createDataFrame(rows, names), spark.createDataFrame(rows[::2] + rows[:40:2], names)
+    want = []
+    for g, s, e, i, _ in rows[::2] + rows[:40:2]:
+        met = [r for r in rows if None not in (g, s, e, *r[:3]) and r[0] == g and r[1] < r[2] and s <= e and r[1] < e and s < r[2]]
+        want += [(i, len(met), sum(min(e, r[2]) - max(s, r[1]) for r in met))] if met else []
+    for width in (1, 64, 1 << 16):
+        got = intervals.overlap_totals(a, b, "g", width)
+        assert got.columns == [*b.columns, "n", "shared"]
+        assert sorted(map(tuple, got.select("id", "n", "shared").collect())) == sorted(want)
+    assert intervals.overlap_totals(a.limit(0), b, "g").count() == intervals.overlap_totals(a, b.limit(0), "g").count() == 0
+
+
+def _nodes(plan):
+    """Nodes of an executed plan, also below adaptive ones."""
+    below = plan.children()
+    inner = [getattr(plan, x)() for k, x in (("AdaptiveSparkPlanExec", "executedPlan"), ("QueryStageExec", "plan")) if plan.getClass().getSimpleName().endswith(k)]
+    return [plan] + [n for p in [*inner, *(below.apply(i) for i in range(below.size()))] for n in _nodes(p)]
+
+
+def test_overlap_query_makes_no_pairs(spark, tmp_path):
+    """All of 5,000 reads meet all of 400 regions; also regions without length, of no length known and repeated."""
+    spark.range(5000).selectExpr("id * 400000 AS l_orderkey", "0L AS l_partkey", "5L AS l_suppkey", "1 AS l_linenumber", "50.0D AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    regions = spark.range(400).selectExpr("id * 400000 AS p_partkey", "CAST(id % 50 AS INT) AS p_size")
+    regions = regions.union(regions.limit(9)).union(spark.sql("SELECT 2000000, CAST(NULL AS INT) UNION ALL SELECT NULL, 4"))
+    regions.union(spark.sql(f"SELECT 5L * {pow(7907, -1, 80000)}, 0")).write.parquet(f"{tmp_path}/part.parquet")
+    query = catalog.QUERIES["interval_overlap_join"](spark, str(tmp_path))
+    got = sorted(map(tuple, query.collect()))
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(con.sql(catalog.ORACLE_SQL["interval_overlap_join"]).fetchall()) and sum(r[1] for r in got) > 1_900_000
+    nodes = _nodes(query._jdf.queryExecution().executedPlan())
+    made = [n.metrics().apply("numOutputRows").value() for n in nodes if n.metrics().contains("numOutputRows")]
+    assert any("Join" in n.nodeName() for n in nodes) and max(made) <= 2 * 5000 + 2 * 500
+    read = [n for n in nodes if "l_quantity" in n.toString().split("\n")[0] and n.nodeName().startswith("Scan")]
+    assert len({n.id() for n in read}) == 1
+
+
 def test_depth_and_merge(spark):
     df = spark.createDataFrame([("c", 1, 5), ("c", 3, 8), ("c", 8, 9), ("c", 20, 21), ("c", 4, 4)], "g string, start long, end long")
     assert sorted(map(tuple, intervals.merged(df, "g").collect())) == [("c", 1, 9, 3), ("c", 20, 21, 1)]
