@@ -54,7 +54,8 @@ def overlap_totals(left: DataFrame, right: DataFrame, group: str, width: int = 1
     many left rows they meet, and the positions shared with each of them, added up.
 
     These are the sums over ``overlap_join``, but no pair is made, so the work grows with the
-    rows of both sides and not with their product. A region meets the rows that start before
+    rows of both sides and not with their product; where few pairs meet, adding them up takes
+    less time. A region meets the rows that start before
     its end, less those that end by its start; it shares the bases up to its end, less those
     up to its start. The three are running values over distinct positions, within bins of
     ``width`` and over the bins, of which a group has few, so a large group is spread over
